@@ -30,24 +30,21 @@ def _with_measures(docs: DataFrame) -> DataFrame:
     for by, name in ((1, "h2"), (2, "h4"), (4, "h8")):  # hashes of 2, 4 and 8 words in a row
         prior = {"h2": "h", "h4": "h2", "h8": "h4"}[name]
         out = out.withColumn(name, F.zip_with(*_shifted(F.col(prior), by), pair))
-    out = out.withColumn("repeated", F.size(F.array_distinct("h8")) < F.size("h8")).withColumn(
-        "sorted", F.when(F.col("repeated"), F.sort_array("h8"))
-    )
-    # windows that come twice or more, then the words that they cover
-    twice = F.array_distinct(
-        F.filter(F.zip_with(*_shifted(F.col("sorted"), 1), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
-    )
-    out = out.withColumn("twice", F.when(F.col("repeated"), twice))
-    # 1-based starts of these windows, in order: each covers what the one before it doesn't
-    starts = F.filter(
-        F.zip_with(
-            F.col("h8"),
-            F.sequence(F.lit(1), F.size("h8")),
-            lambda h, i: F.when(F.array_contains(F.col("twice"), h), i),
+    out = out.withColumn("repeated", F.size(F.array_distinct("h8")) < F.size("h8"))
+    # windows with their places, sorted by hash: equal neighbours come twice or more
+    out = out.withColumn(
+        "sorted",
+        F.when(
+            F.col("repeated"),
+            F.sort_array(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
+    )
+    twice = F.filter(
+        F.zip_with(*_shifted(F.col("sorted"), 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))),
         lambda x: x.isNotNull(),
     )
-    out = out.withColumn("starts", F.when(F.col("repeated"), starts))
+    # starts of these windows, in order: each covers what the one before it doesn't
+    out = out.withColumn("starts", F.when(F.col("repeated"), F.sort_array(F.array_distinct(F.flatten(twice)))))
     covered = F.aggregate(
         F.zip_with(*_shifted(F.col("starts"), 1), lambda a, b: F.least(b - a, F.lit(WINDOW))),
         F.lit(WINDOW),

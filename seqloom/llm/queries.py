@@ -7,13 +7,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_fold
+from . import bpe_fold, host_rules, near_dedup, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
+#: Rules of the contract, and a stand-in for a list of unwanted hosts: one in eight
+#: hosts by md5, since the tables come with no list.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    hosts = pages.select(url_cascade.host_of(F.col("url")).alias("key")).distinct()
+    listed = hosts.filter(F.substring(F.md5(F.encode("key", "UTF-8")), 1, 1).isin("0", "1"))
+    return url_cascade.filter_urls(pages, listed, URL_RULES)
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(_table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,8 +53,66 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op3_url_filter": op3_url_filter,
+    "op6_host_rules": op6_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+WITH u AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r(verdict, rule, rule_host, rule_path) AS (VALUES
+  ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'),
+  ('block', 'com/de/', 'com', '/de/')),
+m AS (
+  SELECT u.*, (SELECT max_by({'rule': rule, 'verdict': verdict}, length(rule)) FROM r
+               WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS hit
+  FROM u)
+SELECT page_id, host, path, hit.rule AS rule,
+       coalesce(hit.verdict, CASE WHEN host <> '' AND md5(host)[1] IN ('0', '1') THEN 'block' ELSE 'allow' END) AS verdict
+FROM m""",
+    "op6_host_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+w AS (
+  SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS i
+  FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d)),
+win AS (
+  SELECT rid, i, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS s,
+         count(*) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n
+  FROM w),
+twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS k FROM win WHERE n = 8),
+marked AS (
+  SELECT w.rid, w.word, max(CASE WHEN k > 1 THEN w.i END) OVER (
+           PARTITION BY w.rid ORDER BY w.i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered
+  FROM w LEFT JOIN twice t ON t.rid = w.rid AND t.i = w.i),
+a AS (
+  SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars,
+         sum(CASE WHEN covered IS NOT NULL THEN 1 ELSE 0 END) AS n_repeat_words
+  FROM marked GROUP BY rid),
+l AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+b AS (
+  SELECT d.doc_id, d.source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN a USING (rid) LEFT JOIN l USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
+q AS (
+  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS weight FROM p),
+r AS (SELECT source, (k + m * weight) / (n + weight) AS host_rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(host_rate <= 0.5, TRUE) AS kept
+FROM f LEFT JOIN r USING (source)""",
+}
