@@ -29,8 +29,8 @@ _MULT = 2654435761
 LONG = 96
 
 
-def java_pattern(pattern: str) -> str:
-    """A tiktoken split pattern for Java's regex engine, with Unicode white space."""
+def spelt_pattern(pattern: str) -> str:
+    """A split pattern whose white space is spelt out, alike in every regex engine."""
     return (
         pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]")
         .replace(r"(?!\S)", rf"(?![^{_SPACE}])")
@@ -248,7 +248,7 @@ def _dictionary(words: DataFrame, ranks: Ranks, size: int, max_bytes: int) -> li
         .agg(F.array_join(F.collect_list("entry"), "").alias("entries"))
     )
     buckets = [""] * n_buckets
-    for row in made.toLocalIterator():
+    for row in made.collect():
         buckets[row.bucket] = row.entries
     return buckets
 
@@ -273,7 +273,7 @@ def encode(
     ranks = load_ranks(rank_path)
     if len(ranks.piece_hex) > 0xD800:
         raise ValueError("one character per id needs ids below the surrogates")
-    found = F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(pattern)), F.lit(0))
+    found = F.regexp_extract_all(F.col(text_col), F.lit(spelt_pattern(pattern)), F.lit(0))
     buckets = _dictionary(
         docs.select(F.explode(found).alias("w")), ranks, dictionary_size, dictionary_max_bytes
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_fold, host_rules, near_dedup, url_cascade
+from . import bin_pack, bpe_fold, host_rules, near_dedup, poisson_mix, token_frames, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,44 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(pages, listed, URL_RULES)
 
 
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = poisson_mix.replicate(_table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
+    return mixed.select(
+        "doc_id", "source", "copy_no", "shuffle_key", F.md5(F.encode("text", "UTF-8")).alias("text_md5")
+    )
+
+
+#: Sources not named here have weight 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(_table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op7_bin_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bin_pack.shard(_table(spark, sf_dir, "documents"), n_shards=16)
+    return packed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_frames.write(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        end_id=2,
+    )
+    return token_frames.read_back(manifest)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,7 +89,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_url_filter": op3_url_filter,
+    "op5_poisson_mix": op5_poisson_mix,
     "op6_host_rules": op6_host_rules,
+    "op7_bin_pack": op7_bin_pack,
+    "op8_token_frames": op8_token_frames,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -79,6 +116,24 @@ m AS (
 SELECT page_id, host, path, hit.rule AS rule,
        coalesce(hit.verdict, CASE WHEN host <> '' AND md5(host)[1] IN ('0', '1') THEN 'block' ELSE 'allow' END) AS verdict
 FROM m""",
+    "op5_poisson_mix": r"""
+WITH n AS (SELECT source, count(*) AS n,
+                  CASE source WHEN 'src0' THEN 4.0::DOUBLE WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END AS weight
+           FROM documents GROUP BY source),
+r AS (SELECT source, sum(n) OVER () * 1.0::DOUBLE * weight / sum(weight) OVER () / n AS rate FROM n),
+t AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 12)::INT + 1)) AS k FROM r),
+p AS (SELECT source, k, exp(sum(CASE WHEN k > 0 THEN ln(rate / k) ELSE 0.0::DOUBLE END) OVER (
+               PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) - rate) AS p FROM t),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM p),
+d AS (SELECT row_number() OVER () AS rid, doc_id, source, md5(text) AS text_md5,
+             ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+      FROM documents),
+m AS (SELECT rid, doc_id, d.source, text_md5, count(*) AS times
+      FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY ALL),
+e AS (SELECT doc_id, source, text_md5, unnest(range(0, times))::INT AS copy_no FROM m)
+SELECT doc_id, source, copy_no, text_md5,
+       ('0x' || substr(md5('18:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no), 1, 13))::BIGINT AS shuffle_key
+FROM e""",
     "op6_host_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 w AS (
