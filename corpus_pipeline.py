@@ -1,12 +1,70 @@
-"""Corpus pipeline: stages over the documents table (filled in below)."""
+"""Corpus pipeline: five stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents. Part of the training-data operators.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from seqloom.llm import bpe_fold, host_rules, near_dedup, ordinal_quality, poisson_mix
+from seqloom.llm.queries import MIX_WEIGHTS
+
+#: SQL can't express the classifier, so the rows of run() are tested otherwise.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id a verdict keeps; rows with a null id are kept."""
+    rejected = verdicts.filter("not kept").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose best grade is likelier than not; a toxic or poor one goes."""
+    grades = ordinal_quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _only(docs, ordinal_quality.score(docs, ordinal_quality.train(docs, grades)))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host does."""
+    return _only(docs, host_rules.host_rules(docs))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    return _only(docs, near_dedup.near_duplicates(docs))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows replicated to target weights of sources, in a global random order."""
+    return poisson_mix.replicate(docs, weights=MIX_WEIGHTS).select(docs.columns)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with digests of ids and of the decoded bytes."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_fold.encode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe_fold.decode(encoded, ranks).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_dedup_stage),
+    ("mixing sources", source_mix),
+    ("byte-level BPE", byte_level_bpe),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bin_pack, bpe_fold, host_rules, near_dedup, poisson_mix, token_frames, url_cascade
+from . import (
+    bin_pack,
+    bpe_fold,
+    host_rules,
+    lang_mixture,
+    near_dedup,
+    ordinal_quality,
+    poisson_mix,
+    token_frames,
+    url_cascade,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +28,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ordinal_quality.train(docs, ordinal_quality.grades_of(_table(spark, sf_dir, "labels")))
+    return ordinal_quality.score(docs, model)
+
+
 #: Rules of the contract, and a stand-in for a list of unwanted hosts: one in eight
 #: hosts by md5, since the tables come with no list.
 URL_RULES = [
@@ -43,6 +59,15 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lang_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lang_mixture.train(docs.filter(~lang_mixture.held_out(F.col("doc_id"))))
+    found = lang_mixture.identify(docs, model)
+    return found.select(
+        "doc_id", lang_mixture.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "shares"
+    )
+
+
 #: Sources not named here have weight 1.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 
@@ -88,7 +113,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_ordinal_quality": op2_ordinal_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_lang_mixture": op4_lang_mixture,
     "op5_poisson_mix": op5_poisson_mix,
     "op6_host_rules": op6_host_rules,
     "op7_bin_pack": op7_bin_pack,
