@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import (
     bin_pack,
     bpe_fold,
+    common,
     host_rules,
+    image_features,
     lang_mixture,
     near_dedup,
     ordinal_quality,
@@ -99,6 +101,22 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_back(manifest)
 
 
+def op9_image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of every picture whose id is divisible by 20, against all pictures.
+
+    The tables have no media column; pictures are rendered from embeddings.
+    """
+    images = common.stored(image_features.rendered(_table(spark, sf_dir, "embeddings")), "images")
+    member = common.stored(image_features.classes(images), "image-classes")
+    one_each = images.join(member.filter("id = class_id"), "id").select("class_id", "image")
+    asked = member.filter("id % 20 = 0")
+    queries = image_features.edited(one_each.join(asked.select("class_id").distinct(), "class_id"))
+    found = image_features.search(image_features.features(queries), image_features.features(one_each))
+    return asked.join(found.withColumnRenamed("class_id", "match_class"), asked["class_id"] == found["query_class"]).select(
+        F.col("id").alias("vec_id"), "class_id", "match_class", "votes"
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -120,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_rules": op6_host_rules,
     "op7_bin_pack": op7_bin_pack,
     "op8_token_frames": op8_token_frames,
+    "op9_image_features": op9_image_features,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
