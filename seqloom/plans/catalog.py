@@ -1,5 +1,8 @@
 """All registered queries: name -> callable(spark, sf_dir), and name -> SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from . import relational, sequence
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "conserved_canonical_kmers"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "relational", "sequence"]
