@@ -2,53 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
 
-#: Words of the contracts: runs of anything but space, tab, \n, \v, \f, \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where none is named (tests on one machine) a local one is made and set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "seqloom.scratch.dir", None
-    )
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("seqloom.scratch.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+from seqloom.storage import checkpoint_dir, cut, stored
 
+__all__ = ["WORD", "blocks", "checkpoint_dir", "cut", "stored"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage through the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+#: Words of the contracts: runs of anything but space, tab, \n, \v, \f, \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write as compressed Parquet below the shared checkpoint folder and read back.
+def blocks(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 256) -> Iterator[tuple[list, ...]]:
+    """Columns of Arrow batches as Python values, a few rows at a time.
 
-    For intermediate tables too wide for checkpoint(), whose rows aren't compressed.
+    Only a block's texts are ever held twice, however large the batch.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables made by stored() whose rows have been consumed."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for one in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(one).getParent()
-            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(folder, True)
+    for batch in batches:
+        columns = [batch.column(name) for name in names]
+        for i in range(0, batch.num_rows, rows):
+            yield tuple(c.slice(i, rows).to_pylist() for c in columns)

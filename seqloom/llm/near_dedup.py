@@ -11,9 +11,9 @@ so that the result has no false link.
 
 Skew: equal sets become one node before any join. In a key's bucket nobody is
 paired with everybody: first all members are tested against the bucket's least
-node; then, with the components found so far, only members outside a bucket's
-main component are tested against members of other components, since no other
-pair of the bucket can change a component. Nothing is capped or dropped.
+node. Where members of a bucket are then still in different components, pairs
+that a prefix filter on their full sets leaves over are tested too (no other pair
+can change a component). Nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -22,10 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, stored
+from seqloom.operators.graph import components
+
+from .common import blocks, cut, stored
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -67,16 +70,19 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def _describe(width: int, n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(n)
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"].array, batch["text"].array):
-                hashes = shingle_set(None if text is pd.NA else text, width)
-                print_of = xxhash.xxh3_128_digest(hashes.tobytes())
-                sig = signature(hashes, multipliers).tobytes() if len(hashes) else None
-                rows.append((key, len(hashes), print_of, sig))
-            yield pd.DataFrame(rows, columns=["id", "n_shingles", "fp", "sig"])
+        for keys, texts in blocks(batches, "id", "text"):
+            sizes, prints, sigs = [], [], []
+            for text in texts:
+                hashes = shingle_set(text, width)
+                sizes.append(len(hashes))
+                prints.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sigs.append(signature(hashes, multipliers).tobytes() if len(hashes) else None)
+            yield pa.record_batch(
+                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
+                ["id", "n_shingles", "fp", "sig"],
+            )
 
     return run
 
@@ -98,46 +104,23 @@ def _keys(chunks: int, chunk_len: int):
 
 
 def _confirm(width: int, num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for rows in blocks(batches, "a", "b", "text_a", "text_b"):
             linked = []
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"]):
+            for a, b, text_a, text_b in zip(*rows):
                 if a not in kept:
                     kept = {a: shingle_set(text_a, width)}
                 x, y = kept[a], shingle_set(text_b, width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.loc[linked, ["a", "b"]]
+                if den * both >= num * (len(x) + len(y) - both):
+                    linked.append((a, b))
+            ends = list(zip(*linked)) or [(), ()]
+            yield pa.record_batch([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge (a, b): root is the least node of its
-    connected component. Alternates large-star and small-star steps, so that the
-    number of rounds is logarithmic; only edges are shuffled."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = now
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -166,7 +149,7 @@ def near_duplicates(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = stored(
-        rows.mapInPandas(_describe(width, chunks * chunk_len), "id long, n_shingles long, fp binary, sig binary"),
+        rows.mapInArrow(_describe(width, chunks * chunk_len), "id long, n_shingles long, fp binary, sig binary"),
         "near-base",
     )
     nodes = stored(
@@ -194,18 +177,10 @@ def near_duplicates(
         "key", "node", F.coalesce("root", "node").alias("root")
     )
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
-    mixed = placed.join(split.select("key"), "key", "left_semi")
-    sized = mixed.groupBy("key", "root").count()
-    main = sized.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    outside = mixed.join(main, "key").filter("root <> main")
-    far = (
-        outside.alias("x")
-        .join(mixed.alias("y"), "key")
-        .filter("x.root <> y.root and (y.root = x.main or x.node < y.node)")
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    )
+    mixed = placed.join(split.select("key"), "key", "left_semi").select("node", "root").distinct()
+    far = _reachable(stored(mixed, "near-mixed"), rows, width, num, den)
     tested = star.select("a", "b").distinct()
-    more = cut(_confirmed(far.distinct().join(tested, ["a", "b"], "left_anti"), *args))
+    more = cut(_confirmed(far.join(tested, ["a", "b"], "left_anti"), *args))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     roots = nodes.select("fp", "node").join(found, "node", "left").select(
@@ -221,6 +196,66 @@ def near_duplicates(
     )
 
 
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, roots, texts in blocks(batches, "node", "root", "text"):
+            found = [shingle_set(text, width).view(np.int64) for text in texts]
+            yield pa.record_batch(
+                [pa.array(nodes, pa.int64()), pa.array(roots, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["node", "root", "shingles"],
+            )
+
+    return run
+
+
+def _reachable(mixed: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``mixed`` (node, root), of different roots, that may still be linked.
+
+    A link between sets of x and y shingles needs num/den of either in common. In
+    any order of all shingles, the first ``x - ceil(num * x / den) + 1`` of one must
+    then hold one of the other's. The order here starts with shingles of a single
+    component, which no such pair shares, and goes on from rare to frequent ones.
+    Shingles before the first common one can't be shared either. Documents with
+    enough shingles of their own drop out, so that the variants of a large family
+    aren't paired.
+    """
+    texts = rows.join(mixed.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(
+        F.min("text").alias("text")
+    )
+    sets = stored(
+        texts.join(mixed, texts["id"] == mixed["node"])
+        .select("node", "root", "text")
+        .mapInArrow(_sets(width), "node long, root long, shingles array<bigint>"),
+        "near-sets",
+    )
+    each = sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    useful = (
+        each.groupBy("shingle")
+        .agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        .filter("r0 < r1")
+        .select("shingle", "df")
+    )
+    own = Window.partitionBy("node")
+    within = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
+    first = (
+        each.join(useful, "shingle")
+        .withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")))
+        .filter(F.col("place") <= within)
+        .select("node", "root", "n", "shingle", "place")
+    )
+    first = stored(first, "near-first")
+    # what two sets can share from their first common shingle on, against what a link needs
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    return (
+        first.alias("x")
+        .join(first.alias("y"), "shingle")
+        .filter("x.node < y.node and x.root <> y.root")
+        .filter((num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        .distinct()
+    )
+
+
 def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, num: int, den: int, far: int) -> DataFrame:
     """Pairs (a, b) whose full sets are linked. Set sizes and signatures rule most others out first."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
@@ -235,7 +270,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int,
     needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     texts = rows.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return near.join(text("b"), "b").join(text("a"), "a").mapInPandas(_confirm(width, num, den), "a long, b long")
+    return near.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(width, num, den), "a long, b long")
 
 
 def _within(far: int):
