@@ -15,53 +15,90 @@ folder; where a document's ids start follows from the counts of the files before
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from .bpe_fold import spelt_pattern
-from .common import checkpoint_dir, stored
+from .common import blocks, checkpoint_dir, stored
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Stands for a null id in a file's index.
 NULL_ID = -(2**63)
-MANIFEST = "part int, path string, n_docs long, n_ids long"
+MANIFEST = "part long, path string, n_docs long, n_ids long"
 
 
-class WordIds:
-    """Ids of texts by way of a bounded cache of split words.
+class TextIds:
+    """Ids of texts, with a bounded cache of the chunks between white space.
 
-    The tokenizer merges within split words only, so that a text's ids are those
-    of its words; words that the cache lacks are encoded in one batch.
+    A space or line end with no white space next to it always starts a split word
+    of the tokenizer, and merges stay within split words, so that the ids of a text
+    are those of its chunks. Chunks are kept without their leading space. Those that
+    the cache lacks are encoded joined up: only their first tokens begin with a
+    space or line end. Texts with other white space in a row are encoded whole.
+    Chunks go from a young to an old generation and stay for as long as they are met.
     """
 
-    def __init__(self, path: str, pattern: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 400_000):
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self._split = regex.compile(spelt_pattern(pattern)).findall
-        self._bound, self._ids = bound, {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._starts = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space or line end
+        self._starts[[i for piece, i in vocabulary.items() if piece[0] in "\u0120\u010a"]] = True
+        self._bound, self._young, self._old = bound, {}, {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 1000):
+            some = chunks[i : i + 1000]
+            joined = (" " + " ".join(some)).replace(" \n", "\n")
+            (made,) = self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+            ids = np.array(made.ids, "<u4")
+            at = [*(4 * np.flatnonzero(self._starts[ids])).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            self._young.update(zip(some, [data[p:q] for p, q in zip(at, at[1:])], strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [self._split(text) if text else [] for text in texts]
-        if len(self._ids) > self._bound:
-            self._ids = {}
-        new = list(set().union(*split).difference(self._ids))
-        for i in range(0, len(new), 20_000):
-            for word, made in zip(new[i : i + 20_000], self._tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)):
-                self._ids[word] = struct.pack(f"<{len(made.ids)}I", *made.ids)
-        look = self._ids.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        if len(self._young) > self._bound:
+            self._old, self._young = self._young, {}
+        look, new, split = self._young.get, {}, []
+        for text in texts:
+            if not text or _ODD_SPACE(text):
+                split.append((self._whole(text) if text else b"", [], []))
+                continue
+            first, *chunks = text.replace("\n", " \n").split(" ")
+            ids = list(map(look, chunks))
+            if None in ids:
+                new.update((c, None) for c, known in zip(chunks, ids) if known is None)
+                ids = None
+            split.append((self._whole(first) if first else b"", chunks, ids))
+        again = {c: self._old[c] for c in new if c in self._old}
+        self._young.update(again)
+        self._learn([c for c in new if c not in again])
+        return [first + b"".join(map(look, chunks) if ids is None else ids) for first, chunks, ids in split]
+
+
+_ODD_SPACE = re.compile(r"\s\s").search
+
+
+@lru_cache(maxsize=1)
+def _text_ids(path: str) -> TextIds:
+    """One for all tasks of a Python worker."""
+    return TextIds(path)
 
 
 class FrameWriter:
@@ -95,11 +132,16 @@ def seek_table(file) -> np.ndarray:
     return np.column_stack([starts, entries])
 
 
+@lru_cache(maxsize=1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def read_frame(file, table: np.ndarray, i: int) -> bytes:
     """The content of frame ``i``, held against its checksum."""
     start, packed, size, check = map(int, table[i])
     file.seek(start)
-    content = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=max(size, 1))
+    content = _decompressor().decompress(file.read(packed), max_output_size=max(size, 1))
     if len(content) != size or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != check:
         raise ValueError(f"frame {i} is damaged")
     return content
@@ -122,32 +164,27 @@ def read_documents(path: str, wanted: Iterable[int]) -> dict[int, np.ndarray]:
         }
 
 
-def _write(folder: str, tokenizer_path: str, pattern: str, end_id: int, level: int, block: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, out, ids, counts = None, None, [], []
+def _write(folder: str, tokenizer_path: str, end_id: int, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, ids, counts = None, array("q"), array("q")
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.ids.zst"
         end = struct.pack("<I", end_id)
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for i in range(0, len(batch), block):
-                some = batch.iloc[i : i + block]
-                if out is None:
-                    words = WordIds(tokenizer_path, pattern)
-                    fs.create_dir(root, recursive=True)
-                    out = FrameWriter(fs.open_output_stream(f"{root}/.{name}", compression=None), level)
-                texts = [None if t is None or t is pd.NA else t for t in some["text"].array]
-                for key, content in zip(some["id"].array, words.encode(texts)):
-                    out.write(content + end)
-                    ids.append(NULL_ID if key is None or pd.isna(key) else int(key))
-                    counts.append(len(content) // 4 + 1)
+        for keys, texts in blocks(batches, "id", "text", rows=64):
+            if out is None:
+                fs.create_dir(root, recursive=True)
+                out = FrameWriter(fs.open_output_stream(f"{root}/.{name}", compression=None), level)
+            for key, content in zip(keys, _text_ids(tokenizer_path).encode(texts)):
+                out.write(content + end)
+                ids.append(NULL_ID if key is None else key)
+                counts.append(len(content) // 4 + 1)
         if out is not None:
             out.write(np.array([ids, counts], "<i8").tobytes())
             out.close()
             fs.move(f"{root}/.{name}", f"{root}/{name}")
-            yield pd.DataFrame(
-                {"part": [context.partitionId()], "path": [f"{folder}/{name}"], "n_docs": [len(ids)], "n_ids": [sum(counts)]}
-            )
+            row = {"part": context.partitionId(), "path": f"{folder}/{name}", "n_docs": len(ids), "n_ids": sum(counts)}
+            yield pa.RecordBatch.from_pylist([row])
 
     return run
 
@@ -155,13 +192,11 @@ def _write(folder: str, tokenizer_path: str, pattern: str, end_id: int, level: i
 def write(
     docs: DataFrame,
     tokenizer_path: str,
-    pattern: str,
     end_id: int,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     level: int = 3,
-    block: int = 256,
 ) -> DataFrame:
     """Encode and write all documents; returns the manifest (part, path, n_docs, n_ids).
 
@@ -172,24 +207,22 @@ def write(
     """
     folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/token-frames-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.repartitionByRange("id").sortWithinPartitions("id").mapInPandas(
-        _write(folder, tokenizer_path, pattern, end_id, level, block), MANIFEST
+    made = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(
+        _write(folder, tokenizer_path, end_id, level), MANIFEST
     )
     return stored(made, "token-manifest")
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, base in zip(batch["path"], batch["base"]):
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for paths, bases in blocks(batches, "path", "base"):
+        for path, base in zip(paths, bases):
             fs, at = pyarrow.fs.FileSystem.from_uri(path)
             with fs.open_input_file(at) as file:
                 table = seek_table(file)
                 ids, counts = read_index(file, table)
                 checks = np.fromiter((zlib.crc32(read_frame(file, table, i)) for i in range(len(ids))), np.int64, len(ids))
-            keys = pd.array(ids, dtype="Int64")
-            keys[ids == NULL_ID] = pd.NA
-            starts = int(base) + np.cumsum(counts) - counts
-            yield pd.DataFrame({"id": keys, "start": starts, "n_tokens": counts, "ids_crc32": checks})
+            columns = [pa.array(ids, mask=ids == NULL_ID), int(base) + np.cumsum(counts) - counts, counts, checks]
+            yield pa.record_batch([pa.array(c) for c in columns], ["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_back(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -200,5 +233,5 @@ def read_back(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    found = files.repartition("path").mapInPandas(_read, "id long, start long, n_tokens long, ids_crc32 long")
+    found = files.repartition("path").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("id", id_col)
