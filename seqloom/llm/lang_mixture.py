@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import blocks
+
 #: Hashed trigrams of a language's table, and languages at most (bounds what is broadcast).
 DIM, MAX_LANGUAGES = 1 << 16, 256
 UNKNOWN = "und"
@@ -42,15 +44,16 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"]):
+    for langs, texts in blocks(batches, "lang", "text"):
+        for lang, text in zip(langs, texts):
             found = totals.setdefault(lang, np.zeros(DIM, np.int64))
-            found += np.bincount(trigrams(text), minlength=DIM)
+            grams, times = np.unique(trigrams(text), return_counts=True)
+            found[grams] += times
     for lang, found in totals.items():
         at = np.flatnonzero(found)
-        yield pd.DataFrame({"lang": lang, "gram": at, "n": found[at]})
+        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(found[at])], ["lang", "gram", "n"])
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
@@ -59,7 +62,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sm
     Only DIM counts of each of at most MAX_LANGUAGES languages reach the driver.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
-    counts = rows.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     langs = [r.lang for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -101,20 +104,31 @@ def infer(grams: np.ndarray, table: np.ndarray, penalty: float) -> tuple[list[in
     return [chosen[i] for i in order], share[order]
 
 
+_FOUND = pa.schema(
+    {
+        "id": pa.int64(),
+        "lang_pred": pa.string(),
+        "score": pa.float64(),
+        "languages": pa.list_(pa.string()),
+        "shares": pa.list_(pa.float64()),
+    }
+)
+
+
 def _predict(model, penalty: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
-        for batch in batches:
+        for keys, texts in blocks(batches, "id", "text"):
             out = []
-            for key, text in zip(batch["id"].array, batch["text"].array):
-                grams = trigrams(None if text is pd.NA else text)
+            for key, text in zip(keys, texts):
+                grams = trigrams(text)
                 if not len(grams) or not langs:
                     out.append((key, UNKNOWN, 0.0, [], []))
                     continue
                 chosen, share = infer(grams, table, penalty)
                 names = [langs[i] for i in chosen]
                 out.append((key, names[0], float(min(1.0, share[0])), names, share.astype(float).tolist()))
-            yield pd.DataFrame(out, columns=["id", "lang_pred", "score", "languages", "shares"])
+            yield pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, row)) for row in out], _FOUND)
 
     return run
 
@@ -137,7 +151,7 @@ def identify(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most DIM * MAX_LANGUAGES floats
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInPandas(
+    found = rows.mapInArrow(
         _predict(shared, penalty), "id long, lang_pred string, score double, languages array<string>, shares array<double>"
     )
     return found.withColumnRenamed("id", id_col)

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import blocks, stored
 
 #: Hashed features; bounds what is sent to tasks and summed on the driver.
 DIM = 1 << 17
@@ -67,9 +68,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - s, -500, 500)))
 
 
-def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"grade": batch["grade"], "found": [features(t) for t in batch["text"]]})
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for grades, texts in blocks(batches, "grade", "text"):
+        found = pa.array([features(t) for t in texts], pa.list_(pa.int32()))
+        yield pa.record_batch([pa.array(grades, pa.int32()), found], ["grade", "found"])
 
 
 def _loss(params: np.ndarray, n_grades: int):
@@ -157,7 +159,7 @@ def train(
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "id").select("grade", "text").repartition(partitions)
-    data = stored(rows.mapInPandas(_featured, "grade int, found array<int>"), "graded")
+    data = stored(rows.mapInArrow(_featured, "grade int, found array<int>"), "graded")
     df = data.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= min_df).select("f").toPandas()
     used = np.zeros(DIM + n_grades - 1)
     used[df["f"].to_numpy(dtype=int)] = 1
@@ -181,12 +183,13 @@ def train(
 
 
 def _score(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted: Model = model.value
-        for batch in batches:
-            tails = [fitted.tails(features(None if t is pd.NA else t)) for t in batch["text"].array]
-            yield pd.DataFrame(
-                {"id": batch["id"], "expected_grade": [float(t.sum()) for t in tails], "top_tail": [float(t[-1]) for t in tails]}
+        for keys, texts in blocks(batches, "id", "text"):
+            tails = np.array([fitted.tails(features(t)) for t in texts])
+            yield pa.record_batch(
+                [pa.array(keys, pa.int64()), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])],
+                ["id", "expected_grade", "top_tail"],
             )
 
     return run
@@ -202,7 +205,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM floats
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInPandas(_score(shared), "id long, expected_grade double, top_tail double")
+    found = rows.mapInArrow(_score(shared), "id long, expected_grade double, top_tail double")
     return found.select(F.col("id").alias(id_col), "expected_grade", "top_tail", (F.col("top_tail") >= min_tail).alias("kept"))
 
 

@@ -95,7 +95,6 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_frames.write(
         _table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_50k.json"),
-        public_tokenizers.PATTERN,
         end_id=2,
     )
     return token_frames.read_back(manifest)
