@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Unicode White_Space, spelt out since Java's \s is ASCII only.
 _SPACE = r"\t-\r \x85\xA0  -     　"
-_MULT = 2654435761
+_MULT, SHIFTS = 2654435761, (11, 31)
 LONG = 96
 
 
@@ -41,7 +41,7 @@ def spelt_pattern(pattern: str) -> str:
 def _slots(key: int, bits: int) -> tuple[int, int]:
     """The two slots of a pair key; the same arithmetic as ``_pair_rank``."""
     x = key * _MULT
-    return (x >> 7) & ((1 << bits) - 1), (x >> 29) & ((1 << bits) - 1)
+    return (x >> SHIFTS[0]) & ((1 << bits) - 1), (x >> SHIFTS[1]) & ((1 << bits) - 1)
 
 
 def _place(keys: dict[int, int], bits: int) -> list[int] | None:
@@ -102,7 +102,7 @@ def load_ranks(path: str) -> Ranks:
             if len(halves) != 2:
                 raise ValueError(f"no merges lead to the token {rank}")
             pairs[(ranks[halves[0]] << 16) | ranks[halves[1]]] = rank
-    bits = max(4, len(pairs).bit_length())
+    bits = max(4, len(pairs).bit_length() - 1)
     while (table := _place(pairs, bits)) is None:
         bits += 1
     pieces = [""] * (max(ranks.values()) + 1)
@@ -122,8 +122,8 @@ def _pair_rank(ranks: Ranks, table: Column):
     def look(a: Column, b: Column) -> Column:
         key = F.shiftleft(a, 16).bitwiseOR(b)
         x = key * F.lit(_MULT).cast("long")
-        one = F.get(table, F.shiftright(x, 7).bitwiseAND(F.lit(mask)).cast("int"))
-        two = F.get(table, (F.shiftright(x, 29).bitwiseAND(F.lit(mask)) + F.lit(1 << bits)).cast("int"))
+        one = F.get(table, F.shiftright(x, SHIFTS[0]).bitwiseAND(F.lit(mask)).cast("int"))
+        two = F.get(table, (F.shiftright(x, SHIFTS[1]).bitwiseAND(F.lit(mask)) + F.lit(1 << bits)).cast("int"))
         rank = lambda e: e.bitwiseAND(F.lit(0xFFFF))
         return F.when(F.shiftright(one, 16) == key, rank(one)).when(F.shiftright(two, 16) == key, rank(two))
 
@@ -273,6 +273,10 @@ def encode(
     ranks = load_ranks(rank_path)
     if len(ranks.piece_hex) > 0xD800:
         raise ValueError("one character per id needs ids below the surrogates")
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.maxPlanStringLength", None) in (None, str(2**31 - 1 - 15)):
+        # the literals would otherwise be spelt out in every description of a plan
+        spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     found = F.regexp_extract_all(F.col(text_col), F.lit(spelt_pattern(pattern)), F.lit(0))
     buckets = _dictionary(
         docs.select(F.explode(found).alias("w")), ranks, dictionary_size, dictionary_max_bytes
