@@ -1,8 +1,8 @@
 """All registered queries: name -> callable(spark, sf_dir), and name -> SQL."""
 
-from . import relational, sequence
+from . import domain, relational, sequence
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "conserved_canonical_kmers"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "relational", "sequence"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "domain", "relational", "sequence"]
