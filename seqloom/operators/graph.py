@@ -152,3 +152,67 @@ def _nodes(newick: str) -> list[tuple]:
         elif not ch.isspace():
             label += ch
     return [tuple(n) for n in nodes]
+
+
+def single_linkage(distances: DataFrame, cut_at: float) -> DataFrame:
+    """(node, root): clusters of nodes linked by distances (a, b, distance) of at most ``cut_at``.
+
+    Cutting a single-linkage tree at a height leaves the components of the pairs below it.
+    """
+    ends = distances.select("a").union(distances.select("b")).distinct().withColumnRenamed("a", "node")
+    found = components(distances.filter(F.col("distance") <= cut_at))
+    return ends.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def dereplicated(pairs: DataFrame, members: DataFrame, least_af: float, min_pairs: int = 2) -> DataFrame:
+    """(genome, representative): groups of genomes whose aligned fractions reach ``least_af``.
+
+    ``pairs``: (query, reference, af). Pairs seen in fewer than ``min_pairs`` directions
+    don't link. A group's representative has the lowest aligned fraction to another
+    member that still reaches the limit (ties: the least name); singletons stand for themselves.
+    """
+    both = (
+        pairs.filter((F.col("af") >= least_af) & (F.col("query") != F.col("reference")))
+        .groupBy(F.least("query", "reference").alias("a"), F.greatest("query", "reference").alias("b"))
+        .agg(F.count("*").alias("n"), F.min("af").alias("af"))
+        .filter(F.col("n") >= min_pairs)
+    )
+    grouped = components(both.select("a", "b"))
+    low = both.select(F.col("a").alias("node"), "af").union(both.select("b", "af")).groupBy("node").agg(F.min("af").alias("af"))
+    chosen = grouped.join(low, "node").groupBy("root").agg(F.min_by("node", F.struct("af", "node")).alias("representative"))
+    of = grouped.join(chosen, "root").select(F.col("node").alias("genome"), "representative")
+    return members.select("genome").distinct().join(of, "genome", "left").select(
+        "genome", F.coalesce("representative", "genome").alias("representative")
+    )
+
+
+def alignment_clusters(hits: DataFrame, key: str, start: str, end: str, tolerance: int) -> DataFrame:
+    """(key, cluster): hits of one subject whose starts and ends both lie within ``tolerance``.
+
+    Buckets of the start's size keep the comparison local; clusters are the connected
+    components, named by their least key, so that the order of rows doesn't matter.
+    """
+    at = F.floor(F.col(start) / (tolerance + 1)).cast("long")
+    left = hits.select("subject", key, start, end, F.explode(F.array(at - 1, at, at + 1)).alias("__b"))
+    right = hits.select(
+        "subject", F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), at.alias("__b")
+    )
+    near = left.join(right, ["subject", "__b"]).filter(
+        (F.col(key) < F.col("__k"))
+        & (F.abs(F.col(start) - F.col("__s")) <= tolerance)
+        & (F.abs(F.col(end) - F.col("__e")) <= tolerance)
+    )
+    found = components(near.select(F.col(key).alias("a"), F.col("__k").alias("b")))
+    return hits.join(found, hits[key] == found["node"], "left").select(key, F.coalesce("root", key).alias("cluster"))
+
+
+def near_equal_sets(df: DataFrame, member: str, item: str, most: int) -> DataFrame:
+    """(a, b, differing): pairs of members that share an item and differ in at most ``most``."""
+    rows = df.select(member, item).distinct()
+    sizes = rows.groupBy(member).agg(F.count("*").alias("n"))
+    x = rows.join(sizes, member).select(F.col(member).alias("a"), item, F.col("n").alias("na"))
+    y = x.select(F.col("a").alias("b"), item, F.col("na").alias("nb"))
+    # sets that differ in size by more can't be near
+    shared = x.join(y, item).filter((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= most))
+    counts = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    return counts.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("k")).alias("differing")).filter(F.col("differing") <= most)
