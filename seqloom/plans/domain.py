@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.operators import domain as D
+from seqloom.operators import domain as D, graph as G
 
 from .registry import Tables, query
 
@@ -93,3 +93,71 @@ def amplicon_statistics(t: Tables) -> DataFrame:
     )
     one = rows.groupBy("amp", "g").agg(F.min_by("s", "l_orderkey").alias("s"))
     return D.valid_amplicons(one, "amp", "g", "s", one)
+
+
+@query("""WITH e AS (SELECT user_id AS k, event_id AS id, epoch_ms(ts) AS s FROM events WHERE event_type = 'signup'),
+l AS (SELECT *, lag(s) OVER (PARTITION BY k ORDER BY s, id) AS before FROM e),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR s - before > 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT id, min(id) OVER (PARTITION BY k, run) AS cluster FROM g""")
+def alignment_clusters(t: Tables) -> DataFrame:
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    hits = t.events.filter("event_type = 'signup'").select(F.col("user_id").alias("subject"), F.col("event_id").alias("id"), at.alias("s"), at.alias("e"))
+    return G.alignment_clusters(hits, "id", "s", "e", 7_200_000)
+
+
+@query("""WITH r AS (SELECT DISTINCT s_suppkey % 20 AS m, l_partkey % 12 AS i FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND l_linenumber = 1),
+n AS (SELECT m, count(*) AS n FROM r GROUP BY 1),
+k AS (SELECT x.m AS a, y.m AS b, count(*) AS k FROM r x JOIN r y ON x.i = y.i AND x.m < y.m GROUP BY 1, 2)
+SELECT a, b, na.n + nb.n - 2 * k AS differing FROM k JOIN n na ON na.m = a JOIN n nb ON nb.m = b WHERE na.n + nb.n - 2 * k <= 4""")
+def duplicate_genomes(t: Tables) -> DataFrame:
+    rows = t.lineitem.filter("l_quantity > 49 AND l_linenumber = 1").select((F.col("l_suppkey") % 20).alias("m"), (F.col("l_partkey") % 12).alias("i"))
+    return G.near_equal_sets(rows, "m", "i", 4)
+
+
+@query("""WITH RECURSIVE p AS (SELECT c_nationkey AS q, c_custkey % 25 AS r, avg(c_acctbal) AS v FROM customer GROUP BY 1, 2),
+l AS (SELECT least(q, r) AS a, greatest(q, r) AS b FROM p WHERE q <> r AND v > 9000 GROUP BY 1, 2),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS (SELECT DISTINCT least(q, r) AS x FROM p WHERE q <> r UNION SELECT greatest(q, r) FROM p WHERE q <> r),
+c AS (SELECT x AS id, x AS root FROM n UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id)
+SELECT id AS node, min(root) AS root FROM c GROUP BY 1""")
+def single_linkage_clusters(t: Tables) -> DataFrame:
+    pairs = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("q"), (F.col("c_custkey") % 25).alias("r")).agg(F.avg("c_acctbal").alias("v")).filter("q <> r")
+    d = pairs.select(F.least("q", "r").alias("a"), F.greatest("q", "r").alias("b"), F.when(F.col("v") > 9000, 0.0).otherwise(1.0).alias("distance"))
+    return G.single_linkage(d, 0.5)
+
+
+@query("""WITH c AS (SELECT doc_id, i AS place, substr(text, i, 1) AS nt FROM (SELECT doc_id, text, unnest(range(1, 41)) AS i FROM documents WHERE length(text) >= 40 AND lang = 'en')),
+g AS (SELECT doc_id, place, CASE WHEN nt IN (' ', '.') THEN '-' ELSE nt END AS nt FROM c),
+k AS (SELECT place FROM g GROUP BY 1 HAVING avg(CASE WHEN nt IN ('-', 'N') THEN 1.0 ELSE 0.0 END) < 0.2)
+SELECT doc_id, string_agg(nt, '' ORDER BY place) AS seq FROM g JOIN k USING (place) GROUP BY 1""")
+def gapless_alignment(t: Tables) -> DataFrame:
+    rows = t.documents.filter("lang = 'en' AND length(text) >= 40").select("doc_id", F.translate(F.substring("text", 1, 40), " .", "--").alias("seq"))
+    return D.aligned_columns(rows, "doc_id", "seq", 0.2)
+
+
+@query(None)
+def nation_tree(t: Tables) -> DataFrame:
+    """A neighbour-joining tree of nations in each region by their mean balances."""
+    means = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.avg("c_acctbal").alias("v"))
+    a, b = means.alias("a"), means.alias("b")
+    pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_name") < F.col("b.n_name")))
+    return G.trees(
+        pairs.select(F.col("a.n_regionkey").alias("region"), F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.abs(F.col("a.v") - F.col("b.v")).alias("distance")),
+        "region",
+    )
+
+
+@query(None)
+def order_tiers(t: Tables) -> DataFrame:
+    """Orders of each nation's first customers as intervals without overlap in a tier."""
+    day = F.floor(F.unix_millis(F.col("o_orderdate").cast("timestamp")) / 86_400_000)
+    rows = t.orders.select((F.col("o_custkey") % 50).alias("k"), day.alias("s"), (day + F.col("o_orderkey") % 30 + 1).alias("e"), F.col("o_orderkey").alias("id"))
+    return G.interval_tiers(rows, "k", "s", "e", "id")
+
+
+@query("""SELECT k, arg_max(v, place) AS v FROM (
+  SELECT o_custkey AS k, o_orderstatus AS v, o_orderkey AS place FROM orders UNION ALL SELECT l_suppkey, l_returnflag, -l_orderkey * 10 - l_linenumber FROM lineitem) GROUP BY 1""")
+def union_last_wins(t: Tables) -> DataFrame:
+    a = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"), F.col("o_orderkey").alias("place"))
+    b = t.lineitem.select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("v"), (-F.col("l_orderkey") * 10 - F.col("l_linenumber")).alias("place"))
+    return a.unionByName(b).groupBy("k").agg(F.max_by("v", "place").alias("v"))
