@@ -3,8 +3,8 @@
 Ranks of a ``.tiktoken`` file become one literal pair table (a two-choice hash
 table over arrays of longs): the entry of (left id, right id) is the id of the
 joined bytes, which is also its rank. ``bpe_ids`` folds merges over the byte ids
-of a word: each step looks up all neighbouring pairs, takes the least rank and
-joins its first occurrence. Words of more than LONG bytes join all occurrences
+of a word: each step takes the least rank of all neighbouring pairs, joins its
+first occurrence and looks up the two new pairs. Words of more than LONG bytes join all occurrences
 of the least rank in a step, so that a run of one character takes a logarithmic
 number of steps.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Unicode White_Space, spelt out since Java's \s is ASCII only.
 _SPACE = r"\t-\r \x85\xA0  -     　"
-_MULT, SHIFTS = 2654435761, (11, 31)
+_MULT, SHIFTS = 668265263, (9, 27)
 LONG = 96
 
 
@@ -145,15 +145,33 @@ def bpe_ids(word: Column, ranks: Ranks, table: Column, byte_ids: Column) -> Colu
         m = F.size(ids) - 1
         return F.zip_with(F.slice(ids, 1, m), F.slice(ids, 2, m), look)
 
-    def first(ids: Column) -> Column:
-        def join(pairs: Column) -> Column:
-            least = F.array_min(pairs)
-            at = F.array_position(pairs, least).cast("int")
-            return F.when(least.isNull(), ids).otherwise(
-                F.concat(F.slice(ids, 1, at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids)))
-            )
+    # Short words: one array whose entries hold an id and, above it, the rank of its
+    # pair with the next id. An id at either end that no pair has spares the borders a test.
+    none, edge = F.lit(0xFFFF << 16).cast("long"), F.lit(len(ranks.piece_hex)).cast("long")
+    id_of = lambda entry: entry.bitwiseAND(F.lit(0xFFFF))
+
+    def entry(a: Column, b: Column) -> Column:
+        return F.coalesce(F.shiftleft(look(a, b), 16), none) + a
+
+    def first(state: Column) -> Column:
+        def join(least: Column) -> Column:
+            merged = F.shiftright(least, 16)
 
-        return F.when(F.size(ids) < 2, ids).otherwise(_let(pair_ranks(ids), join))
+            def spliced(at: Column) -> Column:
+                def renewed(x: Column, i: Column) -> Column:
+                    return (
+                        F.when(i == at - 1, entry(merged, id_of(F.get(state, at + 1))))
+                        .when(i == at - 2, entry(id_of(x), merged))
+                        .when(i == at, F.lit(-1).cast("long"))
+                        .otherwise(x)
+                    )
+
+                return F.filter(F.transform(state, renewed), lambda x: x >= 0)
+
+            here = _let(F.array_position(state, least).cast("int"), spliced)
+            return F.when(least >= none, state).otherwise(here)
+
+        return _let(F.array_min(state), join)
 
     def all_of_least(state: Column) -> Column:
         ids = state["ids"]
@@ -180,7 +198,13 @@ def bpe_ids(word: Column, ranks: Ranks, table: Column, byte_ids: Column) -> Colu
 
         return F.when(state["done"] | (F.size(ids) < 2), state).otherwise(_let(pair_ranks(ids), join))
 
-    short = F.aggregate(F.sequence(F.lit(1), n), start, lambda ids, _: first(ids))
+    padded = F.concat(F.array(edge), start, F.array(edge))
+    short = F.aggregate(
+        F.sequence(F.lit(1), n),
+        _let(padded, lambda ids: F.transform(ids, lambda x, i: entry(x, F.coalesce(F.get(ids, i + 1), edge)))),
+        lambda state, _: first(state),
+        lambda state: F.transform(F.slice(state, 2, F.size(state) - 2), id_of),
+    )
     long = F.aggregate(
         F.sequence(F.lit(1), n),
         F.struct(start.alias("ids"), F.lit(False).alias("done")),
@@ -204,12 +228,12 @@ def _constants(ranks: Ranks) -> Column:
     return F.struct(
         _numbers(ranks.table).alias("table"),
         _numbers(ranks.byte_ids).alias("byte_ids"),
-        F.split(F.lit(_BUCKET.join(map(chr, range(len(ranks.piece_hex))))), _BUCKET).alias("id_chars"),
+        F.split(F.lit(_BUCKET.join(chr(i) + "\0" for i in range(len(ranks.piece_hex)))), _BUCKET).alias("id_chars"),
     )
 
 
 def _id_string(word: Column, ranks: Ranks, constants: Column) -> Column:
-    """The ids of a word as a string with one character for each id."""
+    """The ids of a word as a string: a character for each id, and a NUL after it."""
     return F.array_join(
         F.transform(
             bpe_ids(word, ranks, constants["table"], constants["byte_ids"]),
@@ -260,13 +284,13 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    dictionary_size: int = 1 << 18,
+    dictionary_size: int = 1 << 17,
     dictionary_max_bytes: int = 24,
 ) -> DataFrame:
     """Byte-level BPE ids of every text: (id_col, n_tokens, id_string, ids).
 
-    ``id_string`` holds one character for each id, ``ids`` the ids as
-    little-endian unsigned 32-bit integers. A null or empty text has no ids; rows
+    ``id_string`` holds a character and a NUL for each id, ``ids`` the ids as
+    little-endian unsigned 32-bit integers (the same in UTF-16). A null or empty text has no ids; rows
     with equal id_col are encoded each; other columns are not looked at, so their
     names can't clash. An empty table gives an empty result.
     """
@@ -304,9 +328,9 @@ def encode(
     made = docs.select(F.col(id_col), id_string.alias("id_string"))
     return made.select(
         id_col,
-        F.char_length("id_string").cast("long").alias("n_tokens"),
+        F.expr("char_length(id_string) div 2").alias("n_tokens"),
         "id_string",
-        F.encode(F.regexp_replace("id_string", r"([\s\S])", "$1\u0000"), "UTF-16LE").alias("ids"),
+        F.encode("id_string", "UTF-16LE").alias("ids"),
     )
 
 
@@ -333,7 +357,7 @@ def decode(encoded: DataFrame, rank_path: str, *, id_col: str = "doc_id") -> Dat
             lambda p: F.array_join(
                 F.transform(
                     F.split(F.col("id_string"), ""),
-                    lambda ch: F.get(p, F.ascii(ch)),
+                    lambda ch, i: F.when(i % 2 == 0, F.get(p, F.ascii(ch))).otherwise(""),
                 ),
                 "",
             ),
