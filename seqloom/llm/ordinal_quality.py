@@ -97,7 +97,7 @@ def _loss(params: np.ndarray, n_grades: int):
             for k in range(n_grades - 1):
                 slope[DIM + k] += dl[grade == k + 1].sum() - du[grade == k].sum()
             rows += len(batch)
-        yield pd.DataFrame({"rows": [rows], "loss": [loss], "slope": [slope.astype("<f8").tobytes()]})
+        yield pd.DataFrame({"rows": [rows], "loss": [loss], "slope": [slope.astype("<f4").tobytes()]})
 
     return run
 
@@ -174,7 +174,7 @@ def train(
             return np.inf, x
         parts = data.mapInPandas(_loss(x, n_grades), "rows long, loss double, slope binary").collect()
         n = sum(p.rows for p in parts)
-        slope = sum((np.frombuffer(p.slope, "<f8") for p in parts), np.zeros(len(x)))
+        slope = sum((np.frombuffer(p.slope, "<f4") for p in parts), np.zeros(len(x)))
         value = sum(p.loss for p in parts) / max(n, 1) + (decay * x * x).sum() / 2
         return value, used * (slope / max(n, 1) + decay * x)
 

@@ -51,7 +51,7 @@ class TextIds:
     Chunks go from a young to an old generation and stay for as long as they are met.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 600_000):
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
         vocabulary = self._tokenizer.get_vocab()
@@ -75,21 +75,29 @@ class TextIds:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         if len(self._young) > self._bound:
             self._old, self._young = self._young, {}
-        look, new, split = self._young.get, {}, []
+        look, new, out, open_places = self._young.get, {}, [], []
         for text in texts:
             if not text or _ODD_SPACE(text):
-                split.append((self._whole(text) if text else b"", [], []))
+                out.append([self._whole(text) if text else b""])
                 continue
-            first, *chunks = text.replace("\n", " \n").split(" ")
+            chunks = text.replace("\n", " \n").split(" ")
+            first, chunks[0] = chunks[0], None
             ids = list(map(look, chunks))
-            if None in ids:
-                new.update((c, None) for c, known in zip(chunks, ids) if known is None)
-                ids = None
-            split.append((self._whole(first) if first else b"", chunks, ids))
+            ids[0] = self._whole(first) if first else b""
+            at = 0
+            try:
+                while True:  # the places that the cache leaves open
+                    at = ids.index(None, at + 1)
+                    new[chunks[at]] = None
+                    open_places.append((ids, at, chunks[at]))
+            except ValueError:
+                out.append(ids)
         again = {c: self._old[c] for c in new if c in self._old}
         self._young.update(again)
         self._learn([c for c in new if c not in again])
-        return [first + b"".join(map(look, chunks) if ids is None else ids) for first, chunks, ids in split]
+        for ids, at, chunk in open_places:
+            ids[at] = look(chunk)
+        return [b"".join(ids) for ids in out]
 
 
 _ODD_SPACE = re.compile(r"\s\s").search
