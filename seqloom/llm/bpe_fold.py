@@ -4,9 +4,9 @@ Ranks of a ``.tiktoken`` file become one literal pair table (a two-choice hash
 table over arrays of longs): the entry of (left id, right id) is the id of the
 joined bytes, which is also its rank. ``bpe_ids`` folds merges over the byte ids
 of a word: each step takes the least rank of all neighbouring pairs, joins its
-first occurrence and looks up the two new pairs. Words of more than LONG bytes join all occurrences
-of the least rank in a step, so that a run of one character takes a logarithmic
-number of steps.
+first occurrence and looks up the two new pairs. Words of more than LONG bytes join
+all occurrences of the least rank in a step, so that a run of one character takes a
+logarithmic number of steps.
 
 Distinct words are counted over the whole corpus; the ``dictionary_size`` most
 frequent ones (a documented size bound) are folded once and looked up from a
@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Unicode White_Space, spelt out since Java's \s is ASCII only.
-_SPACE = r"\t-\r \x85\xA0  -     　"
+_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _MULT, SHIFTS = 668265263, (9, 27)
 LONG = 96
 
@@ -45,6 +45,7 @@ def _slots(key: int, bits: int) -> tuple[int, int]:
 
 
 def _place(keys: dict[int, int], bits: int) -> list[int] | None:
+    """Entries (key << 16 | rank, else -1) on two sides; None if they don't find room."""
     table: list[int] = [-1] * (2 << bits)
     for item in keys.items():
         side = 0
@@ -55,8 +56,8 @@ def _place(keys: dict[int, int], bits: int) -> list[int] | None:
                 table[at] = packed
                 break
             table[at], packed = packed, table[at]
-            item = (packed >> 16, packed & 0xFFFF)
-            side ^= 1 if (_slots(item[0], bits)[side] + (side << bits)) == at else 0
+            item = (packed >> 16, packed & 0xFFFF)  # the one driven out goes to its other side
+            side ^= 1
         else:
             return None
     return table
