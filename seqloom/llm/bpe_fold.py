@@ -21,7 +21,10 @@ import base64
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .common import cut
 
 #: Unicode White_Space, spelt out since Java's \s is ASCII only.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -112,9 +115,11 @@ def load_ranks(path: str) -> Ranks:
     return Ranks(bits, tuple(table), tuple(ranks[bytes([i])] for i in range(256)), tuple(pieces))
 
 
-def _numbers(values) -> Column:
-    """A literal array: split and cast of a literal string, folded when planned."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _constant(spark: SparkSession, **arrays) -> DataFrame:
+    """One row with one struct column ``c`` of the given arrays (longs or strings)."""
+    kind = lambda v: pa.list_(pa.string() if isinstance(v[0], str) else pa.int64())
+    columns = {name: pa.array([list(v)], kind(v)) for name, v in arrays.items()}
+    return spark.createDataFrame(pa.table(columns)).select(F.struct(*arrays).alias("c"))
 
 
 def _pair_rank(ranks: Ranks, table: Column):
@@ -222,14 +227,15 @@ def _let(value: Column, use) -> Column:
 
 
 #: Private-use characters, which no id stands for (ids lie below the surrogates).
-_WORD_END, _ENTRY, _BUCKET = "\ue000", "\ue001", "\ue002"
+_WORD_END, _ENTRY = "\ue000", "\ue001"
 
 
-def _constants(ranks: Ranks) -> Column:
-    return F.struct(
-        _numbers(ranks.table).alias("table"),
-        _numbers(ranks.byte_ids).alias("byte_ids"),
-        F.split(F.lit(_BUCKET.join(chr(i) + "\0" for i in range(len(ranks.piece_hex)))), _BUCKET).alias("id_chars"),
+def _constants(spark: SparkSession, ranks: Ranks) -> DataFrame:
+    return _constant(
+        spark,
+        table=ranks.table,
+        byte_ids=ranks.byte_ids,
+        id_chars=[chr(i) + "\0" for i in range(len(ranks.piece_hex))],
     )
 
 
@@ -244,38 +250,30 @@ def _id_string(word: Column, ranks: Ranks, constants: Column) -> Column:
     )
 
 
-def _dictionary(words: DataFrame, ranks: Ranks, size: int, max_bytes: int) -> list[str]:
-    """Folded ids of the most frequent distinct words, as buckets of entries.
+def _dictionary(words: DataFrame, ranks: Ranks, size: int, max_bytes: int, n_buckets: int) -> DataFrame:
+    """Folded ids of the most frequent distinct words: one row, an array ``known`` of buckets of entries.
 
-    The result has at most ``size`` entries of ``max_bytes`` bytes, whatever the corpus.
+    At most ``size`` entries of ``max_bytes`` bytes, whatever the corpus.
     """
+    spark = words.sparkSession
     top = (
-        words.filter((F.octet_length("w") <= max_bytes) & ~F.col("w").rlike("[\ue000-\ue002]"))
+        words.filter((F.octet_length("w") <= max_bytes) & ~F.col("w").rlike("[\ue000-\ue001]"))
         .groupBy("w")
         .count()
         .orderBy(F.desc("count"), "w")
         .limit(size)
     )
-    n_buckets = max(16, size // 8)
-    made = (
+    folded = _let(F.col("c"), lambda c: _id_string(F.col("w"), ranks, c))
+    entry = F.concat(F.lit(_ENTRY), "w", F.lit(_WORD_END), folded, F.lit(_ENTRY))
+    entries = (
         top.repartition(F.col("w"))
-        .select(
-            F.pmod(F.xxhash64("w"), F.lit(n_buckets)).alias("bucket"),
-            F.concat(
-                F.lit(_ENTRY),
-                "w",
-                F.lit(_WORD_END),
-                _let(_constants(ranks), lambda c: _id_string(F.col("w"), ranks, c)),
-                F.lit(_ENTRY),
-            ).alias("entry"),
-        )
-        .groupBy("bucket")
-        .agg(F.array_join(F.collect_list("entry"), "").alias("entries"))
+        .withColumn("c", _constants(spark, ranks).scalar())
+        .select(F.pmod(F.xxhash64("w"), F.lit(n_buckets)).alias("bucket"), entry.alias("entry"))
+        .union(spark.range(n_buckets).select(F.col("id"), F.lit("")))
     )
-    buckets = [""] * n_buckets
-    for row in made.collect():
-        buckets[row.bucket] = row.entries
-    return buckets
+    buckets = entries.groupBy("bucket").agg(F.array_join(F.collect_list("entry"), "").alias("entries"))
+    in_order = F.sort_array(F.collect_list(F.struct("bucket", "entries")))
+    return buckets.agg(F.transform(in_order, lambda b: b["entries"]).alias("known"))
 
 
 def encode(
@@ -285,7 +283,7 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    dictionary_size: int = 1 << 17,
+    dictionary_size: int = 1 << 19,
     dictionary_max_bytes: int = 24,
 ) -> DataFrame:
     """Byte-level BPE ids of every text: (id_col, n_tokens, id_string, ids).
@@ -299,14 +297,11 @@ def encode(
     if len(ranks.piece_hex) > 0xD800:
         raise ValueError("one character per id needs ids below the surrogates")
     spark = docs.sparkSession
-    if spark.conf.get("spark.sql.maxPlanStringLength", None) in (None, str(2**31 - 1 - 15)):
-        # the literals would otherwise be spelt out in every description of a plan
-        spark.conf.set("spark.sql.maxPlanStringLength", "100000")
-    found = F.regexp_extract_all(F.col(text_col), F.lit(spelt_pattern(pattern)), F.lit(0))
-    buckets = _dictionary(
-        docs.select(F.explode(found).alias("w")), ranks, dictionary_size, dictionary_max_bytes
-    )
-    known = F.split(F.lit(_BUCKET.join(buckets)), _BUCKET)
+    found = F.regexp_extract_all(F.col("text"), F.lit(spelt_pattern(pattern)), F.lit(0))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    n_buckets = max(16, dictionary_size // 8)
+    words = rows.select(F.explode(found).alias("w"))
+    known = cut(_dictionary(words, ranks, dictionary_size, dictionary_max_bytes, n_buckets))
 
     def one(word: Column, c: Column) -> Column:
         def lookup(bucket: Column) -> Column:
@@ -316,19 +311,20 @@ def encode(
                 F.substring_index(F.call_function("substring_index", bucket, key, F.lit(-1)), _ENTRY, 1),
             ).otherwise(_id_string(word, ranks, c))
 
-        return _let(F.get(c["known"], F.pmod(F.xxhash64(word), F.lit(len(buckets))).cast("int")), lookup)
+        return _let(F.get(c["known"], F.pmod(F.xxhash64(word), F.lit(n_buckets)).cast("int")), lookup)
 
-    constants = _constants(ranks)
-    id_string = F.coalesce(
-        _let(
-            F.struct(constants.alias("c"), known.alias("known")),
-            lambda c: F.array_join(F.transform(found, lambda w: one(w, _Fields(c))), ""),
-        ),
-        F.lit(""),
+    ids_of_text = _let(
+        F.struct("c", "known"), lambda c: F.array_join(F.transform(found, lambda w: one(w, _Fields(c))), "")
+    )
+    # The constants are scalar subqueries, which Catalyst moves into the expression: each is
+    # named once there, and tasks get it as flat bytes.
+    made = (
+        rows.withColumn("c", _constants(spark, ranks).scalar())
+        .withColumn("known", known.scalar())
+        .select("id", F.coalesce(ids_of_text, F.lit("")).alias("id_string"))
     )
-    made = docs.select(F.col(id_col), id_string.alias("id_string"))
     return made.select(
-        id_col,
+        F.col("id").alias(id_col),
         F.expr("char_length(id_string) div 2").alias("n_tokens"),
         "id_string",
         F.encode("id_string", "UTF-16LE").alias("ids"),
@@ -351,20 +347,12 @@ def decode(encoded: DataFrame, rank_path: str, *, id_col: str = "doc_id") -> Dat
     Concatenates the binary pieces of the ids in ``id_string``.
     """
     ranks = load_ranks(rank_path)
-    pieces = F.split(F.lit(",".join(ranks.piece_hex)), ",")
+    pieces = _constant(encoded.sparkSession, pieces=ranks.piece_hex)
+    hex_of = lambda c: lambda ch, i: F.when(i % 2 == 0, F.get(c["pieces"], F.ascii(ch))).otherwise("")
     decoded = F.unhex(
-        _let(
-            pieces,
-            lambda p: F.array_join(
-                F.transform(
-                    F.split(F.col("id_string"), ""),
-                    lambda ch, i: F.when(i % 2 == 0, F.get(p, F.ascii(ch))).otherwise(""),
-                ),
-                "",
-            ),
-        )
+        _let(F.col("c"), lambda c: F.array_join(F.transform(F.split(F.col("id_string"), ""), hex_of(c)), ""))
     )
-    return encoded.select(
+    return encoded.withColumn("c", pieces.scalar()).select(
         id_col,
         "n_tokens",
         "ids",
