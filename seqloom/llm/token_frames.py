@@ -241,5 +241,5 @@ def read_back(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    found = files.repartition("path").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long")
+    found = files.repartition(max(1, min(files.count(), 10_000))).mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("id", id_col)
