@@ -350,9 +350,9 @@ def decode(encoded: DataFrame, rank_path: str, *, id_col: str = "doc_id") -> Dat
     pieces = _constant(encoded.sparkSession, pieces=ranks.piece_hex)
     hex_of = lambda c: lambda ch, i: F.when(i % 2 == 0, F.get(c["pieces"], F.ascii(ch))).otherwise("")
     decoded = F.unhex(
-        _let(F.col("c"), lambda c: F.array_join(F.transform(F.split(F.col("id_string"), ""), hex_of(c)), ""))
+        _let(F.col("__pieces"), lambda c: F.array_join(F.transform(F.split(F.col("id_string"), ""), hex_of(c)), ""))
     )
-    return encoded.withColumn("c", pieces.scalar()).select(
+    return encoded.withColumn("__pieces", pieces.scalar()).select(
         id_col,
         "n_tokens",
         "ids",
