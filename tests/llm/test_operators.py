@@ -325,6 +325,38 @@ def test_image_copies(spark):
     assert image_features.search(image_features.features(one.limit(0)), image_features.features(one)).count() == 0
 
 
+def test_noisy_scaled_and_cropped_copies_are_found(spark):
+    """Corners are matched as by brute force where a part is shared; copies as by all pairs within the distance."""
+    draw = np.random.default_rng(5)
+    smooth = image_features._smooth
+    pictures = {k: np.kron(smooth(smooth(draw.normal(size=(64, 64)), 3), 3), np.ones((2, 2))) for k in range(10)}
+    pictures = {k: smooth(128 + 40 * (p - p.mean()) / p.std(), 3) for k, p in pictures.items()}
+    copies = {}
+    for k, p in pictures.items():
+        big = np.repeat(np.repeat(p, 3, axis=0), 3, axis=1)
+        copies[k] = p + draw.normal(0, 6, p.shape)
+        copies[100 + k] = smooth(big, 3)[1::2, 1::2]  # 1.5 times as large
+        copies[200 + k] = p[:72, 40:]
+    frame = lambda d: spark.createDataFrame([(k, bytearray(image_features.encode(p))) for k, p in d.items()], "class_id long, image binary")
+    q, i = image_features.features(frame(copies)), image_features.features(frame(pictures))
+    rows = lambda df: [(r.class_id, r.corner, np.unpackbits(np.array(r.parts, ">i4").view(np.uint8))) for r in df.collect()]
+    a, b = rows(q), rows(i)
+    assert max(n for _, n, _ in b) > 40
+    x, y = (np.array([r[2] for r in side]) for side in (a, b))
+    x, y = (z.reshape(-1, 8, 32).transpose(1, 0, 2) * np.float32(2) - 1 for z in (x, y))
+    bits = (32 - x @ y.transpose(0, 2, 1)) / 2  # by part, corner and corner
+    near = bits.sum(axis=0) <= 48
+    name = lambda at: {(a[m][0], b[n][0], a[m][1], b[n][1]) for m, n in zip(*np.nonzero(at))}
+    got = image_features.near_corners(q, i, block=1500).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {tuple(map(int, r)) for r in name(near & (bits == 0).any(axis=0))}
+    assert {tuple(r) for r in got} >= name(bits.sum(axis=0) <= 7)
+    found = {(r.query_class, r.class_id) for r in image_features.search(q, i).collect()}
+    able = {k for k in copies if len({m for c, d, m, _ in name(near) if (c, d) == (k, k % 100)}) >= 5}
+    share = [np.mean([(k, k % 100) in found for k in able if k // 100 == kind]) for kind in range(3)]
+    print("recall of noisy, scaled, cropped copies", share, len(able))
+    assert min(share) >= 0.9
+
+
 def test_image_decoding():
     grey = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert (image_features.decode(image_features.encode(grey)) == grey).all()
