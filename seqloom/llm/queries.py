@@ -103,17 +103,26 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited copies of every picture whose id is divisible by 20, against all pictures.
 
-    The tables have no media column; pictures are rendered from embeddings.
+    The tables have no media column; pictures are rendered from embeddings. Every row of
+    the table is given with its class of equal pictures (null without a picture), those
+    asked for with a row for each class that matches; its members are the rows with that
+    class_id. A picture's own class always matches, with 0 votes if only its bytes say so.
     """
     images = common.stored(image_features.rendered(_table(spark, sf_dir, "embeddings")), "images")
     member = common.stored(image_features.classes(images), "image-classes")
     one_each = images.join(member.filter("id = class_id"), "id").select("class_id", "image")
     asked = member.filter("id % 20 = 0")
-    queries = image_features.edited(one_each.join(asked.select("class_id").distinct(), "class_id"))
+    asked_classes = asked.select("class_id").distinct()
+    queries = image_features.edited(one_each.join(asked_classes, "class_id"))
     found = image_features.search(image_features.features(queries), image_features.features(one_each))
-    return asked.join(found.withColumnRenamed("class_id", "match_class"), asked["class_id"] == found["query_class"]).select(
+    equal = asked_classes.select(F.col("class_id").alias("query_class"), "class_id", F.lit(0).cast("long").alias("votes"))
+    pairs = found.unionByName(equal).groupBy("query_class", F.col("class_id").alias("match_class")).agg(F.max("votes").alias("votes"))
+    matched = asked.join(pairs, asked["class_id"] == pairs["query_class"]).select(
         F.col("id").alias("vec_id"), "class_id", "match_class", "votes"
     )
+    without = images.filter("id IS NULL OR image IS NULL").select("id", F.lit(None).cast("long").alias("class_id"))
+    others = member.filter("id % 20 <> 0").unionByName(without)
+    return matched.unionByName(others.withColumnRenamed("id", "vec_id"), allowMissingColumns=True)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

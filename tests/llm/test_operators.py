@@ -325,6 +325,21 @@ def test_image_copies(spark):
     assert image_features.search(image_features.features(one.limit(0)), image_features.features(one)).count() == 0
 
 
+def test_image_query_gives_every_row_with_its_class(spark, tmp_path):
+    from seqloom.llm import queries
+
+    same = {19: 3, 23: 3, 40: 3, 41: 40, 42: 40}
+    vectors = [(i, np.random.default_rng(same.get(i, i)).normal(size=64).tolist()) for i in (*range(17, 25), 40, 41, 42)]
+    vectors = [(i, [0.0] * 64 if i in (20, 21) else v) for i, v in vectors] + [(60, None), (None, [1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in queries.op9_image_features(spark, str(tmp_path)).collect()]
+    of = {i: i for i, _ in vectors} | {21: 20, 23: 19, 40: 19, 42: 41, 60: None}
+    assert {(i, c) for i, c, *_ in got} == set(of.items())
+    assert (20, 20, 20, 0) in got  # flat pictures have no corners
+    assert [votes >= 5 for i, _, match, votes in got if (i, match) == (40, 19)] == [True]
+    assert {i for i, _, match, _ in got if match is not None} == {20, 40}
+
+
 def test_noisy_scaled_and_cropped_copies_are_found(spark):
     """Corners are matched as by brute force where a part is shared; copies as by all pairs within the distance."""
     draw = np.random.default_rng(5)
