@@ -8,11 +8,11 @@ first occurrence and looks up the two new pairs. Words of more than LONG bytes j
 all occurrences of the least rank in a step, so that a run of one character takes a
 logarithmic number of steps.
 
-Distinct words are counted over the whole corpus; the ``dictionary_size`` most
-frequent ones (a documented size bound) are folded once and looked up from a
-literal; every other word is folded where it stands, so results don't depend on
-the bound. Nothing is joined or grouped by document: each text is encoded in its
-own task, whatever its length.
+Distinct words are counted over the whole corpus. Those from a count on, which at
+most ``dictionary_size`` words reach (a documented size bound), are folded once and
+looked up from literal arrays, one word a slot; every other word is folded where it
+stands, so results don't depend on the bound. Nothing is joined or grouped by
+document: each text is encoded in its own task, whatever its length.
 """
 
 from __future__ import annotations
@@ -22,14 +22,17 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut
+from .common import cut, stored
 
 #: Unicode White_Space, spelt out since Java's \s is ASCII only.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _MULT, SHIFTS = 668265263, (9, 27)
 LONG = 96
+#: The rank of pairs that have none; the code that stands for a word's borders; the
+#: character (of private use) for id 0, since NUL ends every id's character.
+NONE, BORDER, ZERO = 0xFFFF, 256, 0xE000
 
 
 def spelt_pattern(pattern: str) -> str:
@@ -68,12 +71,14 @@ def _place(keys: dict[int, int], bits: int) -> list[int] | None:
 
 @dataclass(frozen=True)
 class Ranks:
-    """Merge ranks as plain values: the packed pair table, ids of bytes, pieces in hex."""
+    """Merge ranks as plain values: the packed pair table, entries of byte pairs, pieces
+    with a character for each byte."""
 
     bits: int
     table: tuple[int, ...]
     byte_ids: tuple[int, ...]
-    piece_hex: tuple[str, ...]
+    byte_pairs: tuple[int, ...]
+    pieces: tuple[str, ...]
 
 
 def _last_two(piece: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]:
@@ -111,8 +116,11 @@ def load_ranks(path: str) -> Ranks:
         bits += 1
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
-    return Ranks(bits, tuple(table), tuple(ranks[bytes([i])] for i in range(256)), tuple(pieces))
+        pieces[rank] = piece.decode("iso-8859-1")
+    byte_ids = tuple(ranks[bytes([i])] for i in range(256))
+    ends = (*byte_ids, len(pieces))  # an id that no pair has stands for the word's borders
+    entries = tuple((pairs.get((a << 16) | b, NONE) << 16) | a for a in ends for b in ends)
+    return Ranks(bits, tuple(table), byte_ids, entries, tuple(pieces))
 
 
 def _constant(spark: SparkSession, **arrays) -> DataFrame:
@@ -136,43 +144,37 @@ def _pair_rank(ranks: Ranks, table: Column):
     return look
 
 
-def bpe_ids(word: Column, ranks: Ranks, table: Column, byte_ids: Column) -> Column:
+def bpe_ids(word: Column, ranks: Ranks, constants: Column) -> Column:
     """Ids (array<bigint>) of one word, by folding ranked merges over its bytes.
 
-    ``table`` and ``byte_ids`` are the arrays of ``ranks`` as columns. Null gives
-    null, the empty word an empty array.
+    ``constants`` is a struct with the arrays of ``ranks`` (table, byte_ids,
+    byte_pairs). Null gives null, the empty word an empty array.
     """
-    look = _pair_rank(ranks, table)
-    chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    start = F.transform(chars, lambda c: F.get(byte_ids, F.ascii(c)))
+    look = _pair_rank(ranks, constants["table"])
+    chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
     n = F.octet_length(word)
 
-    def pair_ranks(ids: Column) -> Column:
-        m = F.size(ids) - 1
-        return F.zip_with(F.slice(ids, 1, m), F.slice(ids, 2, m), look)
-
     # Short words: one array whose entries hold an id and, above it, the rank of its
-    # pair with the next id. An id at either end that no pair has spares the borders a test.
-    none, edge = F.lit(0xFFFF << 16).cast("long"), F.lit(len(ranks.piece_hex)).cast("long")
+    # pair with the next id. The ids at either end have no pair, which spares the borders a test.
+    none = F.lit(NONE << 16).cast("long")
     id_of = lambda entry: entry.bitwiseAND(F.lit(0xFFFF))
 
     def entry(a: Column, b: Column) -> Column:
         return F.coalesce(F.shiftleft(look(a, b), 16), none) + a
 
+    def start(codes: Column) -> Column:
+        pair = lambda x, i: x * (BORDER + 1) + F.coalesce(F.get(codes, i + 1), F.lit(BORDER))
+        return F.transform(codes, lambda x, i: F.get(constants["byte_pairs"], pair(x, i)))
+
     def first(state: Column) -> Column:
         def join(least: Column) -> Column:
             merged = F.shiftright(least, 16)
 
             def spliced(at: Column) -> Column:
-                def renewed(x: Column, i: Column) -> Column:
-                    return (
-                        F.when(i == at - 1, entry(merged, id_of(F.get(state, at + 1))))
-                        .when(i == at - 2, entry(id_of(x), merged))
-                        .when(i == at, F.lit(-1).cast("long"))
-                        .otherwise(x)
-                    )
-
-                return F.filter(F.transform(state, renewed), lambda x: x >= 0)
+                made = F.array(
+                    entry(id_of(F.get(state, at - 2)), merged), entry(merged, id_of(F.get(state, at + 1)))
+                )
+                return F.concat(F.slice(state, F.lit(1), at - 2), made, F.slice(state, at + 2, F.size(state)))
 
             here = _let(F.array_position(state, least).cast("int"), spliced)
             return F.when(least >= none, state).otherwise(here)
@@ -202,22 +204,28 @@ def bpe_ids(word: Column, ranks: Ranks, table: Column, byte_ids: Column) -> Colu
                 F.struct(joined.alias("ids"), F.lit(False).alias("done"))
             )
 
-        return F.when(state["done"] | (F.size(ids) < 2), state).otherwise(_let(pair_ranks(ids), join))
+        m = F.size(ids) - 1
+        pairs = F.zip_with(F.slice(ids, 1, m), F.slice(ids, 2, m), look)
+        return F.when(state["done"] | (m < 1), state).otherwise(_let(pairs, join))
 
-    padded = F.concat(F.array(edge), start, F.array(edge))
+    codes = F.concat(F.array(F.lit(BORDER)), F.transform(chars, F.ascii), F.array(F.lit(BORDER)))
     short = F.aggregate(
-        F.sequence(F.lit(1), n),
-        _let(padded, lambda ids: F.transform(ids, lambda x, i: entry(x, F.coalesce(F.get(ids, i + 1), edge)))),
+        F.sequence(F.lit(2), n),
+        _let(codes, start),
         lambda state, _: first(state),
         lambda state: F.transform(F.slice(state, 2, F.size(state) - 2), id_of),
     )
+    byte_ids = F.transform(chars, lambda c: F.get(constants["byte_ids"], F.ascii(c)))
     long = F.aggregate(
         F.sequence(F.lit(1), n),
-        F.struct(start.alias("ids"), F.lit(False).alias("done")),
+        F.struct(byte_ids.alias("ids"), F.lit(False).alias("done")),
         lambda state, _: all_of_least(state),
     )["ids"]
     return (
-        F.when(n == 0, F.array().cast("array<bigint>")).when(n <= LONG, short).when(n > LONG, long)
+        F.when(n == 0, F.array().cast("array<bigint>"))
+        .when(n == 1, byte_ids)
+        .when(n <= LONG, short)
+        .when(n > LONG, long)
     )
 
 
@@ -226,54 +234,72 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-#: Private-use characters, which no id stands for (ids lie below the surrogates).
-_WORD_END, _ENTRY = "\ue000", "\ue001"
-
-
 def _constants(spark: SparkSession, ranks: Ranks) -> DataFrame:
     return _constant(
         spark,
         table=ranks.table,
         byte_ids=ranks.byte_ids,
-        id_chars=[chr(i) + "\0" for i in range(len(ranks.piece_hex))],
+        byte_pairs=ranks.byte_pairs,
+        id_chars=[chr(i or ZERO) + "\0" for i in range(len(ranks.pieces))],
     )
 
 
 def _id_string(word: Column, ranks: Ranks, constants: Column) -> Column:
-    """The ids of a word as a string: a character for each id, and a NUL after it."""
+    """The ids of a word as a string, a character and a NUL for each id."""
     return F.array_join(
-        F.transform(
-            bpe_ids(word, ranks, constants["table"], constants["byte_ids"]),
-            lambda i: F.get(constants["id_chars"], i.cast("int")),
-        ),
-        "",
+        F.transform(bpe_ids(word, ranks, constants), lambda i: F.get(constants["id_chars"], i.cast("int"))), ""
     )
 
 
-def _dictionary(words: DataFrame, ranks: Ranks, size: int, max_bytes: int, n_buckets: int) -> DataFrame:
-    """Folded ids of the most frequent distinct words: one row, an array ``known`` of buckets of entries.
+def _least_count(counts: DataFrame, size: int) -> int:
+    """The least count that at most ``size`` words reach.
+
+    From a histogram of counts kept to eight binary digits, a few thousand rows at most.
+    """
+    drop = F.greatest(F.floor(F.log2("n")).cast("int") - 8, F.lit(0))
+    floor = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), drop), drop)
+    rows = counts.groupBy(floor.alias("floor")).agg(F.count("*").alias("words")).orderBy(F.desc("floor")).collect()
+    least = 1 << 62
+    for row in rows:
+        size -= row.words
+        if size < 0:
+            break
+        least = row.floor
+    return least
+
+
+def _places(word_hash: Column, bits: int) -> tuple[Column, Column]:
+    """A word's slot among the first ``1 << bits`` and its other one, of half as many behind them."""
+    other = F.call_function("shiftrightunsigned", word_hash, F.lit(64 - bits + 1)) + F.lit(1 << bits)
+    return word_hash.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"), other.cast("int")
+
+
+def _dictionary(words: DataFrame, ranks: Ranks, size: int, max_bytes: int, bits: int) -> DataFrame:
+    """One row: arrays ``words`` and ``ids`` (as strings), by slot, of the most frequent words.
 
-    At most ``size`` entries of ``max_bytes`` bytes, whatever the corpus.
+    At most ``size`` entries of ``max_bytes`` bytes, whatever the corpus. A slot is its
+    most frequent word's; others go to their second slot, and the few that lose that too
+    are folded where they stand.
     """
     spark = words.sparkSession
-    top = (
-        words.filter((F.octet_length("w") <= max_bytes) & ~F.col("w").rlike("[\ue000-\ue001]"))
-        .groupBy("w")
-        .count()
-        .orderBy(F.desc("count"), "w")
-        .limit(size)
+    counts = stored(
+        words.filter(F.octet_length("w") <= max_bytes).groupBy("w").agg(F.count("*").alias("n")), "bpe-words"
     )
+    top = counts.filter(F.col("n") >= _least_count(counts, size))
+    one, two = _places(F.xxhash64("w"), bits)
+    best = lambda slot: F.row_number().over(Window.partitionBy(slot).orderBy(F.desc("n"), "w")) == 1
+    ranked = top.select("w", "n", one.alias("one"), two.alias("two")).withColumn("first", best("one"))
+    second = ranked.filter("not first").withColumn("held", best("two")).filter("held")
+    held = ranked.filter("first").select("w", F.col("one").alias("slot")).union(second.select("w", "two"))
     folded = _let(F.col("c"), lambda c: _id_string(F.col("w"), ranks, c))
-    entry = F.concat(F.lit(_ENTRY), "w", F.lit(_WORD_END), folded, F.lit(_ENTRY))
-    entries = (
-        top.repartition(F.col("w"))
-        .withColumn("c", _constants(spark, ranks).scalar())
-        .select(F.pmod(F.xxhash64("w"), F.lit(n_buckets)).alias("bucket"), entry.alias("entry"))
-        .union(spark.range(n_buckets).select(F.col("id"), F.lit("")))
+    entries = held.repartition("w").withColumn("c", _constants(spark, ranks).scalar()).select("slot", "w", folded.alias("ids"))
+    every = spark.range(3 << (bits - 1)).select(F.col("id").cast("int").alias("slot")).join(entries, "slot", "left")
+    row = F.struct("slot", F.coalesce("w", F.lit("")).alias("w"), F.coalesce("ids", F.lit("")).alias("ids"))
+    blocks = every.groupBy(F.shiftright("slot", 12).alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    in_order = F.sort_array(F.collect_list(F.struct("block", F.col("rows.w").alias("w"), F.col("rows.ids").alias("ids"))))
+    return blocks.agg(in_order.alias("b")).select(
+        F.struct(F.flatten("b.w").alias("words"), F.flatten("b.ids").alias("ids")).alias("known")
     )
-    buckets = entries.groupBy("bucket").agg(F.array_join(F.collect_list("entry"), "").alias("entries"))
-    in_order = F.sort_array(F.collect_list(F.struct("bucket", "entries")))
-    return buckets.agg(F.transform(in_order, lambda b: b["entries"]).alias("known"))
 
 
 def encode(
@@ -288,73 +314,65 @@ def encode(
 ) -> DataFrame:
     """Byte-level BPE ids of every text: (id_col, n_tokens, id_string, ids).
 
-    ``id_string`` holds a character and a NUL for each id, ``ids`` the ids as
-    little-endian unsigned 32-bit integers (the same in UTF-16). A null or empty text has no ids; rows
-    with equal id_col are encoded each; other columns are not looked at, so their
-    names can't clash. An empty table gives an empty result.
+    ``id_string`` holds a character (ZERO for id 0) and a NUL for each id, ``ids`` the
+    ids as little-endian unsigned 32-bit integers (which is what UTF-16 makes of these).
+    A null or empty text has no ids; rows with equal id_col are encoded each; other
+    columns are not looked at, so their names can't clash. An empty table gives an
+    empty result.
     """
     ranks = load_ranks(rank_path)
-    if len(ranks.piece_hex) > 0xD800:
+    if len(ranks.pieces) > 0xD800:
         raise ValueError("one character per id needs ids below the surrogates")
     spark = docs.sparkSession
     found = F.regexp_extract_all(F.col("text"), F.lit(spelt_pattern(pattern)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_buckets = max(16, dictionary_size // 8)
+    bits = max(4, (2 * dictionary_size - 1).bit_length())
     words = rows.select(F.explode(found).alias("w"))
-    known = cut(_dictionary(words, ranks, dictionary_size, dictionary_max_bytes, n_buckets))
+    known = cut(_dictionary(words, ranks, dictionary_size, dictionary_max_bytes, bits))
+
+    def one(word: Column, word_hash: Column, c: Column) -> Column:
+        first, second = _places(word_hash, bits)
+        return (
+            F.when(F.get(c["words"], first) == word, F.get(c["ids"], first))
+            .when(F.get(c["words"], second) == word, F.get(c["ids"], second))
+            .otherwise(_id_string(word, ranks, c))
+        )
+
+    def joined(c: Column) -> Column:
+        return _let(
+            found,
+            lambda f: F.array_join(F.zip_with(f, F.transform(f, lambda w: F.xxhash64(w)), lambda w, h: one(w, h, c)), ""),
+        )
+
+    def flat(both: Column) -> Column:
+        parts = [both["c"][x].alias(x) for x in ("table", "byte_ids", "byte_pairs", "id_chars")]
+        return _let(F.struct(*parts, *[both["known"][x].alias(x) for x in ("words", "ids")]), joined)
 
-    def one(word: Column, c: Column) -> Column:
-        def lookup(bucket: Column) -> Column:
-            key = F.concat(F.lit(_ENTRY), word, F.lit(_WORD_END))
-            return F.when(
-                F.contains(bucket, key),
-                F.substring_index(F.call_function("substring_index", bucket, key, F.lit(-1)), _ENTRY, 1),
-            ).otherwise(_id_string(word, ranks, c))
-
-        return _let(F.get(c["known"], F.pmod(F.xxhash64(word), F.lit(n_buckets)).cast("int")), lookup)
-
-    ids_of_text = _let(
-        F.struct("c", "known"), lambda c: F.array_join(F.transform(found, lambda w: one(w, _Fields(c))), "")
-    )
     # The constants are scalar subqueries, which Catalyst moves into the expression: each is
-    # named once there, and tasks get it as flat bytes.
+    # named once there (else it would be a column of every row), and tasks get it as flat bytes.
     made = (
         rows.withColumn("c", _constants(spark, ranks).scalar())
         .withColumn("known", known.scalar())
-        .select("id", F.coalesce(ids_of_text, F.lit("")).alias("id_string"))
+        .select("id", F.coalesce(_let(F.struct("c", "known"), flat), F.lit("")).alias("id_string"))
     )
     return made.select(
         F.col("id").alias(id_col),
         F.expr("char_length(id_string) div 2").alias("n_tokens"),
         "id_string",
-        F.encode("id_string", "UTF-16LE").alias("ids"),
+        F.encode(F.replace("id_string", F.lit(chr(ZERO)), F.lit("\0")), "UTF-16LE").alias("ids"),
     )
 
 
-class _Fields:
-    """Names the parts of the constants inside a lambda."""
-
-    def __init__(self, c: Column):
-        self._c = c
-
-    def __getitem__(self, name: str) -> Column:
-        return self._c["known"] if name == "known" else self._c["c"][name]
-
-
 def decode(encoded: DataFrame, rank_path: str, *, id_col: str = "doc_id") -> DataFrame:
     """Texts of ids: (id_col, n_tokens, ids, decoded), decoded being bytes.
 
-    Concatenates the binary pieces of the ids in ``id_string``.
+    Concatenates the binary pieces of the ids in ``id_string``, a character for each byte.
     """
     ranks = load_ranks(rank_path)
-    pieces = _constant(encoded.sparkSession, pieces=ranks.piece_hex)
-    hex_of = lambda c: lambda ch, i: F.when(i % 2 == 0, F.get(c["pieces"], F.ascii(ch))).otherwise("")
-    decoded = F.unhex(
-        _let(F.col("__pieces"), lambda c: F.array_join(F.transform(F.split(F.col("id_string"), ""), hex_of(c)), ""))
-    )
-    return encoded.withColumn("__pieces", pieces.scalar()).select(
-        id_col,
-        "n_tokens",
-        "ids",
-        F.when(F.col("n_tokens") == 0, F.lit(b"")).otherwise(decoded).alias("decoded"),
-    )
+    # 0 is what the empty string behind the last NUL gives
+    by_char = ["", *ranks.pieces[1:], *[""] * (ZERO - len(ranks.pieces)), ranks.pieces[0]]
+    constant = _constant(encoded.sparkSession, pieces=by_char)
+    one = lambda pieces: lambda c: F.get(pieces, F.ascii(c))
+    joined = lambda pieces: F.array_join(F.transform(F.split("id_string", "\0"), one(pieces)), "")
+    decoded = F.encode(_let(F.col("__pieces"), lambda c: _let(c["pieces"], joined)), "ISO-8859-1")
+    return encoded.withColumn("__pieces", constant.scalar()).select(id_col, "n_tokens", "ids", decoded.alias("decoded"))

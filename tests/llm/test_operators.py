@@ -43,6 +43,7 @@ TEXTS = [
     (10, "é漢字  x y 'll 12\x1c3 \U0001f600!!! ", "de", "c"),
     (11, "ab " * 30_000, "de", "c"),
     (12, "z" * 3000, "de", "c"),
+    (13, "! a !\n!!\ue000\0 <|endoftext|>", "de", "c"),
     (None, "one two three four", "en", "a"),
 ]
 
