@@ -1,8 +1,9 @@
 """Byte-level BPE with Spark higher-order functions (operator 10).
 
-Ranks of a ``.tiktoken`` file become one literal pair table (a two-choice hash
-table over arrays of longs): the entry of (left id, right id) is the id of the
-joined bytes, which is also its rank. ``bpe_ids`` folds merges over the byte ids
+Ranks of a ``.tiktoken`` file become one literal pair table: each left id's row of
+right ids is laid over the others where its entries find room, so that the entry of
+(left id, right id) stands at the row's start plus the right id. It holds the left
+id and the id of the joined bytes, which is also its rank. ``bpe_ids`` folds merges over the byte ids
 of a word: each step takes the least rank of all neighbouring pairs, joins its
 first occurrence and looks up the two new pairs. Words of more than LONG bytes join
 all occurrences of the least rank in a step, so that a run of one character takes a
@@ -21,6 +22,7 @@ import base64
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -28,11 +30,10 @@ from .common import cut, stored
 
 #: Unicode White_Space, spelt out since Java's \s is ASCII only.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_MULT, SHIFTS = 668265263, (9, 27)
 LONG = 96
-#: The rank of pairs that have none; the code that stands for a word's borders; the
+#: Ranks from here on stand for none; the code that stands for a word's borders; the
 #: character (of private use) for id 0, since NUL ends every id's character.
-NONE, BORDER, ZERO = 0xFFFF, 256, 0xE000
+NONE, BORDER, ZERO = 1 << 16, 256, 0xE000
 
 
 def spelt_pattern(pattern: str) -> str:
@@ -44,37 +45,44 @@ def spelt_pattern(pattern: str) -> str:
     )
 
 
-def _slots(key: int, bits: int) -> tuple[int, int]:
-    """The two slots of a pair key; the same arithmetic as ``_pair_rank``."""
-    x = key * _MULT
-    return (x >> SHIFTS[0]) & ((1 << bits) - 1), (x >> SHIFTS[1]) & ((1 << bits) - 1)
+def _overlaid(pairs: dict[tuple[int, int], int], n: int) -> tuple[list[int], list[int]]:
+    """(start of each left id's row, entries): ``left << 16 | rank`` at start + right id.
 
-
-def _place(keys: dict[int, int], bits: int) -> list[int] | None:
-    """Entries (key << 16 | rank, else -1) on two sides; None if they don't find room."""
-    table: list[int] = [-1] * (2 << bits)
-    for item in keys.items():
-        side = 0
-        for _ in range(500):
-            at = _slots(item[0], bits)[side] + (side << bits)
-            packed = (item[0] << 16) | item[1]
-            if table[at] < 0:
-                table[at] = packed
+    Longest rows first, each at the first start where its entries are free. There are
+    n + 1 rows and right ids, the last standing for a word's border, which has no pair.
+    """
+    rows: dict[int, list[int]] = {}
+    for a, b in sorted(pairs):
+        rows.setdefault(a, []).append(b)
+    starts, taken, first, block = [0] * (n + 1), np.zeros(0, bool), 0, 4096
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        own, low = rows[a], max(0, first - rows[a][0])
+        while True:
+            room = low + block + own[-1]
+            if len(taken) < room:
+                taken = np.concatenate([taken, np.zeros(room, bool)])
+            at = np.arange(low, low + block)
+            for b in own:
+                at = at[~taken[at + b]]
+            if len(at):
                 break
-            table[at], packed = packed, table[at]
-            item = (packed >> 16, packed & 0xFFFF)  # the one driven out goes to its other side
-            side ^= 1
-        else:
-            return None
-    return table
+            low += block
+        starts[a] = int(at[0])
+        taken[starts[a] + np.array(own)] = True
+        first += int(np.argmin(taken[first:]))
+    # no left id is 0xFFFF: an empty entry is nobody's
+    table = [0xFFFFFFFF] * (max(starts) + n + 1)
+    for (a, b), rank in pairs.items():
+        table[starts[a] + b] = (a << 16) | rank
+    return starts, table
 
 
 @dataclass(frozen=True)
 class Ranks:
-    """Merge ranks as plain values: the packed pair table, entries of byte pairs, pieces
-    with a character for each byte."""
+    """Merge ranks as plain values: starts of rows and entries of the pair table, first
+    states of byte pairs, pieces with a character for each byte."""
 
-    bits: int
+    starts: tuple[int, ...]
     table: tuple[int, ...]
     byte_ids: tuple[int, ...]
     byte_pairs: tuple[int, ...]
@@ -98,29 +106,27 @@ def _last_two(piece: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]:
 def load_ranks(path: str) -> Ranks:
     """Read a rank file on the driver (its size is that of the vocabulary).
 
-    Ids must lie below 65,536 and every byte must be a token.
+    Ids must lie below 65,534 and every byte must be a token.
     """
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("ids above 65,535 don't fit the packed pair table")
+    if max(ranks.values()) >= 0xFFFF - 1:
+        raise ValueError("ids above 65,533 don't fit the packed pair table")
     pairs = {}
     for piece, rank in ranks.items():
         if len(piece) > 1:
             halves = _last_two(piece, rank, ranks)
             if len(halves) != 2:
                 raise ValueError(f"no merges lead to the token {rank}")
-            pairs[(ranks[halves[0]] << 16) | ranks[halves[1]]] = rank
-    bits = max(4, len(pairs).bit_length() - 1)
-    while (table := _place(pairs, bits)) is None:
-        bits += 1
+            pairs[ranks[halves[0]], ranks[halves[1]]] = rank
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.decode("iso-8859-1")
     byte_ids = tuple(ranks[bytes([i])] for i in range(256))
     ends = (*byte_ids, len(pieces))  # an id that no pair has stands for the word's borders
-    entries = tuple((pairs.get((a << 16) | b, NONE) << 16) | a for a in ends for b in ends)
-    return Ranks(bits, tuple(table), byte_ids, entries, tuple(pieces))
+    states = tuple((pairs.get((a, b), NONE) << 16) | a for a in ends for b in ends)
+    starts, table = _overlaid(pairs, len(pieces))
+    return Ranks(tuple(starts), tuple(table), byte_ids, states, tuple(pieces))
 
 
 def _constant(spark: SparkSession, **arrays) -> DataFrame:
@@ -130,56 +136,52 @@ def _constant(spark: SparkSession, **arrays) -> DataFrame:
     return spark.createDataFrame(pa.table(columns)).select(F.struct(*arrays).alias("c"))
 
 
-def _pair_rank(ranks: Ranks, table: Column):
-    mask, bits = (1 << ranks.bits) - 1, ranks.bits
-
-    def look(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, 16).bitwiseOR(b)
-        x = key * F.lit(_MULT).cast("long")
-        one = F.get(table, F.shiftright(x, SHIFTS[0]).bitwiseAND(F.lit(mask)).cast("int"))
-        two = F.get(table, (F.shiftright(x, SHIFTS[1]).bitwiseAND(F.lit(mask)) + F.lit(1 << bits)).cast("int"))
-        rank = lambda e: e.bitwiseAND(F.lit(0xFFFF))
-        return F.when(F.shiftright(one, 16) == key, rank(one)).when(F.shiftright(two, 16) == key, rank(two))
-
-    return look
+def _pair_rank(constants: Column):
+    """The rank of a pair of ids, NONE or more if it has none; every id is named once or twice only."""
+    at = lambda a, b: F.get(constants["table"], (F.get(constants["starts"], a.cast("int")) + b).cast("int"))
+    return lambda a, b: at(a, b).bitwiseXOR(F.shiftleft(a, 16))
 
 
 def bpe_ids(word: Column, ranks: Ranks, constants: Column) -> Column:
     """Ids (array<bigint>) of one word, by folding ranked merges over its bytes.
 
-    ``constants`` is a struct with the arrays of ``ranks`` (table, byte_ids,
+    ``constants`` is a struct with the arrays of ``ranks`` (starts, table, byte_ids,
     byte_pairs). Null gives null, the empty word an empty array.
     """
-    look = _pair_rank(ranks, constants["table"])
+    rank = _pair_rank(constants)
     chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
     n = F.octet_length(word)
 
     # Short words: one array whose entries hold an id and, above it, the rank of its
     # pair with the next id. The ids at either end have no pair, which spares the borders a test.
-    none = F.lit(NONE << 16).cast("long")
     id_of = lambda entry: entry.bitwiseAND(F.lit(0xFFFF))
-
-    def entry(a: Column, b: Column) -> Column:
-        return F.coalesce(F.shiftleft(look(a, b), 16), none) + a
+    entry = lambda a, b: F.shiftleft(rank(a, b), 16) + a
 
     def start(codes: Column) -> Column:
         pair = lambda x, i: x * (BORDER + 1) + F.coalesce(F.get(codes, i + 1), F.lit(BORDER))
         return F.transform(codes, lambda x, i: F.get(constants["byte_pairs"], pair(x, i)))
 
     def first(state: Column) -> Column:
-        def join(least: Column) -> Column:
-            merged = F.shiftright(least, 16)
-
-            def spliced(at: Column) -> Column:
-                made = F.array(
-                    entry(id_of(F.get(state, at - 2)), merged), entry(merged, id_of(F.get(state, at + 1)))
+        def joined(at: Column, merged: Column, left: Column) -> Column:
+            def renewed(x: Column, i: Column) -> Column:
+                return (
+                    F.when(i < left, x)
+                    .when(i > at, x)
+                    .when(i == at, F.lit(-1).cast("long"))
+                    .when(i == left, entry(id_of(x), merged))
+                    .otherwise(entry(merged, id_of(F.get(state, at + 1))))
                 )
-                return F.concat(F.slice(state, F.lit(1), at - 2), made, F.slice(state, at + 2, F.size(state)))
 
-            here = _let(F.array_position(state, least).cast("int"), spliced)
-            return F.when(least >= none, state).otherwise(here)
+            # slicing and joining arrays would take four times as long
+            return F.filter(F.transform(state, renewed), lambda x: x >= 0)
+
+        def least(at: Column) -> Column:
+            one = F.get(state, at - 1)
+            return F.when(one >= F.lit(NONE << 16), state).otherwise(
+                _let(F.shiftright(one, 16), lambda merged: _let(at - 2, lambda left: joined(at, merged, left)))
+            )
 
-        return _let(F.array_min(state), join)
+        return _let(F.array_position(state, F.array_min(state)).cast("int"), least)
 
     def all_of_least(state: Column) -> Column:
         ids = state["ids"]
@@ -200,12 +202,12 @@ def bpe_ids(word: Column, ranks: Ranks, constants: Column) -> Column:
                     lambda x: x >= 0,
                 ),
             )
-            return F.when(least.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(
+            return F.when(least >= NONE, F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(
                 F.struct(joined.alias("ids"), F.lit(False).alias("done"))
             )
 
         m = F.size(ids) - 1
-        pairs = F.zip_with(F.slice(ids, 1, m), F.slice(ids, 2, m), look)
+        pairs = F.zip_with(F.slice(ids, 1, m), F.slice(ids, 2, m), rank)
         return F.when(state["done"] | (m < 1), state).otherwise(_let(pairs, join))
 
     codes = F.concat(F.array(F.lit(BORDER)), F.transform(chars, F.ascii), F.array(F.lit(BORDER)))
@@ -231,12 +233,13 @@ def bpe_ids(word: Column, ranks: Ranks, constants: Column) -> Column:
 
 def _let(value: Column, use) -> Column:
     """Bind an expression to a lambda variable, so that it is evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _constants(spark: SparkSession, ranks: Ranks) -> DataFrame:
     return _constant(
         spark,
+        starts=ranks.starts,
         table=ranks.table,
         byte_ids=ranks.byte_ids,
         byte_pairs=ranks.byte_pairs,
@@ -345,7 +348,7 @@ def encode(
         )
 
     def flat(both: Column) -> Column:
-        parts = [both["c"][x].alias(x) for x in ("table", "byte_ids", "byte_pairs", "id_chars")]
+        parts = [both["c"][x].alias(x) for x in ("starts", "table", "byte_ids", "byte_pairs", "id_chars")]
         return _let(F.struct(*parts, *[both["known"][x].alias(x) for x in ("words", "ids")]), joined)
 
     # The constants are scalar subqueries, which Catalyst moves into the expression: each is
