@@ -1,69 +1,83 @@
 """Shards of nearly equal bytes by best-fit-decreasing packing (operator 7).
 
-Rows with equal texts form an indivisible group. Capacity is the least one for
-which best-fit-decreasing needs no more than the wanted number of shards (found by
-bisection, as in multifit), so that shards come out nearly equal.
-
-Only *large* groups are packed one by one: those above a ``1 / FINE`` of a shard,
-of which there can be at most ``FINE * n_shards``, whatever the corpus. They go,
-sorted by size, into the shard with the tightest remaining capacity, kept in a
-balanced search (a sorted list with binary search over at most n_shards entries).
-The many small groups follow in order of size too, but as runs: cells (size class,
-hash bucket) get their place on a line of cumulated bytes, the shards' remaining
-capacities are laid on the same line from the tightest on, and each group goes to
-the shard that its offset falls into. Sums by cell are the only thing that reaches
-the driver (at most SIZE_CLASSES * BUCKETS rows); running sums are taken within
-cells. A group larger than a shard can't stay whole: it is split by a hash of ids.
+Rows with equal texts form an indivisible group. Groups in order of size, the
+largest first, enter the shard with the tightest remaining capacity that takes them.
+Capacity is the least one for which that needs no more than the wanted number of
+shards (found by bisection, as in multifit), so that shards come out nearly equal.
+
+Every group is packed so, whatever the corpus, but only a histogram (size, number of
+groups) reaches the driver: groups of one size go one after the other into the same
+tightest shard until it is full, so that one search places a run of them. The result
+says for each size how many groups go to which shard; groups are numbered within
+their size, in hashed buckets, and look their number up. Sizes are kept to DIGITS
+binary digits, rounded up: exact below ``1 << DIGITS`` bytes, else at most one part
+in ``1 << (DIGITS - 1)`` too large, so that a histogram has some 200,000 rows at most.
+
+A group larger than a shard can't stay whole: it is split by a hash of ids.
 """
 
 from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
-FINE = 1024
-BUCKETS, SIZE_CLASSES = 64, 64
+DIGITS, BUCKETS = 14, 256
 
+#: Groups of more than this share of all rows (so fewer than its inverse) are joined by broadcast.
+HOT = 1000
 
-def best_fit_decreasing(sizes: list[int], capacity: int, n_shards: int) -> tuple[list[int], list[int]] | None:
-    """(shard of each size, free capacity of each shard), or None if they don't fit.
 
-    ``sizes`` must be in decreasing order. Shards are opened only as needed.
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, n_shards: int) -> list[list[tuple[int, int]]] | None:
+    """For each (size, number of groups), its runs (shard, groups); None if they don't fit.
+
+    ``sizes`` must be in decreasing order. Shards are opened only as needed; remaining
+    capacities are kept in order and searched by bisection.
     """
-    free: list[tuple[int, int]] = []  # (remaining capacity, shard), sorted
-    at = []
-    for size in sizes:
-        i = bisect.bisect_left(free, (size, -1))
-        if i < len(free):
-            left, shard = free.pop(i)
-        elif len(free) < n_shards and size <= capacity:
-            left, shard = capacity, len(free)
-        else:
-            return None
-        bisect.insort(free, (left - size, shard))
-        at.append(shard)
-    left = [capacity] * n_shards
-    for rest, shard in free:
-        left[shard] = rest
-    return at, left
-
-
-def pack(sizes: list[int], rest: int, slack: int, n_shards: int) -> tuple[list[int], list[int]]:
-    """Multifit: the least capacity at which ``sizes`` fit and leave room for ``rest`` bytes more."""
-    total = sum(sizes) + rest
-    low, high = max([-(-total // n_shards), *sizes[:1]]), max([2 * -(-total // n_shards), *sizes[:1]]) + slack + 1
+    free: list[tuple[int, int]] = []  # (remaining capacity, shard)
+    runs = []
+    for size, n in sizes:
+        own = []
+        while n:
+            i = bisect.bisect_left(free, (size, -1))
+            if i < len(free):
+                left, shard = free.pop(i)
+            elif len(free) < n_shards and size <= capacity:
+                left, shard = capacity, len(free)
+            else:
+                return None
+            k = min(n, left // size)  # after one of them it is the tightest still
+            bisect.insort(free, (left - k * size, shard))
+            own.append((shard, k))
+            n -= k
+        runs.append(own)
+    return runs
+
+
+def pack(sizes: list[tuple[int, int]], n_shards: int) -> list[list[tuple[int, int]]]:
+    """Multifit: the runs at the least capacity at which all groups fit."""
+    total = sum(size * n for size, n in sizes)
+    largest = sizes[0][0] if sizes else 0
+    low = max(-(-total // n_shards), largest)
+    high = 2 * low + largest  # always enough: no shard is left with room for the largest group
     while low < high:
         mid = (low + high) // 2
-        if best_fit_decreasing(sizes, mid, n_shards):
+        if best_fit_decreasing(sizes, mid, n_shards) is not None:
             high = mid
         else:
             low = mid + 1
     return best_fit_decreasing(sizes, low, n_shards)
 
 
+def rounded(size: Column) -> Column:
+    """A size to DIGITS binary digits, rounded up."""
+    drop = F.greatest(F.floor(F.log2(size)).cast("int") + 1 - DIGITS, F.lit(0))
+    unit = F.call_function("shiftleft", F.lit(1).cast("long"), drop)
+    return (F.ceil(size / unit) * unit).cast("long")
+
+
 def shard(
     docs: DataFrame,
     *,
@@ -79,6 +93,7 @@ def shard(
     empty one. Rows that repeat an id are rows like others; other columns are
     ignored, so their names can't clash; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = stored(
         docs.select(
@@ -90,55 +105,54 @@ def shard(
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    share = max(1, -(-total // n_shards))
+    n, total = rows.agg(F.count("*"), F.sum("size")).first()
+    share = max(1, -(-(total or 0) // n_shards))
     whole = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
     # a group beyond a shard's share is split into parts of about a sixteenth of a share
-    parts = F.when(F.col("bytes") > share, F.ceil(16 * F.col("bytes") / F.lit(share))).otherwise(1).cast("int")
+    parts = F.ceil(16 * F.col("bytes") / F.lit(share)).cast("int")
     oversize = whole.filter(F.col("bytes") > share).select("text_key", parts.alias("parts"))  # under n_shards rows
     rows = rows.join(F.broadcast(oversize), "text_key", "left").withColumn(
         "part", F.when(F.col("parts").isNotNull(), F.pmod("spread", "parts")).otherwise(0)
     )
-    groups = stored(rows.groupBy("text_key", "part").agg(F.sum("size").alias("bytes")), "shard-groups")
-    cut_at = max(1, share // FINE)
-
-    large = groups.filter(F.col("bytes") > cut_at).orderBy(F.desc("bytes"), "text_key", "part")
-    found = [(r.bytes, bytes(r.text_key), r.part) for r in large.collect()]
-    small = groups.filter(F.col("bytes") <= cut_at)
-    place = F.floor(SIZE_CLASSES * F.col("bytes") / F.lit(cut_at + 1)).cast("int")
-    small = small.withColumn("cell", (SIZE_CLASSES - 1 - place) * BUCKETS + F.pmod(F.xxhash64("text_key", "part"), F.lit(BUCKETS)))
-    cells = sorted((r.cell, r.bytes) for r in small.groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect())
-    rest = sum(b for _, b in cells)
-    at, left = pack([b for b, _, _ in found], rest, cut_at, n_shards)
-
-    spark = docs.sparkSession
-    big = spark.createDataFrame(
-        [(key, part, s) for (_, key, part), s in zip(found, at)], "text_key binary, part int, shard int"
+    groups = stored(
+        rows.groupBy("text_key", "part")
+        .agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+        .select("text_key", "part", "n", rounded(F.col("bytes")).alias("bytes"))
+        .withColumn("bucket", F.pmod(F.xxhash64("text_key", "part"), F.lit(BUCKETS))),
+        "shard-groups",
     )
-    starts, run = {}, 0
-    for cell, size in cells:
-        starts[cell], run = run, run + size
-    # remaining capacities on the line of cumulated bytes, tightest first
-    ends, run = [], 0
-    over = sum(left) - rest
-    for room, s in sorted((room, s) for s, room in enumerate(left)):
-        run += room
-        ends.append((run, s))
-    line = sum(room for room in left)
-    offset = F.col("start") + F.sum("bytes").over(
-        Window.partitionBy("cell").orderBy(F.desc("bytes"), "text_key", "part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = stored(groups.groupBy("bytes", "bucket").agg(F.count("*").alias("cell")), "shard-cells")
+    histogram = cells.groupBy("bytes").agg(F.sum("cell").alias("n")).orderBy(F.desc("bytes")).collect()
+    runs = pack([(r.bytes, r.n) for r in histogram], n_shards)
+
+    table = []  # by size: the shard of the groups up to each number
+    for r, own in zip(histogram, runs):
+        ends, end = [], 0
+        for _, k in own:
+            ends.append(end := end + k)
+        table.append((r.bytes, ends, [s for s, _ in own]))
+    lookup = spark.createDataFrame(table, "bytes long, ends array<long>, shards array<int>")
+    before = Window.partitionBy("bytes").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = cells.withColumn("first", F.coalesce(F.sum("cell").over(before), F.lit(0)))
+    own = Window.partitionBy("bytes", "bucket").orderBy("text_key", "part")
+    numbered = groups.withColumn("place", F.row_number().over(own) - 1).join(first, ["bytes", "bucket"])
+    placed = stored(
+        numbered.join(F.broadcast(lookup), "bytes").select(
+            "text_key",
+            "part",
+            "n",
+            F.get("shards", F.size(F.filter("ends", lambda e: e <= F.col("first") + F.col("place")))).alias("shard"),
+        ),
+        "shard-placed",
     )
-    offset = F.coalesce(offset, F.col("start"))
-    # spread what is left over evenly, so that the last shard isn't the only short one
-    scaled = offset * F.lit(line / max(1, line - over))
-    to = F.lit(ends[-1][1])
-    for end, s in reversed(ends[:-1]):
-        to = F.when(scaled < end, F.lit(s)).otherwise(to)
-    begin = spark.createDataFrame(sorted(starts.items()), "cell bigint, start long")
-    placed = (
-        small.join(F.broadcast(begin), "cell").select("text_key", "part", to.alias("shard")).union(big)
+    hot = placed.filter(F.col("n") * HOT > n).select("text_key", "part", F.col("shard").alias("hot_shard"))
+    rest = placed.filter(F.col("n") * HOT <= n).select("text_key", "part", "shard")
+    looked = rows.join(F.broadcast(hot), ["text_key", "part"], "left")
+    keep = ("id", "size", "crc", "spread")
+    out = (
+        looked.filter("hot_shard IS NULL").join(rest, ["text_key", "part"]).select(*keep, "shard")
+        .union(looked.filter("hot_shard IS NOT NULL").select(*keep, "hot_shard"))
     )
-    out = rows.join(placed, ["text_key", "part"])
     return slots(out).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
