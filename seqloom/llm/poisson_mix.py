@@ -11,8 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import cut
+
 #: Standard deviations above the mean where the distribution's table ends.
 TAIL = 12
+#: Parts of a source's rows where documents have to be joined by source.
+SALTS = 256
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -59,6 +63,13 @@ def inversions(rated: DataFrame) -> DataFrame:
     )
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, behind as many underscores as set it apart from those taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def replicate(
     docs: DataFrame,
     *,
@@ -67,27 +78,38 @@ def replicate(
     weights: dict[str, float] | None = None,
     epochs: float = 1.0,
     seed: int = 17,
+    max_broadcast: int = 2_000_000,
 ) -> DataFrame:
     """Rows of ``docs`` (all columns) times their counts, in a global random order.
 
-    Adds ``copy_no`` (from 0) and ``shuffle_key``; names of columns that clash with these
-    two are an error. A null source is a source of its own. Rows that repeat an id
-    have equal counts; a null id draws as the text "null" does. Weights must be
-    positive. An empty table gives an empty result.
+    Adds ``copy_no`` (from 0) and ``shuffle_key``; where docs has such a column, the
+    added one gets underscores in front. A null source is a source of its own. Rows
+    that repeat an id have equal counts; a null id draws as the text "null" does. Null,
+    empty and very long texts are rows like others. Weights must be positive. An empty
+    table gives an empty result.
+
+    Distributions go to all tasks as long as they have at most ``max_broadcast``
+    entries in all (16 MB), so that documents are shuffled once. Beyond that they are
+    joined by source, the rows of a source being split over SALTS tasks.
     """
-    clash = {"copy_no", "shuffle_key"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs already has columns {sorted(clash)}")
     if any(w <= 0 for w in (weights or {}).values()):
         raise ValueError("weights must be positive")
-    tables = inversions(rates(docs, source_col, weights, epochs)).select(
-        F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf")
-    )
-    joined = docs.join(tables, docs[source_col].cast("string").eqNullSafe(tables["__mix_source"]))
-    u = uniform(seed, docs[id_col])
-    count = F.size(F.filter("__mix_cdf", lambda c: c <= u))
-    columns = [docs[c] for c in docs.columns]
-    copies = joined.withColumn("__mix_n", count).filter("__mix_n > 0")
-    out = copies.select(*columns, F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)).alias("copy_no"))
-    out = out.withColumn("shuffle_key", hashed(seed + 1, F.col(id_col), F.col("copy_no")))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    tables = cut(inversions(rates(docs, source_col, weights, epochs)))
+    entries = tables.agg(F.sum(F.size("cdf") + 2)).first()[0] or 0
+    taken = list(docs.columns)
+    for name in ("mix_source", "mix_cdf", "mix_salt", "mix_n", "copy_no", "shuffle_key"):
+        taken.append(free_name(name, taken))
+    source, cdf, salt, n, copy_no, shuffle_key = taken[-6:]
+    tables = tables.select(F.col("source").alias(source), F.col("cdf").alias(cdf))
+    same = docs[source_col].cast("string").eqNullSafe(tables[source])
+    if entries <= max_broadcast:
+        joined = docs.join(F.broadcast(tables), same)
+    else:
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        each = tables.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        joined = salted.join(each, salted[source_col].cast("string").eqNullSafe(each[source]) & (salted[salt] == each[salt])).drop(salt)
+    u = uniform(seed, F.col(id_col))
+    copies = joined.withColumn(n, F.size(F.filter(cdf, lambda c: c <= u))).filter(F.col(n) > 0)
+    out = copies.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy_no))
+    out = out.withColumn(shuffle_key, hashed(seed + 1, F.col(id_col), F.col(copy_no)))
+    return out.repartition(shuffle_key).sortWithinPartitions(shuffle_key)
