@@ -2,8 +2,8 @@
 
 File format (zstandard's seekable format): one frame for each document, in
 ascending order of ids, holding its token ids as little-endian unsigned 32-bit
-integers; one more frame with the documents' ids and token counts (both int64);
-then the seek table in a skippable frame, with every frame's compressed and
+integers; one more frame with the number of null ids (which come first), the
+documents' ids and their token counts (all int64); then the seek table in a skippable frame, with every frame's compressed and
 decompressed size and the low 32 bits of the XXH64 of its content. A reader takes
 the table from the file's end and decompresses only the frames it wants.
 
@@ -35,8 +35,6 @@ from tokenizers import Tokenizer
 from .common import blocks, checkpoint_dir, stored
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-#: Stands for a null id in a file's index.
-NULL_ID = -(2**63)
 MANIFEST = "part long, path string, n_docs long, n_ids long"
 
 
@@ -47,13 +45,15 @@ class TextIds:
     of the tokenizer, and merges stay within split words, so that the ids of a text
     are those of its chunks. Chunks are kept without their leading space. Those that
     the cache lacks are encoded joined up: only their first tokens begin with a
-    space or line end. Texts with other white space in a row are encoded whole.
+    space or line end. Texts with other white space in a row, or with the string of
+    an added token, are encoded whole.
     Chunks go from a young to an old generation and stay for as long as they are met.
     """
 
     def __init__(self, path: str, bound: int = 600_000):
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._odd = re.compile("|".join([r"\s\s", *added])).search
         vocabulary = self._tokenizer.get_vocab()
         self._starts = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space or line end
         self._starts[[i for piece, i in vocabulary.items() if piece[0] in "\u0120\u010a"]] = True
@@ -77,7 +77,7 @@ class TextIds:
             self._old, self._young = self._young, {}
         look, new, out, open_places = self._young.get, {}, [], []
         for text in texts:
-            if not text or _ODD_SPACE(text):
+            if not text or self._odd(text):
                 out.append([self._whole(text) if text else b""])
                 continue
             chunks = text.replace("\n", " \n").split(" ")
@@ -100,9 +100,6 @@ class TextIds:
         return [b"".join(ids) for ids in out]
 
 
-_ODD_SPACE = re.compile(r"\s\s").search
-
-
 @lru_cache(maxsize=1)
 def _text_ids(path: str) -> TextIds:
     """One for all tasks of a Python worker."""
@@ -155,10 +152,11 @@ def read_frame(file, table: np.ndarray, i: int) -> bytes:
     return content
 
 
-def read_index(file, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and token counts of a file's documents."""
-    both = np.frombuffer(read_frame(file, table, len(table) - 1), "<i8").reshape(2, -1)
-    return both[0], both[1]
+def read_index(file, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the id is null, ids and token counts of a file's documents."""
+    content = np.frombuffer(read_frame(file, table, len(table) - 1), "<i8")
+    ids, counts = content[1:].reshape(2, -1)
+    return np.arange(len(ids)) < content[0], ids, counts
 
 
 def read_documents(path: str, wanted: Iterable[int]) -> dict[int, np.ndarray]:
@@ -166,15 +164,14 @@ def read_documents(path: str, wanted: Iterable[int]) -> dict[int, np.ndarray]:
     fs, at = pyarrow.fs.FileSystem.from_uri(path)
     with fs.open_input_file(at) as file:
         table = seek_table(file)
-        ids, _ = read_index(file, table)
-        return {
-            int(ids[i]): np.frombuffer(read_frame(file, table, i), "<u4") for i in np.flatnonzero(np.isin(ids, list(wanted)))
-        }
+        null, ids, _ = read_index(file, table)
+        at = np.flatnonzero(np.isin(ids, list(wanted)) & ~null)
+        return {int(ids[i]): np.frombuffer(read_frame(file, table, i), "<u4") for i in at}
 
 
 def _write(folder: str, tokenizer_path: str, end_id: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, ids, counts = None, array("q"), array("q")
+        out, ids, counts, nulls = None, array("q"), array("q"), 0
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.ids.zst"
         end = struct.pack("<I", end_id)
@@ -185,10 +182,11 @@ def _write(folder: str, tokenizer_path: str, end_id: int, level: int):
                 out = FrameWriter(fs.open_output_stream(f"{root}/.{name}", compression=None), level)
             for key, content in zip(keys, _text_ids(tokenizer_path).encode(texts)):
                 out.write(content + end)
-                ids.append(NULL_ID if key is None else key)
+                nulls += key is None
+                ids.append(0 if key is None else key)
                 counts.append(len(content) // 4 + 1)
         if out is not None:
-            out.write(np.array([ids, counts], "<i8").tobytes())
+            out.write(np.concatenate([[nulls], ids, counts]).astype("<i8").tobytes())
             out.close()
             fs.move(f"{root}/.{name}", f"{root}/{name}")
             row = {"part": context.partitionId(), "path": f"{folder}/{name}", "n_docs": len(ids), "n_ids": sum(counts)}
@@ -209,13 +207,16 @@ def write(
     """Encode and write all documents; returns the manifest (part, path, n_docs, n_ids).
 
     Files follow each other in ascending order of ids, nulls first. A null text has
-    no ids but ``end_id``, which is appended to every document. Rows that repeat an
-    id are documents of their own. Other columns are ignored, so their names can't
+    no ids but ``end_id``, which is appended to every document. The string of an added
+    token becomes that token's id, as the library has it. Rows that repeat an
+    id are documents of their own, in order of a hash of their texts. Other columns are ignored, so their names can't
     clash. An empty table writes no file and gives an empty manifest.
     """
     folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/token-frames-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(
+    # the hash splits rows of one id (or of none) over several ranges
+    order = [F.col("id"), F.xxhash64("text")]
+    made = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         _write(folder, tokenizer_path, end_id, level), MANIFEST
     )
     return stored(made, "token-manifest")
@@ -227,9 +228,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, at = pyarrow.fs.FileSystem.from_uri(path)
             with fs.open_input_file(at) as file:
                 table = seek_table(file)
-                ids, counts = read_index(file, table)
+                null, ids, counts = read_index(file, table)
                 checks = np.fromiter((zlib.crc32(read_frame(file, table, i)) for i in range(len(ids))), np.int64, len(ids))
-            columns = [pa.array(ids, mask=ids == NULL_ID), int(base) + np.cumsum(counts) - counts, counts, checks]
+            columns = [pa.array(ids, mask=null), int(base) + np.cumsum(counts) - counts, counts, checks]
             yield pa.record_batch([pa.array(c) for c in columns], ["id", "start", "n_tokens", "ids_crc32"])
 
 
