@@ -11,7 +11,7 @@ so that the result has no false link.
 
 Skew: equal sets become one node before any join. In a key's bucket nobody is
 paired with everybody: first all members are tested against the bucket's least
-node. Where members of a bucket are then still in different components, pairs
+node, the pairs of a node with many of them being split over tasks. Where members of a bucket are then still in different components, pairs
 that a prefix filter on their full sets leaves over are tested too (no other pair
 can change a component). Nothing is capped or dropped.
 """
@@ -32,6 +32,8 @@ from .common import blocks, cut, stored
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
+#: Nodes with more than this share of all pairs (so fewer than its inverse) have them split.
+HOT, SPLIT = 10_000, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,16 +74,17 @@ def _multipliers(n: int) -> np.ndarray:
 def _describe(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(n)
-        for keys, texts in blocks(batches, "id", "text"):
+        for keys, texts, tokens in blocks(batches, "id", "text", "text_hash"):
             sizes, prints, sigs = [], [], []
             for text in texts:
                 hashes = shingle_set(text, width)
                 sizes.append(len(hashes))
                 prints.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sigs.append(signature(hashes, multipliers).tobytes() if len(hashes) else None)
+            whole = [pa.array(x, pa.int64()) for x in (keys, tokens, sizes)]
             yield pa.record_batch(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
-                ["id", "n_shingles", "fp", "sig"],
+                [*whole, pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
+                ["id", "text_hash", "n_shingles", "fp", "sig"],
             )
 
     return run
@@ -104,16 +107,21 @@ def _keys(chunks: int, chunk_len: int):
 
 
 def _confirm(width: int, num: int, den: int):
+    """Links among rows in order of (a, part, b): first the text of ``a`` (b null), then those of its pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        for rows in blocks(batches, "a", "b", "text_a", "text_b"):
+        kept: tuple[int | None, np.ndarray] = None, np.empty(0, np.uint64)
+        for rows in blocks(batches, "a", "b", "text"):
             linked = []
-            for a, b, text_a, text_b in zip(*rows):
-                if a not in kept:
-                    kept = {a: shingle_set(text_a, width)}
-                x, y = kept[a], shingle_set(text_b, width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
+            for a, b, text in zip(*rows):
+                found = shingle_set(text, width)
+                if b is None:
+                    kept = a, found
+                    continue
+                if kept[0] != a:
+                    raise ValueError(f"no text of node {a}")
+                both = len(np.intersect1d(kept[1], found, assume_unique=True))
+                if den * both >= num * (len(kept[1]) + len(found) - both):
                     linked.append((a, b))
             ends = list(zip(*linked)) or [(), ()]
             yield pa.record_batch([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
@@ -140,22 +148,32 @@ def near_duplicates(
     marks that document. Candidates are all pairs within ``2 * chunks - 1``
     differing symbols (guaranteed) and any farther pair that meets under a key, up to
     ``max_distance``. At a similarity of 0.8 a pair meets under no key with
-    probability (1 - 0.8^6 - 6 * 0.2 * 0.8^5)^10 < 3e-5, at 0.85 below 4e-7.
+    probability (1 - 0.8^6 - 6 * 0.2 * 0.8^5)^10 < 3e-5, at 0.85 below 4e-7; it has
+    over 28 differing symbols with probability 7e-7, at 0.85 below 1e-9.
 
     Null and empty texts (or texts of white space) have no shingles and link with
-    nothing. Rows that repeat an id are one document (one of its texts speaks for
-    it); rows with a null id keep themselves. Other columns are ignored, so their
-    names can't clash; an empty table gives an empty result.
+    nothing. Rows that repeat an id with another text are documents of their own; rows
+    with a null id link with nothing, have no component and keep themselves. Other
+    columns are ignored, so their names can't clash; an empty table gives an empty
+    result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn(
+        "text_hash", F.xxhash64("text")
+    )
     base = stored(
-        rows.mapInArrow(_describe(width, chunks * chunk_len), "id long, n_shingles long, fp binary, sig binary"),
+        rows.mapInArrow(
+            _describe(width, chunks * chunk_len), "id long, text_hash long, n_shingles long, fp binary, sig binary"
+        ),
         "near-base",
     )
+    # a node for each distinct set; its number is stored with it, so that it never changes
     nodes = stored(
         base.filter("n_shingles > 0 and id is not null")
         .groupBy("fp")
-        .agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")),
+        .agg(
+            F.min(F.struct("id", "text_hash")).alias("one"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")
+        )
+        .select(F.monotonically_increasing_id().alias("node"), "fp", "one.id", "one.text_hash", "sig", "n"),
         "near-nodes",
     )
     entries = (
@@ -178,16 +196,18 @@ def near_duplicates(
     )
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
     mixed = placed.join(split.select("key"), "key", "left_semi").select("node", "root").distinct()
-    far = _reachable(stored(mixed, "near-mixed"), rows, width, num, den)
+    far = _reachable(stored(mixed, "near-mixed"), rows, nodes, width, num, den)
     tested = star.select("a", "b").distinct()
     more = cut(_confirmed(far.join(tested, ["a", "b"], "left_anti"), *args))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    roots = nodes.select("fp", "node").join(found, "node", "left").select(
-        "fp", F.coalesce("root", "node").alias("root")
+    rooted = nodes.select("fp", "id", "node").join(found, "node", "left").select(
+        "fp", "id", F.coalesce("root", "node").alias("root")
     )
-    result = base.select("id", "n_shingles", "fp").join(roots, "fp", "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("root").isNull(), F.col("id")).otherwise(F.col("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component")
+    result = base.select("id", "n_shingles", "fp").join(classes, "fp", "left")
+    component = F.when((F.col("n_shingles") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))
     return result.select(
         F.col("id").alias(id_col),
         "n_shingles",
@@ -196,6 +216,12 @@ def near_duplicates(
     )
 
 
+def _texts(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) for the nodes of ``wanted``: one row has to speak for each."""
+    keys = nodes.select("node", "id", "text_hash").join(wanted, "node", "left_semi")
+    return rows.join(keys, ["id", "text_hash"]).groupBy("node").agg(F.min("text").alias("text"))
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, roots, texts in blocks(batches, "node", "root", "text"):
@@ -208,7 +234,7 @@ def _sets(width: int):
     return run
 
 
-def _reachable(mixed: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _reachable(mixed: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of ``mixed`` (node, root), of different roots, that may still be linked.
 
     A link between sets of x and y shingles needs num/den of either in common. In
@@ -219,11 +245,9 @@ def _reachable(mixed: DataFrame, rows: DataFrame, width: int, num: int, den: int
     enough shingles of their own drop out, so that the variants of a large family
     aren't paired.
     """
-    texts = rows.join(mixed.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(
-        F.min("text").alias("text")
-    )
     sets = stored(
-        texts.join(mixed, texts["id"] == mixed["node"])
+        _texts(mixed.select("node"), rows, nodes)
+        .join(mixed, "node")
         .select("node", "root", "text")
         .mapInArrow(_sets(width), "node long, root long, shingles array<bigint>"),
         "near-sets",
@@ -267,10 +291,23 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int,
         .mapInPandas(_within(far), "a long, b long")
     )
     near = stored(near, "near-pairs")
-    needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = rows.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return near.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(width, num, den), "a long, b long")
+    # pairs are dealt out by a, those of the (under HOT) nodes with a share of all pairs in parts of some SPLIT
+    total = near.count()
+    hot = near.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"), F.count("*").alias("pairs"))
+    hot = hot.filter(F.col("pairs") * HOT > total).select("a", "parts")
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
+    near = near.join(F.broadcast(hot), "a", "left").select("a", "b", part.alias("part"))
+    texts = stored(
+        _texts(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), rows, nodes), "near-texts"
+    )
+    heads = near.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "part", "text")
+    others = near.join(texts, F.col("b") == F.col("node")).select("a", "b", "part", "text")
+    return (
+        heads.union(others)
+        .repartition("a", "part")
+        .sortWithinPartitions("a", "part", "b")
+        .mapInArrow(_confirm(width, num, den), "a long, b long")
+    )
 
 
 def _within(far: int):

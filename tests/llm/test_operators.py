@@ -96,6 +96,23 @@ def test_near_duplicates_match_brute_force(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_ids_with_two_texts_are_documents_of_their_own(spark):
+    long = " ".join(f"x{i}" for i in range(40))
+    rows = [(1, BASE), (1, long), (2, long), (3, long + " x"), (4, BASE + " y"), (1, BASE), (None, long), (None, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=85)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got.collect() if r.doc_id) == [
+        (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False)
+    ]
+    assert [(r.component_id, r.kept) for r in got.collect() if r.doc_id is None] == [(None, True)] * 2
+
+
+def test_a_centre_of_many_members_is_split(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(0, " ".join(words))] + [(i, " ".join([*words[:40], f"own{i}", *words[41:]])) for i in range(1, 10_001)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert got.agg(F.max("component_id"), F.count("*"), F.count_if("kept")).first() == (0, 10_001, 1)
+
+
 def test_near_duplicates_in_families_of_variants(spark):
     rng = np.random.default_rng(5)
     texts, n = [], 0
@@ -174,7 +191,7 @@ def test_url_filter(spark):
     listed = ["a.net", "a.com", "nowhere.net"]
     pages = spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS id", "3 AS key")
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-    for bound in (1 << 20, 0):  # the cascade, and the join beyond its bound
+    for bound in (1 << 20, 1):  # one cascade, and one for each of some ranges
         got = url_cascade.filter_urls(pages, spark.createDataFrame([(x,) for x in listed], "key string"), rules, max_bytes=bound)
         found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
         assert found == {
@@ -188,13 +205,17 @@ def test_url_filter(spark):
         assert url_cascade.filter_urls(pages.limit(0), spark.createDataFrame([], "key string"), rules).count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark):
-    universe = spark.range(20_000).select(F.concat(F.lit("h"), "id").alias("key"))
-    listed = universe.filter(F.crc32(F.encode("key", "UTF-8")) % 3 == 0)
-    levels = url_cascade.cascade(listed, universe)
-    assert len(levels) > 1
-    wrong = universe.filter(url_cascade.is_listed(F.col("key"), levels) != (F.crc32(F.encode("key", "UTF-8")) % 3 == 0))
-    assert wrong.count() == 0
+@pytest.mark.parametrize(("n", "max_bytes"), [(20_000, 4_000), (1_000_000, 1 << 19)])
+def test_cascades_are_exact_over_their_universe(spark, n, max_bytes):
+    universe = spark.range(n).select(F.concat(F.lit("h"), "id").alias("key"))
+    listed = universe.filter(F.crc32(F.encode("key", "UTF-8")) % 2 == 0)
+    found = url_cascade.cascades(listed, universe, max_bytes)
+    assert 1 < len(found) < 10 and all(len(levels) > 1 for levels in found)
+    assert all(words * 8 < 1.1 * max_bytes for levels in found for _, words in levels)
+    for r, levels in enumerate(found):
+        own = universe.filter(url_cascade.range_of(F.col("key"), len(found)) == r)
+        wrong = own.filter(url_cascade.is_listed(F.col("key"), levels) != (F.crc32(F.encode("key", "UTF-8")) % 2 == 0))
+        assert wrong.count() == 0
 
 
 def test_language_mixture(spark, docs, empty):
@@ -247,8 +268,11 @@ def test_poisson_replication(spark, docs, empty):
     mixed = poisson_mix.replicate(docs, epochs=3.0)
     assert mixed.columns == [*docs.columns, "copy_no", "shuffle_key"] and mixed.count() > 0
     assert poisson_mix.replicate(empty).count() == 0
-    with pytest.raises(ValueError):
-        poisson_mix.replicate(docs.withColumnRenamed("n", "copy_no"))
+    clash = docs.withColumnRenamed("n", "copy_no").withColumnRenamed("size", "mix_source")
+    assert poisson_mix.replicate(clash).columns == [*clash.columns, "_copy_no", "shuffle_key"]
+    for some in (docs, clash):
+        one, two = (poisson_mix.replicate(some, epochs=3.0, max_broadcast=bound) for bound in (2_000_000, 0))
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
 def test_bin_packing(spark, docs, empty):
@@ -270,33 +294,109 @@ def test_bin_packing(spark, docs, empty):
     assert bin_pack.shard(empty).count() == 0
 
 
-def test_best_fit_decreasing_takes_the_tightest_shard():
-    at, left = bin_pack.best_fit_decreasing([60, 50, 40, 35, 10], 100, 2)
-    assert at == [0, 1, 0, 1, 1] and left == [0, 5]
-    assert bin_pack.best_fit_decreasing([60, 60, 60], 100, 2) is None
-    sizes = sorted(np.random.default_rng(3).integers(1, 1000, 400).tolist(), reverse=True)
-    _, left = bin_pack.pack(sizes, 0, 0, 7)
-    assert max(left) - min(left) < 10
+def plain_best_fit(sizes, capacity, n_shards):
+    """Loads of best-fit-decreasing, one group at a time; None if it needs more shards."""
+    loads = []
+    for size in sorted(sizes, reverse=True):
+        fits = [(capacity - load, i) for i, load in enumerate(loads) if load + size <= capacity]
+        if fits:
+            loads[min(fits)[1]] += size
+        elif len(loads) < n_shards and size <= capacity:
+            loads.append(size)
+        else:
+            return None
+    return loads
+
+
+def plain_multifit(sizes, n_shards):
+    capacity = max(-(-sum(sizes) // n_shards), max(sizes))
+    while (loads := plain_best_fit(sizes, capacity, n_shards)) is None:
+        capacity += 1
+    return capacity, loads
+
+
+def test_best_fit_decreasing_by_runs_is_that_of_single_groups():
+    assert bin_pack.best_fit_decreasing([(60, 1), (50, 1), (40, 1), (35, 1), (10, 1)], 100, 2) == [[(0, 1)], [(1, 1)], [(0, 1)], [(1, 1)], [(1, 1)]]
+    assert bin_pack.best_fit_decreasing([(60, 3)], 100, 2) is None
+    assert bin_pack.pack([], 4) == []
+    draw = np.random.default_rng(3)
+    for top, n in ((40, 300), (1000, 60), (100_000, 25)):
+        sizes = draw.integers(1, top, n).tolist()
+        counts = sorted(Counter(sizes).items(), reverse=True)
+        capacity, loads = plain_multifit(sizes, 7)
+        own = [0] * len(loads)
+        for (size, _), runs in zip(counts, bin_pack.pack(counts, 7)):
+            for at, k in runs:
+                own[at] += size * k
+        assert max(own) <= capacity + (top == 100_000) * 10**6  # bisection may miss a lower capacity that fits
+        for c in (capacity, capacity + 17):
+            by_runs = [0] * 7
+            for (size, _), runs in zip(counts, bin_pack.best_fit_decreasing(counts, c, 7)):
+                for at, k in runs:
+                    by_runs[at] += size * k
+            assert by_runs[: len(loads)] == plain_best_fit(sizes, c, 7)
+
+
+def test_shards_are_those_of_best_fit_over_all_groups(spark):
+    draw = np.random.default_rng(8)
+    texts = [(i, "x" * int(n)) for i, n in enumerate(draw.integers(0, 400, 500))]
+    got = bin_pack.shard(spark.createDataFrame(texts, "doc_id long, text string"), n_shards=5).collect()
+    groups = Counter()
+    for _, t in texts:
+        groups[t] += len(t) + 1
+    _, loads = plain_multifit(list(groups.values()), 5)
+    own = Counter()
+    for r in got:
+        own[r.shard] += r["size"]
+    assert sorted(own.values()) == sorted(loads)
+    sizes = spark.createDataFrame([(x,) for x in (1, 2, 16383, 16384, 16385, 32769, 10**9 + 1)], "s long")
+    for x, y in sizes.select("s", bin_pack.rounded(F.col("s"))).collect():
+        assert x <= y <= x * (1 + 2**-13) and (y == x or x > 16384)
 
 
 def test_token_frames_round_trip(spark, docs, empty):
     path = P.path("byte_bpe_50k.json")
-    manifest = token_frames.write(docs, path, 2)
-    got = sorted(token_frames.read_back(manifest).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    more = docs.selectExpr("-9223372036854775808L AS doc_id", "'least id' AS text").limit(1)
+    rows = docs.select("doc_id", "text").union(more)
+    manifest = token_frames.write(rows, path, 2)
+    got = token_frames.read_back(manifest).orderBy("start").collect()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    start = 0
-    for row, (key, text, *_) in zip(got, sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0))):
-        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
-        assert tuple(row) == (key, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
-        start += len(ids)
+    texts = [*((r[0], r[1]) for r in TEXTS), (-(2**63), "least id")]
+    encoded = {(i, t): [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts}
+    assert 50256 in encoded[13, next(t for i, t in texts if i == 13)]
+    left, start = Counter((i, zlib.crc32(struct.pack(f"<{len(v)}I", *v)), len(v)) for (i, _), v in ((k, encoded[k]) for k in texts)), 0
+    assert [r.doc_id for r in got] == [i for i, _ in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))]
+    for row in got:
+        assert row.start == start
+        left[row.doc_id, row.ids_crc32, row.n_tokens] -= 1
+        start += row.n_tokens
+    assert not any(left.values())
     some = {}
     for file in manifest.collect():
-        some |= token_frames.read_documents(file.path, [1, 6])
-    assert some[6].tolist() == [2] and some[1].tolist() == [*tokenizer.encode(BASE, add_special_tokens=False).ids, 2]
+        some |= token_frames.read_documents(file.path, [0, 1, 6, -(2**63)])
+    assert some[6].tolist() == [2] and some[1].tolist() == encoded[1, BASE] and set(some) == {1, 6, -(2**63)}
     assert token_frames.read_back(token_frames.write(empty, path, 2)).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_over_files(spark):
+    rows = spark.range(4000).selectExpr("if(id < 3000, 7, id) AS doc_id", "concat('text ', id) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_frames.write(rows, P.path("byte_bpe_50k.json"), 2).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 2 and max(f.n_docs for f in files) < 2000
+
+
+def test_cached_chunks_encode_as_the_library(spark):
+    path = P.path("byte_bpe_50k.json")
+    tokenizer, own = Tokenizer.from_file(path), token_frames.TextIds(path, bound=50)
+    draw = np.random.default_rng(2)
+    bits = ["a", "the", "Word", " ", "  ", "\n", "\t", "'s", "12", "é", "漢", "<|endoftext|>", "!", "\u00a0", "\r\n", "#x"]
+    texts = ["".join(draw.choice(bits, draw.integers(0, 12))) for _ in range(3000)]
+    for i in range(0, 3000, 100):
+        some = texts[i : i + 100]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_damaged_frames_are_noticed(spark, docs, tmp_path):
     import pyarrow.fs
 
