@@ -158,8 +158,9 @@ def bpe_ids(word: Column, ranks: Ranks, constants: Column) -> Column:
     entry = lambda a, b: F.shiftleft(rank(a, b), 16) + a
 
     def start(codes: Column) -> Column:
-        pair = lambda x, i: x * (BORDER + 1) + F.coalesce(F.get(codes, i + 1), F.lit(BORDER))
-        return F.transform(codes, lambda x, i: F.get(constants["byte_pairs"], pair(x, i)))
+        ahead = F.slice(codes, F.lit(2), F.size(codes))
+        pair = lambda x, y: x * (BORDER + 1) + F.coalesce(y, F.lit(BORDER))
+        return F.zip_with(codes, ahead, lambda x, y: F.get(constants["byte_pairs"], pair(x, y)))
 
     def first(state: Column) -> Column:
         def joined(at: Column, merged: Column, left: Column) -> Column:
@@ -271,10 +272,15 @@ def _least_count(counts: DataFrame, size: int) -> int:
     return least
 
 
-def _places(word_hash: Column, bits: int) -> tuple[Column, Column]:
-    """A word's slot among the first ``1 << bits`` and its other one, of half as many behind them."""
-    other = F.call_function("shiftrightunsigned", word_hash, F.lit(64 - bits + 1)) + F.lit(1 << bits)
-    return word_hash.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"), other.cast("int")
+def _first_slot(word: Column, bits: int) -> Column:
+    """A word's slot among the first ``1 << bits``."""
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def _second_slot(word: Column, bits: int) -> Column:
+    """Its other one, among as many behind them."""
+    high = F.call_function("shiftrightunsigned", F.xxhash64(word), F.lit(64 - bits))
+    return (high + F.lit(1 << bits)).cast("int")
 
 
 def _dictionary(words: DataFrame, ranks: Ranks, size: int, max_bytes: int, bits: int) -> DataFrame:
@@ -289,14 +295,14 @@ def _dictionary(words: DataFrame, ranks: Ranks, size: int, max_bytes: int, bits:
         words.filter(F.octet_length("w") <= max_bytes).groupBy("w").agg(F.count("*").alias("n")), "bpe-words"
     )
     top = counts.filter(F.col("n") >= _least_count(counts, size))
-    one, two = _places(F.xxhash64("w"), bits)
+    one, two = _first_slot(F.col("w"), bits), _second_slot(F.col("w"), bits)
     best = lambda slot: F.row_number().over(Window.partitionBy(slot).orderBy(F.desc("n"), "w")) == 1
     ranked = top.select("w", "n", one.alias("one"), two.alias("two")).withColumn("first", best("one"))
     second = ranked.filter("not first").withColumn("held", best("two")).filter("held")
     held = ranked.filter("first").select("w", F.col("one").alias("slot")).union(second.select("w", "two"))
     folded = _let(F.col("c"), lambda c: _id_string(F.col("w"), ranks, c))
     entries = held.repartition("w").withColumn("c", _constants(spark, ranks).scalar()).select("slot", "w", folded.alias("ids"))
-    every = spark.range(3 << (bits - 1)).select(F.col("id").cast("int").alias("slot")).join(entries, "slot", "left")
+    every = spark.range(2 << bits).select(F.col("id").cast("int").alias("slot")).join(entries, "slot", "left")
     row = F.struct("slot", F.coalesce("w", F.lit("")).alias("w"), F.coalesce("ids", F.lit("")).alias("ids"))
     blocks = every.groupBy(F.shiftright("slot", 12).alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     in_order = F.sort_array(F.collect_list(F.struct("block", F.col("rows.w").alias("w"), F.col("rows.ids").alias("ids"))))
@@ -312,7 +318,7 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    dictionary_size: int = 1 << 19,
+    dictionary_size: int = 1 << 20,
     dictionary_max_bytes: int = 24,
 ) -> DataFrame:
     """Byte-level BPE ids of every text: (id_col, n_tokens, id_string, ids).
@@ -329,12 +335,12 @@ def encode(
     spark = docs.sparkSession
     found = F.regexp_extract_all(F.col("text"), F.lit(spelt_pattern(pattern)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = max(4, (2 * dictionary_size - 1).bit_length())
+    bits = max(4, (dictionary_size - 1).bit_length())
     words = rows.select(F.explode(found).alias("w"))
     known = cut(_dictionary(words, ranks, dictionary_size, dictionary_max_bytes, bits))
 
-    def one(word: Column, word_hash: Column, c: Column) -> Column:
-        first, second = _places(word_hash, bits)
+    def one(word: Column, first: Column, c: Column) -> Column:
+        second = _second_slot(word, bits)
         return (
             F.when(F.get(c["words"], first) == word, F.get(c["ids"], first))
             .when(F.get(c["words"], second) == word, F.get(c["ids"], second))
@@ -344,7 +350,7 @@ def encode(
     def joined(c: Column) -> Column:
         return _let(
             found,
-            lambda f: F.array_join(F.zip_with(f, F.transform(f, lambda w: F.xxhash64(w)), lambda w, h: one(w, h, c)), ""),
+            lambda f: F.array_join(F.zip_with(f, F.transform(f, lambda w: _first_slot(w, bits)), lambda w, i: one(w, i, c)), ""),
         )
 
     def flat(both: Column) -> Column:
