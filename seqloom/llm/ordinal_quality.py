@@ -144,13 +144,16 @@ def train(
     min_df: int = 8,
     ridge: float = 3e-4,
     rounds: int = 30,
-    partitions: int = 6,
+    partitions: int | None = None,
 ) -> Model:
     """Fit on at most ``max_rows`` graded rows: ``grades`` has (id_col, grade from 0 to n_grades - 1).
 
-    Rows with a null id or grade are left out; an id that comes twice counts twice.
+    Rows with a null id or grade are left out; an id that is graded twice counts twice,
+    one that has several texts is learned from the least of them.
     Without any graded text all weights are 0 and thresholds are evenly spaced.
     """
+    # the sample is bounded, and so is what its parts send back in a step
+    partitions = partitions or min(64, docs.sparkSession.sparkContext.defaultParallelism)
     sample = (
         grades.select(F.col(id_col).cast("long").alias("id"), F.col("grade").cast("int").alias("grade"))
         .dropna()
@@ -158,7 +161,10 @@ def train(
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("grade", "text").repartition(partitions)
+    rows = texts.join(F.broadcast(sample.groupBy("id", "grade").agg(F.count("*").alias("times"))), "id")
+    rows = rows.groupBy("id", "grade", "times").agg(F.min("text").alias("text"))
+    rows = rows.select("grade", "text", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("grade", "text")
+    rows = rows.repartition(partitions)
     data = stored(rows.mapInArrow(_featured, "grade int, found array<int>"), "graded")
     df = data.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= min_df).select("f").toPandas()
     used = np.zeros(DIM + n_grades - 1)
