@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All k-mers in order; an empty array for shorter sequences."""
-    last = F.char_length(seq) - k + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(
+def pieces_for_kmers(seq: Column, k: int, length: int = 512) -> Column:
+    """Pieces of about ``length`` letters that overlap by k - 1, so that each k-mer lies in one.
+
+    A sequence is cut once; letters within a piece are then near its start, so that the
+    work grows with the sequence and not with its square.
+    """
+    cut = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{max(length, 4 * k)}}}"), F.lit(0))
+    lap = lambda i: F.coalesce(F.substring(F.get(cut, i + 1), 1, k - 1), F.lit(""))
+    return F.transform(cut, lambda p, i: F.concat(p, lap(i)))
+
+
+def kmers_of_piece(piece: Column, k: int) -> Column:
+    last = F.char_length(piece) - k + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(piece, i, F.lit(k)))).otherwise(
         F.array().cast("array<string>")
     )
 
 
+def kmers(seq: Column, k: int) -> Column:
+    """All k-mers in order; an empty array for shorter sequences."""
+    return F.flatten(F.transform(pieces_for_kmers(seq, k), lambda p: kmers_of_piece(p, k)))
+
+
 def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
@@ -36,11 +54,26 @@ def kmer_of(number: Column, k: int, alphabet: str = "ACGT") -> Column:
     return F.translate(F.lpad(F.conv(number.cast("string"), 10, len(alphabet)), k, "0"), digits, alphabet)
 
 
-def fuzzy_kmers(kmer: Column, k: int, stable: int) -> Column:
-    """Copies with one N outside the ``stable`` letters at either end."""
-    return F.transform(
-        F.sequence(F.lit(stable + 1), F.lit(k - stable)), lambda i: F.overlay(kmer, F.lit("N"), i, F.lit(1))
+def fuzzy_kmers(kmer: Column, k: int, stable: int, n: int = 1) -> Column:
+    """Copies with exactly ``n`` Ns outside the ``stable`` letters at either end."""
+    chosen = list(combinations(range(stable + 1, k - stable + 1), n))
+    places = F.from_json(F.lit(json.dumps(chosen)), "array<array<int>>")
+    return F.transform(places, lambda p: F.aggregate(p, kmer, lambda s, i: F.overlay(s, F.lit("N"), i, F.lit(1))))
+
+
+def mismatch_kmers(kmer: Column, k: int, alphabet: str = "ACGT") -> Column:
+    """The k-mer and all that differ from it in one letter, each once."""
+    letters = F.array(*map(F.lit, alphabet))
+    each = F.transform(
+        F.sequence(F.lit(1), F.lit(k)),
+        lambda i: F.transform(letters, lambda x: F.overlay(kmer, x, i, F.lit(1))),
     )
+    return F.array_distinct(F.flatten(each))
+
+
+def all_kmers(spark: SparkSession, k: int, alphabet: str = "ACGT") -> DataFrame:
+    """(kmer): every k-mer of the alphabet."""
+    return spark.range(len(alphabet) ** k).select(kmer_of(F.col("id"), k, alphabet).alias("kmer"))
 
 
 def gc_content(seq: Column) -> Column:
@@ -154,3 +187,18 @@ def iupac_consensus(bases: Column) -> Column:
     letters = F.array_join(F.array_sort(F.array_distinct(bases)), "")
     codes = F.create_map(*[F.lit(x) for pair in IUPAC.items() for x in pair])
     return F.when(F.array_contains(bases, "-"), "-").otherwise(F.coalesce(F.try_element_at(codes, letters), F.lit("N")))
+
+
+def primer_span(mask: Column) -> Column:
+    """struct<start, end> (0-based half-open) of the run of Ns between the primers of a mask; nulls without any."""
+    start = F.locate("N", mask) - 1
+    end = F.char_length(mask) - F.locate("N", F.reverse(mask)) + 1
+    found = start >= 0
+    return F.struct(F.when(found, start).alias("start"), F.when(found, end).alias("end"))
+
+
+def centred_window(start: Column, end: Column, total: Column, width: int = 50) -> Column:
+    """struct<start, end> of ``width`` places about the middle of a region, moved inside the sequence."""
+    low = F.floor((start + end - width) / 2).cast("int")
+    low = F.greatest(F.lit(0), F.least(low, total - width))
+    return F.struct(low.alias("start"), F.least(low + width, total).alias("end"))

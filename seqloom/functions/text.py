@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: Ranks from the top, with the letters that tag them in taxonomy strings (fixed values).
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
@@ -10,7 +11,10 @@ TAGS = ["k", "p", "c", "o", "f", "g", "s"]
 
 
 def tax_map(taxstring: Column) -> Column:
-    """map<rank letter, name> of ``k__A; p__B``; untagged parts are taken in order of rank."""
+    """map<rank letter, name> of ``k__A; p__B``; untagged parts are taken in order of rank.
+
+    Of a rank named twice the first name counts.
+    """
     parts = F.filter(F.transform(F.split(taxstring, ";"), lambda p: F.trim(p)), lambda p: p != "")
     tagged = F.transform(
         parts,
@@ -21,7 +25,43 @@ def tax_map(taxstring: Column) -> Column:
             F.when(p.rlike("^[kpcofgs]__"), F.substr(p, F.lit(4))).otherwise(p).alias("value"),
         ),
     )
-    return F.map_from_entries(F.filter(tagged, lambda e: e["key"].isNotNull() & (e["value"] != "")))
+    return first_entries(F.filter(tagged, lambda e: e["key"].isNotNull() & (e["value"] != "")))
+
+
+def first_entries(entries: Column) -> Column:
+    """A map of array<struct<key, value>> in which a key's first value counts."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), 0)))
+
+
+def tax_at(ranks: Column, letter: str, default: str | None = None) -> Column:
+    """A rank's name; d (domain) means the kingdom."""
+    return F.coalesce(F.try_element_at(ranks, F.lit("k" if letter == "d" else letter)), F.lit(default))
+
+
+def lowest_rank(ranks: Column) -> Column:
+    """The letter of the deepest named rank; null if none is."""
+    named = F.filter(F.array(*map(F.lit, TAGS)), lambda r: F.try_element_at(ranks, r).isNotNull())
+    return F.get(named, F.size(named) - 1)
+
+
+def cut_at_rank(ranks: Column, letter: str, default: str = "unassigned") -> Column:
+    """The taxonomy string down to a rank, ``default`` where nothing is named."""
+    return F.coalesce(F.nullif(tax_string(ranks, trim_to=letter), F.lit("")), F.lit(default))
+
+
+@F.pandas_udf(T.DoubleType())
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the letters in matching blocks over all letters of two names; null if either is."""
+    from difflib import SequenceMatcher
+
+    both = zip(a, b)
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in both], dtype="float64")
+
+
+def same_tax(a: Column, b: Column, least: float = 0.9) -> Column:
+    """Whether two names are equal or spelt nearly alike (typing errors)."""
+    return (a == b) | (matching_ratio(a, b) > least)
 
 
 def tax_string(ranks: Column, trim_to: str | None = None, stop_at_gap: bool = True, keep_empty: bool = False) -> Column:
@@ -100,3 +140,32 @@ def region_of_header(header: Column) -> Column:
         F.regexp_extract(slice_, r"\|slice=\[(\d+):", 1).try_cast("int").alias("start"),
         F.regexp_extract(slice_, r":(\d+)\]$", 1).try_cast("int").alias("stop"),
     )
+
+
+def gi_number(text: Column) -> Column:
+    """The number of ``gi|123|``; null without one."""
+    return F.nullif(F.regexp_extract(text, r"gi\|(\d*)\|", 1), F.lit(""))
+
+
+def with_length(header: Column, seq: Column) -> Column:
+    """A header with its sequence's length behind it."""
+    return F.concat(header, F.lit(" | len_"), F.char_length(seq).cast("string"))
+
+
+def listing_date(time: Column) -> Column:
+    """A time as ``2014Feb18``."""
+    return F.date_format(time, "yyyyMMMdd")
+
+
+def path_matches(path: Column, pattern: str) -> Column:
+    """Whether a path has as many parts as the pattern and each fits its own expression (from its start)."""
+    parts, wanted = F.split(F.ltrim(path, F.lit("/")), "/"), pattern.strip("/").split("/")
+    found = F.size(parts) == len(wanted)
+    for i, part in enumerate(wanted):
+        found = found & F.coalesce(F.get(parts, F.lit(i)).rlike(f"^(?:{part})"), F.lit(False))
+    return found
+
+
+def log_scaled(x: Column, factor: float = 1000.0) -> Column:
+    """log2(factor * x + 1), which spreads small shares."""
+    return F.log2(factor * x + 1)

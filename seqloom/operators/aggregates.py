@@ -98,7 +98,8 @@ def similarity_of_splits(splits: DataFrame, hits: DataFrame, min_identity: float
 
     ``splits``: (query, split, length); ``hits``: (query, split, reference, identity,
     length). The best hit of a piece is that of greatest identity times length; ani
-    weighs identities by hit length over the matched pieces' length.
+    weighs identities by hit length over the matched pieces' length. Every query comes with
+    every reference that has a hit at all; both are 0 where none passes.
     """
     best = hits.groupBy("query", "split", "reference").agg(
         F.max_by(F.struct("identity", F.col("length").alias("hit_length")), F.struct(F.col("identity") * F.col("length"), "length")).alias("h")
@@ -111,11 +112,15 @@ def similarity_of_splits(splits: DataFrame, hits: DataFrame, min_identity: float
     sums = good.groupBy("query", "reference").agg(
         F.sum(F.col("h.identity") * F.col("h.hit_length")).alias("weighted"), F.sum("length").alias("matched")
     )
-    return sums.join(total, "query").select(
+    # the result is a full matrix of genomes: a row for each query and reference
+    references = hits.agg(F.collect_set("reference").alias("r"))
+    every = total.withColumn("reference", F.explode(references.scalar()))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return every.join(sums, ["query", "reference"], "left").select(
         "query",
         "reference",
-        (F.col("weighted") / F.col("matched")).alias("ani"),
-        (F.col("matched") / F.col("total")).alias("af"),
+        zero(F.col("weighted") / F.col("matched")).alias("ani"),
+        zero(F.col("matched") / F.col("total")).alias("af"),
     )
 
 
@@ -127,3 +132,15 @@ def relative_entropy(df: DataFrame, by: list[str], observed: str, expected: str)
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(weight))
+
+
+def shared_clusters(df: DataFrame, member: str, cluster: str) -> DataFrame:
+    """(a, b, shared): in how many clusters two members lie together (pairs that share any).
+
+    The result holds every such pair, so that it is the pairs within clusters that are
+    counted, map-side first.
+    """
+    rows = df.select(member, cluster).distinct()
+    x, y = rows.alias("x"), rows.alias("y")
+    pairs = x.join(y, (F.col(f"x.{cluster}") == F.col(f"y.{cluster}")) & (F.col(f"x.{member}") < F.col(f"y.{member}")))
+    return pairs.groupBy(F.col(f"x.{member}").alias("a"), F.col(f"y.{member}").alias("b")).agg(F.count("*").alias("shared"))

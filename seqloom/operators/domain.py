@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.sequences import kmers
@@ -43,6 +46,12 @@ def bin_class(complete: Column, contam: Column) -> Column:
     )
 
 
+def plasmid_by_votes(votes: list[tuple[Column, int]], least: int = 13) -> Column:
+    """Plasmid if the points of the tests that hold reach ``least``, else Chromosome; a null test doesn't hold."""
+    points = [F.when(test, n).otherwise(0) for test, n in votes]
+    return F.when(reduce(lambda a, b: a + b, points) >= least, "Plasmid").otherwise("Chromosome")
+
+
 def filtered_hits(hits: DataFrame, min_length: float, min_bits: float, max_evalue: float, min_identity: float) -> DataFrame:
     """Hits (start, end, subject_length, bitscore, evalue, identity) that pass all limits.
 
@@ -125,15 +134,15 @@ def pieces(df: DataFrame, key: str, seq: str, length: int) -> DataFrame:
     return each.select(key, "piece", start.alias("start"), F.substr(F.col(seq), start + 1, stop - start).alias("seq"))
 
 
-def greedy_cover(df: DataFrame, item: str, member: str, rounds: int) -> DataFrame:
+def greedy_cover(df: DataFrame, item: str, member: str, rounds: int | None = None) -> DataFrame:
     """(place, member, new, total): members by how many uncovered items they add.
 
-    Each round takes the member with most new items (ties: the greatest name). One
-    round is one aggregation; ``rounds`` bounds them.
+    Each round takes the member with most new items (ties: the greatest name), until
+    nothing is left or, if given, for ``rounds`` rounds. One round is one aggregation.
     """
     left = cut(df.select(item, member).distinct())
     rows, total = [], 0
-    for place in range(1, rounds + 1):
+    for place in count(1) if rounds is None else range(1, rounds + 1):
         best = left.groupBy(member).count().orderBy(F.desc("count"), F.desc(member)).first()
         if best is None:
             break
@@ -171,13 +180,23 @@ def two_means(df: DataFrame, columns: list[str], seed: int = 1, k: int = 2) -> D
     return Pipeline(stages=stages).fit(df).transform(df).drop("__v", "__s")
 
 
-def aligned_columns(df: DataFrame, by: str, seq: str, max_gaps: float) -> DataFrame:
-    """Alignment rows without the columns in which ``max_gaps`` or more of the rows have a gap or N."""
-    cells = df.select(by, F.posexplode(F.split(seq, "")).alias("at", "nt"))
-    good = cells.groupBy("at").agg(F.avg(F.col("nt").isin("-", "N").cast("int")).alias("gaps")).filter(F.col("gaps") < max_gaps)
-    kept = cells.join(good.select("at"), "at", "left_semi")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "nt"))), lambda c: c["nt"]), "")
-    return kept.groupBy(by).agg(text.alias(seq))
+def aligned_columns(df: DataFrame, by: str, seq: str, max_gaps: float, gaps: tuple[str, ...] = ("-", "N")) -> DataFrame:
+    """Alignment rows without the columns in which ``max_gaps`` or more of the rows that reach them have a gap.
+
+    Rows stay whole in their tasks; what each column's rows have is summed, and the
+    verdicts (a boolean a column) go to all tasks.
+    """
+    cells = df.select(F.posexplode(F.split(seq, "")).alias("at", "nt"))
+    good = cells.groupBy("at").agg((F.avg(F.col("nt").isin(*gaps).cast("int")) < max_gaps).alias("good"))
+    flags = good.agg(F.sort_array(F.collect_list(F.struct("at", "good"))).alias("f")).select(F.col("f.good").alias("good"))
+    kept = F.filter(F.split(seq, ""), lambda _, i: F.get("__flags", i))
+    return df.withColumn("__flags", flags.scalar()).select(by, F.array_join(kept, "").alias(seq))
+
+
+def gappy_rows(df: DataFrame, seq: str, max_gaps: float, gaps: str = "-N") -> DataFrame:
+    """Alignment rows of which less than ``max_gaps`` are gaps; empty rows are left out."""
+    n = F.char_length(seq)
+    return df.filter((n > 0) & ((n - F.char_length(F.translate(seq, gaps, ""))) < max_gaps * n))
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqloom.storage import cut
 
@@ -63,11 +65,14 @@ def common_ancestors(pairs: DataFrame, lineage: DataFrame) -> DataFrame:
 def trees(distances: DataFrame, by: str, method: str = "nj") -> DataFrame:
     """(by, newick) of small distance matrices in long form: (by, a, b, distance).
 
-    ``method``: nj (neighbour joining) or upgma. Each group is one small matrix.
+    ``method``: nj (neighbour joining) or upgma. Each group is one matrix of at most
+    MOST_NAMES names; a larger one is an error.
     """
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*batch["a"], *batch["b"]})
+        if len(names) > MOST_NAMES:
+            raise ValueError(f"a matrix of {len(names)} names")
         d = {frozenset(p): x for *p, x in zip(batch["a"], batch["b"], batch["distance"])}
         return pd.DataFrame({by: [batch[by].iloc[0]], "newick": [_joined(names, d, method)]})
 
@@ -101,22 +106,136 @@ def _joined(names: list[str], d: dict, method: str) -> str:
 
 
 def interval_tiers(df: DataFrame, by: str, start: str, end: str, key: str) -> DataFrame:
-    """Rows with ``tier``: longest first, each in the first tier where it overlaps none."""
+    """Rows with ``tier``: longest first (ties: the least key), each in the first tier where it overlaps none.
+
+    Only intervals that overlap, straight or by others, decide on each other's tiers. A
+    key's rows are therefore cut where no interval reaches over, and each such island is
+    tiered for itself, so that no key comes whole into a task.
+    """
+    w = Window.partitionBy(by).orderBy(start, end, key)
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (F.col(start) >= before), 1).otherwise(0)
+    islands = df.withColumn("__open", opens).withColumn("__island", F.sum("__open").over(w)).drop("__open")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.assign(__n=batch[start] - batch[end]).sort_values(["__n", key]).drop(columns="__n")
-        tiers: list[list[tuple]] = []
+        tiers: list[list[tuple]] = []  # intervals without overlap, in order of their starts
         out = []
         for s, e in zip(batch[start], batch[end]):
-            at = next((i for i, t in enumerate(tiers) if all(e <= s2 or e2 <= s for s2, e2 in t)), len(tiers))
-            if at == len(tiers):
+            for at, tier in enumerate(tiers):
+                i = bisect.bisect_left(tier, (s, e))
+                if (i == len(tier) or e <= tier[i][0]) and (i == 0 or tier[i - 1][1] <= s):
+                    break
+            else:
+                at, i = len(tiers), 0
                 tiers.append([])
-            tiers[at].append((s, e))
+            tiers[at].insert(i, (s, e))
             out.append(at)
-        return batch.assign(tier=out)
+        return batch.assign(tier=out).drop(columns="__island")
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.groupBy(by).applyInPandas(run, f"{kinds}, tier int")
+    return islands.groupBy(by, "__island").applyInPandas(run, f"{kinds}, tier int")
+
+
+#: Names of one distance matrix that a task may hold.
+MOST_NAMES = 2000
+
+
+def pruned(nodes: DataFrame, names: DataFrame | None = None, pattern: str | None = None, remove: bool = False) -> DataFrame:
+    """(tree, node, parent, name, length) of trees without the unwanted leaves.
+
+    Leaves in ``names`` (name, maybe new_name) are kept and renamed, or dropped with
+    ``remove``; those whose name matches ``pattern`` from its start are treated alike. Inner
+    nodes left without leaves go; one left with a single child is joined with it,
+    their lengths being summed. The root stays.
+    """
+    key = F.concat(F.col("tree").cast("string"), F.lit(":"))
+    rows = cut(nodes.select("*", F.concat(key, "node").alias("__n"), F.when(F.col("parent").isNotNull(), F.concat(key, "parent")).alias("__p")))
+    inner = rows.filter("__p IS NOT NULL").select(F.col("__p").alias("__n")).distinct()
+    leaves = rows.join(inner, "__n", "left_anti")
+    listed = F.lit(False)
+    if names is not None:
+        renamed = names if "new_name" in names.columns else names.withColumn("new_name", F.lit(None).cast("string"))
+        renamed = renamed.dropDuplicates(["name"]).select("name", "new_name", F.lit(True).alias("__in"))
+        leaves = leaves.join(renamed, "name", "left")
+        listed = F.coalesce("__in", F.lit(False))
+    else:
+        leaves = leaves.withColumn("new_name", F.lit(None).cast("string"))
+    if pattern is not None:
+        listed = listed | F.col("name").rlike(f"^(?:{pattern})")
+    kept = cut(leaves.filter(~listed if remove else listed).select("__n", "new_name"))
+    above = closure(rows.select("__n", "__p"), "__n", "__p")
+    alive = above.join(kept.select(F.col("__n").alias("node")), "node", "left_semi").select(F.col("ancestor").alias("__n")).distinct()
+    alive = alive.union(rows.filter("__p IS NULL").select("__n")).distinct()
+    living = rows.join(alive, "__n", "left_semi")
+    children = living.filter("__p IS NOT NULL").groupBy(F.col("__p").alias("__n")).agg(F.count("*").alias("__c"))
+    stays = living.join(children, "__n", "left").filter("__p IS NULL OR __c IS NULL OR __c > 1")
+    stays = cut(stays.join(kept, "__n", "left").select("__n", "tree", "node", F.coalesce("new_name", "name").alias("name")))
+    # the nearest ancestor that stays is the new parent; lengths on the way to it are summed
+    to = above.filter("depth > 0").join(stays.select(F.col("__n").alias("ancestor"), F.col("node").alias("__parent")), "ancestor")
+    parent = to.groupBy(F.col("node").alias("__n")).agg(F.min("depth").alias("__depth"), F.min_by("__parent", "depth").alias("parent"))
+    way = above.join(parent, (above["node"] == parent["__n"]) & (above["depth"] < parent["__depth"])).select(
+        F.col("__n").alias("__from"), F.col("ancestor").alias("__at")
+    )
+    length = way.join(rows, way["__at"] == rows["__n"]).groupBy(F.col("__from").alias("__n")).agg(F.sum("length").alias("length"))
+    return stays.join(parent, "__n", "left").join(length, "__n", "left").select("tree", "node", "parent", "name", "length")
+
+
+def leaf_orders(distances: DataFrame, by: str, method: str = "average", share: float = 0.7) -> DataFrame:
+    """(by, name, place, cluster): leaves of a hierarchical clustering in the order of its drawing.
+
+    ``distances``: (by, a, b, distance), each group one matrix of at most MOST_NAMES
+    names. ``method``: single, complete or average. The branch of the earlier cluster comes first.
+    Clusters (numbered from 1 in that order) are what a cut at ``share`` of the greatest
+    height leaves.
+    """
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*batch["a"], *batch["b"]})
+        if len(names) > MOST_NAMES:
+            raise ValueError(f"a matrix of {len(names)} names")
+        order, cluster = _leaves(names, batch, method, share)
+        return pd.DataFrame(
+            {by: batch[by].iloc[0], "name": [names[i] for i in order], "place": range(len(order)), "cluster": cluster}
+        )
+
+    kind = dict(distances.dtypes)
+    return distances.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, name {kind['a']}, place int, cluster int")
+
+
+def _leaves(names: list, batch: pd.DataFrame, method: str, share: float) -> tuple[list[int], list[int]]:
+    at = {n: i for i, n in enumerate(names)}
+    size = len(names)
+    d = np.full((size, size), np.inf)
+    for a, b, x in zip(batch["a"], batch["b"], batch["distance"]):
+        d[at[a], at[b]] = d[at[b], at[a]] = x
+    np.fill_diagonal(d, np.inf)
+    tree: list = [[i] for i in range(size)]  # leaves of the cluster in each row
+    number, heights, merges = list(range(size)), [], []
+    for step in range(size - 1):
+        i, j = sorted(divmod(int(d.argmin()), size))
+        height = d[i, j]
+        n, m = len(tree[i]), len(tree[j])
+        merged = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j])}.get(method)
+        if merged is None:
+            merged = (n * d[i] + m * d[j]) / (n + m)
+        first, second = (i, j) if number[i] < number[j] else (j, i)
+        heights.append(height)
+        merges.append((tree[first], tree[second]))
+        tree[i] = tree[first] + tree[second]
+        number[i], tree[j] = size + step, []
+        d[i] = d[:, i] = merged
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+    order = tree[0] if size == 1 else max(tree, key=len)
+    cut_at = share * max(heights, default=0.0)
+    root = list(range(size))
+    for height, (a, b) in zip(heights, merges):
+        if height <= cut_at:
+            old, new = root[b[0]], root[a[0]]
+            root = [new if r == old else r for r in root]
+    seen: dict[int, int] = {}
+    return order, [seen.setdefault(root[i], len(seen) + 1) for i in order]
 
 
 def newick_nodes(texts: DataFrame, text: str = "newick") -> DataFrame:
@@ -207,12 +326,28 @@ def alignment_clusters(hits: DataFrame, key: str, start: str, end: str, toleranc
 
 
 def near_equal_sets(df: DataFrame, member: str, item: str, most: int) -> DataFrame:
-    """(a, b, differing): pairs of members that share an item and differ in at most ``most``."""
+    """(a, b, differing): pairs of members whose sets differ in at most ``most`` items.
+
+    Two sets that share an item meet on it, if it is rare enough in order: ordered from
+    rare to frequent items, sets that differ in at most ``most`` have one in common among
+    the first most + 1 of either. Sets of so few items that they may share nothing
+    (``most`` or fewer in all) are paired with each other.
+    """
     rows = df.select(member, item).distinct()
+    common = rows.groupBy(item).agg(F.count("*").alias("df"))
     sizes = rows.groupBy(member).agg(F.count("*").alias("n"))
-    x = rows.join(sizes, member).select(F.col(member).alias("a"), item, F.col("n").alias("na"))
-    y = x.select(F.col("a").alias("b"), item, F.col("na").alias("nb"))
-    # sets that differ in size by more can't be near
-    shared = x.join(y, item).filter((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= most))
-    counts = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return counts.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("k")).alias("differing")).filter(F.col("differing") <= most)
+    order = Window.partitionBy(member).orderBy("df", item)
+    ranked = rows.join(common, item).join(sizes, member).withColumn("__k", F.row_number().over(order))
+    first = ranked.filter(F.col("__k") <= most + 1)
+    side = lambda d, c, n: d.select(F.col(member).alias(c), item, F.col("n").alias(n))
+    met = side(first, "a", "na").join(side(first, "b", "nb"), item)
+    met = met.filter((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= most)).select("a", "b", "na", "nb")
+    few = sizes.filter(F.col("n") <= most).withColumn("__all", F.lit(1))
+    x, y = few.select(F.col(member).alias("a"), F.col("n").alias("na"), "__all"), few.select(F.col(member).alias("b"), F.col("n").alias("nb"), "__all")
+    small = x.join(y, "__all").filter((F.col("a") < F.col("b")) & (F.col("na") + F.col("nb") <= most)).select("a", "b", "na", "nb")
+    pairs = met.union(small).distinct()
+    left = rows.select(F.col(member).alias("a"), F.col(item).alias("__i"))
+    right = rows.select(F.col(member).alias("b"), F.col(item).alias("__i"))
+    shared = pairs.select("a", "b").join(left, "a").join(right, ["b", "__i"]).groupBy("a", "b").agg(F.count("*").alias("k"))
+    counted = pairs.join(shared, ["a", "b"], "left")
+    return counted.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.coalesce("k", F.lit(0))).alias("differing")).filter(F.col("differing") <= most)

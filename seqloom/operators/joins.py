@@ -34,14 +34,13 @@ def point_in_interval(
     Intervals are cut into buckets of ``width``, a point looks in its own bucket.
     """
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    p = points.withColumn("__bucket", bucket(F.col(at)))
-    i = intervals.withColumn("__bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    keys = [*on, "__bucket"]
-    condition = p[at].between(i[start], i[end])
-    for key in keys:
-        condition = condition & (p[key] == i[key])
-    taken = [i[c] for c in intervals.columns if c not in on]
-    return p.join(i, condition, how).select(*[p[c] for c in points.columns], *taken)
+    p = points.withColumn("__bucket", bucket(F.col(at))).alias("p")
+    i = intervals.withColumn("__bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end))))).alias("i")
+    condition = F.col(f"p.{at}").between(F.col(f"i.{start}"), F.col(f"i.{end}"))
+    for key in [*on, "__bucket"]:
+        condition = condition & (F.col(f"p.{key}") == F.col(f"i.{key}"))
+    taken = [F.col(f"i.{c}") for c in intervals.columns if c not in on]
+    return p.join(i, condition, how).select(*[F.col(f"p.{c}") for c in points.columns], *taken)
 
 
 def overlapping(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -62,15 +61,23 @@ def divided(rows: DataFrame, item: str, by: str, divisor: DataFrame) -> DataFram
     )
 
 
-def converted(df: DataFrame, column: str, table: DataFrame, source: str, target: str, missing: Column | None = None) -> DataFrame:
-    """Replace values by a dimension's, first row per key; without ``missing`` an unknown value is an error."""
-    first = table.groupBy(F.col(source).alias("__from")).agg(F.min(target).alias("__to"))
+def converted(
+    df: DataFrame, column: str, table: DataFrame, source: str, target: str, missing: Column | None = None, order: str | None = None
+) -> DataFrame:
+    """Replace values by a dimension's; without ``missing`` an unknown value is an error.
+
+    Of several rows of a key the first by ``order`` counts; without an order they are an error.
+    """
+    best = F.min_by(target, order) if order else F.min(target)
+    first = table.groupBy(F.col(source).alias("__from")).agg(best.alias("__to"), F.count_distinct(target).alias("__n"))
+    kind = table.schema[target].dataType
+    shown = F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    twice = F.raise_error(F.concat(F.lit("more than one conversion for "), shown)).cast(kind)
+    to = F.col("__to") if order else F.when(F.col("__n") > 1, twice).otherwise(F.col("__to"))
     joined = df.join(first, df[column].eqNullSafe(first["__from"]), "left")
-    unknown = F.raise_error(F.concat(F.lit("no conversion for "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
-    fallback = unknown.cast(table.schema[target].dataType) if missing is None else missing
-    return joined.select(
-        *[F.coalesce("__to", fallback).alias(c) if c == column else df[c] for c in df.columns]
-    )
+    unknown = F.raise_error(F.concat(F.lit("no conversion for "), shown))
+    fallback = unknown.cast(kind) if missing is None else missing
+    return joined.select(*[F.coalesce(to, fallback).alias(c) if c == column else df[c] for c in df.columns])
 
 
 def merged_sources(frames: list[DataFrame], on: list[str]) -> DataFrame:

@@ -58,8 +58,13 @@ def length_quintile(df: DataFrame, by: list[str], value: str, tie: str, out: str
 
 
 def rarefied(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows of each group without replacement, by a seeded hash of the key."""
-    return first_rows(df, by, [F.xxhash64(F.lit(seed), F.col(key)), key], n)
+    """``n`` rows of each group without replacement, by a seeded MD5 of the key."""
+    return first_rows(df, by, [_drawn(seed, key), key], n)
+
+
+def _drawn(seed: int, *keys: str) -> Column:
+    """A random order that the seed and the keys alone decide."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def curve(df: DataFrame, item: str, member: str, replicates: int, seed: int) -> DataFrame:
@@ -72,7 +77,7 @@ def curve(df: DataFrame, item: str, member: str, replicates: int, seed: int) ->
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
     members = pairs.select("replicate", member).distinct()
-    order = Window.partitionBy("replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", member), member)
+    order = Window.partitionBy("replicate").orderBy(_drawn(seed, "replicate", member), member)
     ranked = members.withColumn("place", F.row_number().over(order))
     new = pairs.join(ranked, ["replicate", member]).groupBy("replicate", item).agg(F.min("place").alias("place"))
     counts = new.groupBy("replicate", "place").agg(F.count("*").alias("new"))
@@ -87,7 +92,7 @@ def core_curve(df: DataFrame, item: str, member: str, replicates: int, seed: int
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
     members = pairs.select("replicate", member).distinct()
-    order = Window.partitionBy("replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", member), member)
+    order = Window.partitionBy("replicate").orderBy(_drawn(seed, "replicate", member), member)
     ranked = members.withColumn("place", F.row_number().over(order))
     held = pairs.join(ranked, ["replicate", member])
     # an item holds up to the place before the first gap in the places of its members

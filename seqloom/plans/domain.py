@@ -65,53 +65,51 @@ def sequence_pieces(t: Tables) -> DataFrame:
     return D.pieces(t.documents, "doc_id", "text", 500)
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, c_nationkey % 3 AS v FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS k, c_nationkey % 2 AS v FROM customer WHERE c_custkey % 7 <> 0)
+@query("""WITH a AS (SELECT c_custkey AS k, c_nationkey % 3 AS v FROM customer WHERE c_acctbal > 0), b AS (SELECT o_custkey AS k, min(o_orderkey) % 3 AS v FROM orders GROUP BY 1)
 SELECT count(*) FILTER (a.v = b.v) AS same, count(*) FILTER (a.v <> b.v) AS different,
 count(*) FILTER (b.v IS NULL AND a.v IS NOT NULL) AS first_only, count(*) FILTER (a.v IS NULL AND b.v IS NOT NULL) AS second_only FROM a FULL JOIN b USING (k)""")
 def assignment_agreement(t: Tables) -> DataFrame:
-    side = lambda skip, n: t.customer.filter(F.col("c_custkey") % skip != 0).select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % n).alias("v"))
-    return D.agreement(side(5, 3), side(7, 2), "k", "v")
+    a = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 3).alias("v"))
+    b = t.orders.groupBy(F.col("o_custkey").alias("k")).agg((F.min("o_orderkey") % 3).alias("v"))
+    return D.agreement(a, b, "k", "v")
 
 
 @query(None)
 def greedy_genome_cover(t: Tables) -> DataFrame:
     clusters = t.lineitem.select((F.col("l_partkey") % 500).alias("cluster"), "l_suppkey")
-    return D.greedy_cover(clusters, "cluster", "l_suppkey", 10)
+    return D.greedy_cover(clusters, "cluster", "l_suppkey")
 
 
-@query("""WITH a AS (SELECT (l_partkey % 50)::VARCHAR AS amp, l_suppkey AS g, l_returnflag || CASE WHEN l_quantity > 49 THEN 'N' ELSE '' END AS s FROM lineitem WHERE l_suppkey < 4 AND l_linenumber = 1
-  QUALIFY row_number() OVER (PARTITION BY l_partkey % 50, l_suppkey ORDER BY l_orderkey) = 1),
+@query("""WITH a AS (SELECT l_partkey::VARCHAR AS amp, l_returnflag AS g, l_linestatus || CASE WHEN l_quantity > 49 THEN 'N' ELSE '' END AS s FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber) = 1),
 v AS (SELECT amp, sum(length(s) - length(replace(s, 'N', '')))::BIGINT AS n_ambiguous FROM a GROUP BY 1
   HAVING count(*) = count(DISTINCT g) AND count(DISTINCT g) = (SELECT count(DISTINCT g) FROM a)),
 k AS (SELECT amp, s, count(*) AS k FROM a GROUP BY 1, 2),
 u AS (SELECT amp, count(*) FILTER (k = 1) AS n_unique, sum(CASE WHEN k > 1 THEN k ELSE 0 END)::BIGINT AS n_duplicated FROM k GROUP BY 1)
 SELECT amp, n_unique, n_duplicated, n_ambiguous FROM v JOIN u USING (amp)""")
 def amplicon_statistics(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter("l_suppkey < 4 AND l_linenumber = 1").select(
-        (F.col("l_partkey") % 50).cast("string").alias("amp"), F.col("l_suppkey").alias("g"), "l_orderkey",
-        F.concat("l_returnflag", F.when(F.col("l_quantity") > 49, "N").otherwise("")).alias("s"),
-    )
-    one = rows.groupBy("amp", "g").agg(F.min_by("s", "l_orderkey").alias("s"))
+    seq = F.concat("l_linestatus", F.when(F.col("l_quantity") > 49, "N").otherwise(""))
+    one = t.lineitem.groupBy(F.col("l_partkey").cast("string").alias("amp"), F.col("l_returnflag").alias("g")).agg(
+        F.min_by(seq, F.struct("l_orderkey", "l_linenumber")).alias("s")
+    )
     return D.valid_amplicons(one, "amp", "g", "s", one)
 
 
-@query("""WITH e AS (SELECT user_id AS k, event_id AS id, epoch_ms(ts) AS s FROM events WHERE event_type = 'signup'),
-l AS (SELECT *, lag(s) OVER (PARTITION BY k ORDER BY s, id) AS before FROM e),
-g AS (SELECT *, sum(CASE WHEN before IS NULL OR s - before > 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS run FROM l)
-SELECT id, min(id) OVER (PARTITION BY k, run) AS cluster FROM g""")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS id, epoch_ms(ts) AS s, epoch_ms(ts) + event_id % 7 * 3600000 AS e FROM events),
+l AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.k = b.k AND a.id <> b.id AND abs(a.s - b.s) <= 7200000 AND abs(a.e - b.e) <= 7200000),
+r AS (SELECT id, id AS root FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY 1""")
 def alignment_clusters(t: Tables) -> DataFrame:
     at = F.unix_millis(F.col("ts").cast("timestamp"))
-    hits = t.events.filter("event_type = 'signup'").select(F.col("user_id").alias("subject"), F.col("event_id").alias("id"), at.alias("s"), at.alias("e"))
+    hits = t.events.select(F.col("user_id").alias("subject"), F.col("event_id").alias("id"), at.alias("s"), (at + F.col("event_id") % 7 * 3_600_000).alias("e"))
     return G.alignment_clusters(hits, "id", "s", "e", 7_200_000)
 
 
-@query("""WITH r AS (SELECT DISTINCT s_suppkey % 20 AS m, l_partkey % 12 AS i FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND l_linenumber = 1),
-n AS (SELECT m, count(*) AS n FROM r GROUP BY 1),
+@query("""WITH r AS (SELECT DISTINCT l_suppkey AS m, l_partkey % 300 AS i FROM lineitem), n AS (SELECT m, count(*) AS n FROM r GROUP BY 1),
 k AS (SELECT x.m AS a, y.m AS b, count(*) AS k FROM r x JOIN r y ON x.i = y.i AND x.m < y.m GROUP BY 1, 2)
-SELECT a, b, na.n + nb.n - 2 * k AS differing FROM k JOIN n na ON na.m = a JOIN n nb ON nb.m = b WHERE na.n + nb.n - 2 * k <= 4""")
+SELECT a.m AS a, b.m AS b, a.n + b.n - 2 * coalesce(k, 0) AS differing FROM n a JOIN n b ON a.m < b.m LEFT JOIN k ON k.a = a.m AND k.b = b.m WHERE a.n + b.n - 2 * coalesce(k, 0) <= 40""")
 def duplicate_genomes(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter("l_quantity > 49 AND l_linenumber = 1").select((F.col("l_suppkey") % 20).alias("m"), (F.col("l_partkey") % 12).alias("i"))
-    return G.near_equal_sets(rows, "m", "i", 4)
+    rows = t.lineitem.select(F.col("l_suppkey").alias("m"), (F.col("l_partkey") % 300).alias("i"))
+    return G.near_equal_sets(rows, "m", "i", 40)
 
 
 @query("""WITH RECURSIVE p AS (SELECT c_nationkey AS q, c_custkey % 25 AS r, avg(c_acctbal) AS v FROM customer GROUP BY 1, 2),
@@ -126,13 +124,18 @@ def single_linkage_clusters(t: Tables) -> DataFrame:
     return G.single_linkage(d, 0.5)
 
 
-@query("""WITH c AS (SELECT doc_id, i AS place, substr(text, i, 1) AS nt FROM (SELECT doc_id, text, unnest(range(1, 41)) AS i FROM documents WHERE length(text) >= 40 AND lang = 'en')),
-g AS (SELECT doc_id, place, CASE WHEN nt IN (' ', '.') THEN '-' ELSE nt END AS nt FROM c),
+@query("""WITH g AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS place, unnest(string_split(translate(text, ' .', '--'), '')) AS nt FROM documents),
 k AS (SELECT place FROM g GROUP BY 1 HAVING avg(CASE WHEN nt IN ('-', 'N') THEN 1.0 ELSE 0.0 END) < 0.2)
-SELECT doc_id, string_agg(nt, '' ORDER BY place) AS seq FROM g JOIN k USING (place) GROUP BY 1""")
+SELECT doc_id, md5(string_agg(nt, '' ORDER BY place)) AS digest FROM g JOIN k USING (place) GROUP BY 1""")
 def gapless_alignment(t: Tables) -> DataFrame:
-    rows = t.documents.filter("lang = 'en' AND length(text) >= 40").select("doc_id", F.translate(F.substring("text", 1, 40), " .", "--").alias("seq"))
-    return D.aligned_columns(rows, "doc_id", "seq", 0.2)
+    rows = t.documents.select("doc_id", F.translate("text", " .", "--").alias("seq"))
+    kept = D.aligned_columns(rows, "doc_id", "seq", 0.2).filter("seq <> ''")
+    return kept.select("doc_id", F.md5(F.encode("seq", "UTF-8")).alias("digest"))
+
+
+@query("""SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0 AND length(text) - length(translate(text, ' ', '')) < 0.16 * length(text)""")
+def alignment_rows_without_gaps(t: Tables) -> DataFrame:
+    return D.gappy_rows(t.documents, "text", 0.16, " ").select("doc_id", F.char_length("text").cast("long").alias("n"))
 
 
 @query(None)
@@ -149,9 +152,9 @@ def nation_tree(t: Tables) -> DataFrame:
 
 @query(None)
 def order_tiers(t: Tables) -> DataFrame:
-    """Orders of each nation's first customers as intervals without overlap in a tier."""
+    """Each customer's orders as intervals without overlap in a tier."""
     day = F.floor(F.unix_millis(F.col("o_orderdate").cast("timestamp")) / 86_400_000)
-    rows = t.orders.select((F.col("o_custkey") % 50).alias("k"), day.alias("s"), (day + F.col("o_orderkey") % 30 + 1).alias("e"), F.col("o_orderkey").alias("id"))
+    rows = t.orders.select(F.col("o_custkey").alias("k"), day.alias("s"), (day + F.col("o_orderkey") % 30 + 1).alias("e"), F.col("o_orderkey").alias("id"))
     return G.interval_tiers(rows, "k", "s", "e", "id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqloom.functions import text as X
-from seqloom.operators import aggregates as A, joins as J, windows as W
+from seqloom.operators import aggregates as A, domain as D, joins as J, reports as P, windows as W
 
 from .registry import Tables, query
 
@@ -13,13 +13,12 @@ from .registry import Tables, query
 @query("""SELECT o_orderkey, cn.n_name AS customer_nation, cr.r_name AS customer_region, sn.n_name AS supplier_nation, sr.r_name AS supplier_region
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
-JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey WHERE l_linenumber = 1""")
+JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey""")
 def double_dimension_join(t: Tables) -> DataFrame:
     place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     side = lambda p: place.select(F.col("n_nationkey").alias(f"{p}_key"), F.col("n_name").alias(f"{p}_nation"), F.col("r_name").alias(f"{p}_region"))
-    first = t.lineitem.filter("l_linenumber = 1").select("l_orderkey", "l_suppkey")
     joined = (
-        first.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(side("customer"), F.col("c_nationkey") == F.col("customer_key"))
@@ -226,14 +225,11 @@ def hist_fixed_bins(t: Tables) -> DataFrame:
     return A.histogram(t.orders, "o_totalprice", [0, 1000, 10_000, 50_000, 200_000, 1_000_000])
 
 
-@query("""WITH k AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0), o AS (SELECT DISTINCT o_custkey AS k FROM orders)
+@query("""WITH k AS (SELECT c_custkey AS k FROM customer), o AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT k, 'only1' AS side FROM (SELECT k FROM k EXCEPT SELECT k FROM o) UNION ALL
 SELECT k, 'only2' FROM (SELECT k FROM o EXCEPT SELECT k FROM k) UNION ALL SELECT k, 'both' FROM (SELECT k FROM k INTERSECT SELECT k FROM o)""")
 def list_differences(t: Tables) -> DataFrame:
-    a = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit(True).alias("one"))
-    b = t.orders.select(F.col("o_custkey").alias("k")).distinct().withColumn("two", F.lit(True))
-    side = F.when(F.col("two").isNull(), "only1").when(F.col("one").isNull(), "only2").otherwise("both")
-    return a.join(b, "k", "full").select("k", side.alias("side"))
+    return P.list_sides(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")).distinct(), "k")
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size DESC, p_retailprice, p_partkey LIMIT 100")
@@ -259,20 +255,13 @@ SELECT o_orderkey, CASE WHEN complete < 30 THEN 'junk' WHEN complete >= 80 THEN
 def case_quality_class(t: Tables) -> DataFrame:
     joined = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     r = joined.groupBy("o_orderkey").agg((100 * F.avg(F.col("l_tax") * 12)).alias("complete"), (100 * F.avg(F.col("l_discount") * 4)).alias("contam"))
-    ratio = F.try_divide(F.col("contam"), F.col("complete"))
-    kind = (
-        F.when(F.col("complete") < 30, "junk")
-        .when(F.col("complete") >= 80, F.when(ratio <= 0.15, "quality").when(ratio >= 0.75, "sibling").otherwise("contaminated"))
-        .otherwise(F.when(ratio <= 0.15, "incomplete").otherwise("junk"))
-    )
-    return r.select("o_orderkey", kind.alias("class"))
+    return r.select("o_orderkey", D.bin_class(F.col("complete"), F.col("contam")).alias("class"))
 
 
 @query("""SELECT c_custkey, CASE WHEN (c_acctbal > 0)::INT * 5 + (c_acctbal > 5000)::INT * 6 + (c_mktsegment = 'BUILDING')::INT * 4 >= 13 THEN 'Plasmid' ELSE 'Chromosome' END AS class FROM customer""")
 def weighted_score_class(t: Tables) -> DataFrame:
-    flag = lambda c: c.cast("int")
-    score = 5 * flag(F.col("c_acctbal") > 0) + 6 * flag(F.col("c_acctbal") > 5000) + 4 * flag(F.col("c_mktsegment") == "BUILDING")
-    return t.customer.select("c_custkey", F.when(score >= 13, "Plasmid").otherwise("Chromosome").alias("class"))
+    votes = [(F.col("c_acctbal") > 0, 5), (F.col("c_acctbal") > 5000, 6), (F.col("c_mktsegment") == "BUILDING", 4)]
+    return t.customer.select("c_custkey", D.plasmid_by_votes(votes).alias("class"))
 
 
 @query("""WITH y AS (SELECT o_orderpriority, year(o_orderdate) AS y, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS v FROM orders GROUP BY 1, 2)
@@ -326,16 +315,11 @@ def classification_roll_call(t: Tables) -> DataFrame:
     return joined.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("names"), F.count("*").alias("n"))
 
 
-@query("""SELECT a.user_id AS a, b.user_id AS b, count(*) AS shared FROM (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS d FROM events WHERE event_type IN ('signup')) a
-JOIN (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS d FROM events WHERE event_type IN ('signup')) b ON a.d = b.d AND a.user_id < b.user_id GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS d FROM events)
+SELECT a.user_id AS a, b.user_id AS b, count(*) AS shared FROM d a JOIN d b ON a.d = b.d AND a.event_type = b.event_type AND a.user_id < b.user_id GROUP BY 1, 2""")
 def co_membership(t: Tables) -> DataFrame:
-    days = t.events.filter("event_type = 'signup'").select("user_id", F.date_trunc("day", "ts").alias("d")).distinct()
-    a, b = days.alias("a"), days.alias("b")
-    return (
-        a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.user_id") < F.col("b.user_id")))
-        .groupBy(F.col("a.user_id").alias("a"), F.col("b.user_id").alias("b"))
-        .agg(F.count("*").alias("shared"))
-    )
+    days = t.events.select("user_id", F.struct("event_type", F.date_trunc("day", "ts").alias("d")).alias("cluster"))
+    return A.shared_clusters(days, "user_id", "cluster")
 
 
 @query("""WITH u AS (SELECT p_brand AS c, p_size AS v FROM part UNION ALL SELECT p_type, p_size FROM part) SELECT c, var_samp(v) AS variance, avg(v) AS mean FROM u GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions import sequences as S, text as X
-from seqloom.operators import aggregates as A, graph as G, windows as W
+from seqloom.operators import aggregates as A, domain as D, graph as G, windows as W
 
 from .registry import Tables, query
 
@@ -25,7 +25,8 @@ ck AS (SELECT doc_id, lang, kmer, least(kmer, reverse(translate(kmer, 'ACGT', 'T
 
 
 def _kmers(t: Tables) -> DataFrame:
-    return _dna(t).select("doc_id", "lang", F.explode(S.kmers(F.col("seq"), K)).alias("kmer"))
+    pieces = _dna(t).select("doc_id", "lang", F.explode(S.pieces_for_kmers(F.col("seq"), K)).alias("piece"))
+    return pieces.select("doc_id", "lang", F.explode(S.kmers_of_piece(F.col("piece"), K)).alias("kmer"))
 
 
 @query(f"WITH {_KMERS} SELECT canon AS kmer, count(*) AS n FROM ck GROUP BY 1")
@@ -78,14 +79,14 @@ def fuzzy_kmer_links(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_DNA} SELECT doc_id, length(seq) AS length,
   CASE WHEN length(seq) > 0 THEN length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) END AS gc,
-  reverse(translate(seq, 'ACGT', 'TGCA'))[1:20] AS rc_start FROM dna""")
+  md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_digest FROM dna""")
 def gc_content_and_reverse(t: Tables) -> DataFrame:
     seq = F.col("seq")
     return _dna(t).select(
         "doc_id",
         F.char_length(seq).cast("long").alias("length"),
         S.gc_content(seq).alias("gc"),
-        F.substring(S.reverse_complement(seq), 1, 20).alias("rc_start"),
+        F.md5(F.encode(S.reverse_complement(seq), "UTF-8")).alias("rc_digest"),
     )
 
 
@@ -110,53 +111,22 @@ def kmer_relative_entropy(t: Tables) -> DataFrame:
     return A.relative_entropy(rows, ["lang"], "obs", "expected")
 
 
-@query("""WITH c AS (SELECT doc_id, i AS pos, substr(text, i, 1) AS nt FROM (
-  SELECT doc_id, text, unnest(range(1, 61)) AS i FROM documents WHERE length(text) >= 60)),
-n AS (SELECT pos, nt, count(*) AS n FROM c GROUP BY 1, 2)
+_CELLS = "c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS nt FROM documents)"
+
+
+@query(f"""WITH {_CELLS}, n AS (SELECT pos, nt, count(*) AS n FROM c GROUP BY 1, 2)
 SELECT pos, -sum(n / total * log2(n / total)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY pos) AS total FROM n) GROUP BY 1""")
 def alignment_column_entropy(t: Tables) -> DataFrame:
-    aligned = t.documents.filter(F.char_length("text") >= 60)
-    cells = aligned.select(F.posexplode(F.split(F.substring("text", 1, 60), "")).alias("pos", "nt"))
+    """Whole texts as rows of an alignment; a column holds the rows that reach it."""
+    cells = t.documents.select(F.posexplode(F.split("text", "")).alias("pos", "nt"))
     return A.entropy(cells.withColumn("pos", F.col("pos") + 1), ["pos"], "nt")
 
 
-@query("""WITH c AS (SELECT doc_id, i AS pos, substr(text, i, 1) AS nt FROM (
-  SELECT doc_id, text, unnest(range(1, 61)) AS i FROM documents WHERE length(text) >= 60)),
-k AS (SELECT pos FROM c GROUP BY pos HAVING avg(CASE WHEN nt = ' ' THEN 1.0 ELSE 0.0 END) < 0.15)
-SELECT doc_id, string_agg(nt, '' ORDER BY pos) AS kept FROM c JOIN k USING (pos) GROUP BY 1""")
+@query(f"""WITH {_CELLS}, k AS (SELECT pos FROM c GROUP BY pos HAVING avg(CASE WHEN nt = ' ' THEN 1.0 ELSE 0.0 END) < 0.15)
+SELECT doc_id, md5(string_agg(nt, '' ORDER BY pos)) AS kept FROM c JOIN k USING (pos) GROUP BY 1""")
 def masked_gap_filter(t: Tables) -> DataFrame:
-    aligned = t.documents.filter(F.char_length("text") >= 60).select("doc_id", F.substring("text", 1, 60).alias("row"))
-    cells = aligned.select("doc_id", F.posexplode(F.split("row", "")).alias("pos", "nt"))
-    gaps = cells.groupBy("pos").agg(F.avg((F.col("nt") == " ").cast("int")).alias("share")).filter("share < 0.15")
-    kept = gaps.agg(F.sort_array(F.collect_list("pos")).alias("at"))  # at most one entry a column
-    return aligned.withColumn("at", kept.scalar()).select(
-        "doc_id", F.array_join(F.transform("at", lambda i: F.substr(F.col("row"), i + 1, F.lit(1))), "").alias("kept")
-    )
-
-
-@query("""WITH s AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CASE WHEN x >= 0 THEN 'A' ELSE 'T' END) AS s
-  FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b,
-  list_sum(list_transform(range(1, 17), lambda i: CASE WHEN a.s[i] <> b.s[i] THEN 1 ELSE 0 END))::INT AS distance
-FROM s a JOIN s b ON a.vec_id < b.vec_id AND a.s[1:6] = b.s[1:6]
-WHERE list_sum(list_transform(range(1, 17), lambda i: CASE WHEN a.s[i] <> b.s[i] THEN 1 ELSE 0 END)) <= 2""")
-def hamming_pairs(t: Tables) -> DataFrame:
-    """Sign patterns within two of each other, among those that share their first six places."""
-    letters = F.transform(F.slice("embedding", 1, 16), lambda x: F.when(x >= 0, "A").otherwise("T"))
-    rows = t.embeddings.select("vec_id", F.array_join(letters, "").alias("s")).withColumn("head", F.substring("s", 1, 6))
-    a, b = rows.alias("a"), rows.alias("b")
-    near = a.join(b, (F.col("a.head") == F.col("b.head")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return near.select(
-        F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), S.hamming(F.col("a.s"), F.col("b.s")).alias("distance")
-    ).filter("distance <= 2")
-
-
-@query("""WITH s AS (SELECT vec_id, array_to_string(list_transform(embedding[1:10], lambda x: CASE WHEN x >= 0 THEN 'A' ELSE 'T' END), '') AS s FROM embeddings)
-SELECT s, count(*) AS n, min(vec_id) AS first_id FROM s GROUP BY 1 HAVING count(*) > 1""")
-def indistinguishable_groups(t: Tables) -> DataFrame:
-    letters = F.transform(F.slice("embedding", 1, 10), lambda x: F.when(x >= 0, "A").otherwise("T"))
-    rows = t.embeddings.select("vec_id", F.array_join(letters, "").alias("s"))
-    return rows.groupBy("s").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")).filter("n > 1")
+    kept = D.aligned_columns(t.documents, "doc_id", "text", 0.15, (" ",)).filter("text <> ''")
+    return kept.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("kept"))
 
 
 def _taxonomy(t: Tables) -> DataFrame:
@@ -235,11 +205,10 @@ def taxonomy_strings(t: Tables) -> DataFrame:
   1 - l_discount AS identity, l_quantity AS length FROM lineitem),
 s AS (SELECT query, split, 45.0::DOUBLE AS length FROM (SELECT DISTINCT query, split FROM h)),
 b AS (SELECT query, split, reference, max_by({'i': identity, 'l': length}, {'p': identity * length, 'l': length}) AS h FROM h GROUP BY 1, 2, 3),
-g AS (SELECT b.query, b.reference, b.h.i * b.h.l AS weighted, s.length FROM b JOIN s USING (query, split)
-      WHERE b.h.i >= 0.9 AND b.h.l >= 0.5 * s.length),
-t AS (SELECT query, sum(length) AS total FROM s GROUP BY 1)
-SELECT g.query, g.reference, floor(100000 * sum(weighted) / sum(length) + 0.01)::BIGINT AS ani_1e5, sum(length) / any_value(total) AS af
-FROM g JOIN t USING (query) GROUP BY 1, 2""")
+g AS (SELECT b.query, b.reference, b.h.i * b.h.l AS weighted, s.length FROM b JOIN s USING (query, split) WHERE b.h.i >= 0.98 AND b.h.l >= 0.9 * s.length),
+k AS (SELECT query, reference, sum(weighted) AS w, sum(length) AS m FROM g GROUP BY 1, 2),
+t AS (SELECT query, sum(length) AS total FROM s GROUP BY 1), r AS (SELECT DISTINCT reference FROM h)
+SELECT t.query, r.reference, coalesce(w / m, 0) AS ani, coalesce(m / total, 0) AS af FROM t CROSS JOIN r LEFT JOIN k ON k.query = t.query AND k.reference = r.reference""")
 def similarity_of_genomes(t: Tables) -> DataFrame:
     hits = t.lineitem.select(
         F.col("l_suppkey").alias("query"),
@@ -249,8 +218,7 @@ def similarity_of_genomes(t: Tables) -> DataFrame:
         F.col("l_quantity").alias("length"),
     )
     splits = hits.select("query", "split").distinct().withColumn("length", F.lit(45.0))
-    ani = F.floor(100_000 * F.col("ani") + 0.01).alias("ani_1e5")
-    return A.similarity_of_splits(splits, hits, 0.9, 0.5).select("query", "reference", ani, "af")
+    return A.similarity_of_splits(splits, hits, 0.98, 0.9)
 
 
 @query("""SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey) AS root FROM customer
@@ -262,19 +230,26 @@ def connected_groups(t: Tables) -> DataFrame:
     return G.components(edges)
 
 
-@query(None)
+_ORDERS = """o AS (SELECT x.r::INT AS replicate, m, row_number() OVER (PARTITION BY x.r ORDER BY md5('3:' || x.r || ':' || m), m) AS place FROM range(10) x(r), (SELECT DISTINCT l_suppkey AS m FROM lineitem))"""
+
+
+@query(f"""WITH {_ORDERS}, f AS (SELECT replicate, i, min(place) AS place FROM o JOIN (SELECT DISTINCT l_suppkey, l_partkey AS i FROM lineitem) ON l_suppkey = m GROUP BY 1, 2),
+n AS (SELECT replicate, place, count(*) AS new FROM f GROUP BY 1, 2)
+SELECT o.replicate, o.place, (sum(coalesce(new, 0)) OVER (PARTITION BY o.replicate ORDER BY o.place))::BIGINT AS total FROM o LEFT JOIN n USING (replicate, place)""")
 def pangenome_curve(t: Tables) -> DataFrame:
     """Distinct parts seen after each supplier, in ten random orders."""
     return W.curve(t.lineitem, "l_partkey", "l_suppkey", 10, 3)
 
 
-@query(None)
+@query(f"""WITH {_ORDERS}, h AS (SELECT DISTINCT replicate, i, place FROM o JOIN (SELECT l_suppkey, l_partkey % 40 AS i FROM lineitem) ON l_suppkey = m),
+p AS (SELECT *, row_number() OVER (PARTITION BY replicate, i ORDER BY place) AS n FROM h), c AS (SELECT replicate, place, count(*) AS total FROM p WHERE n = place GROUP BY 1, 2)
+SELECT o.replicate, o.place, coalesce(total, 0) AS total FROM o LEFT JOIN c USING (replicate, place)""")
 def core_genome_curve(t: Tables) -> DataFrame:
     parts = t.lineitem.select((F.col("l_partkey") % 40).alias("cluster"), "l_suppkey")
     return W.core_curve(parts, "cluster", "l_suppkey", 10, 3)
 
 
-@query(None)
+@query("""SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('5:' || event_id), event_id) <= 100""")
 def rarefied_events(t: Tables) -> DataFrame:
     return W.rarefied(t.events, ["event_type"], "event_id", 100, 5)
 

@@ -1,8 +1,11 @@
 """Readers of record files (FASTA, FASTQ, GenBank) as a Python data source.
 
 ``register(spark)`` makes the format ``records`` known:
-``spark.read.format("records").option("kind", "fasta").load(path)``. Each file is one
-partition and is read line by line, so that its size doesn't matter.
+``spark.read.format("records").option("kind", "fasta").load(path)``. FASTA and FASTQ
+files are cut into ranges of ``split_bytes`` (128 MB), each a partition that reads the
+records that start in it; compressed files and GenBank are a partition each. Files are
+read line by line, so that their size doesn't matter. The option ``extensions`` (``fa,fasta``)
+leaves other files out.
 """
 
 from __future__ import annotations
@@ -35,41 +38,101 @@ class Records(DataSource):
         return SCHEMAS[self.options.get("kind", "fasta")]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options.get("kind", "fasta"), self.options["path"])
+        return _Reader(
+            self.options.get("kind", "fasta"),
+            self.options["path"],
+            tuple(x.strip().lstrip(".") for x in self.options.get("extensions", "").split(",") if x.strip()),
+            int(self.options.get("split_bytes", 128 << 20)),
+        )
+
+
+class Range(InputPartition):
+    """Bytes of a file: the records that start from ``start`` up to ``stop`` (None: to its end)."""
+
+    def __init__(self, path: str, start: int = 0, stop: int | None = None):
+        self.path, self.start, self.stop = path, start, stop
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, kind: str, path: str):
-        self._kind, self._path = kind, path
+    def __init__(self, kind: str, path: str, extensions: tuple[str, ...], split_bytes: int):
+        self._kind, self._path, self._extensions, self._split = kind, path, extensions, split_bytes
 
     def partitions(self) -> list[InputPartition]:
         fs, at = _place(self._path)
         info = fs.get_file_info(at)
+        files = [info]
         if info.type == pyarrow.fs.FileType.Directory:
             found = fs.get_file_info(pyarrow.fs.FileSelector(at, recursive=True))
-            return [InputPartition(f.path) for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
-        return [InputPartition(at)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+            files = [f for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
+        if self._extensions:
+            files = [f for f in files if f.base_name.endswith(tuple(f".{x}" for x in self._extensions))]
+        return [part for f in files for part in self._ranges(f)]
+
+    def _ranges(self, file) -> list[Range]:
+        whole = self._kind not in STARTS or file.extension in ("gz", "bz2", "zst", "lz4")
+        if whole or file.size <= self._split:
+            return [Range(file.path)]
+        return [Range(file.path, at, min(at + self._split, file.size)) for at in range(0, file.size, self._split)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
         fs, _ = _place(self._path)
-        with fs.open_input_stream(partition.value) as stream:
-            lines = _lines(stream)
-            for row in PARSERS[self._kind](lines):
-                yield (*row, partition.value)
+        if partition.stop is None:
+            with fs.open_input_stream(partition.path) as stream:
+                for row in PARSERS[self._kind](line for _, line in _lines(stream, 0)):
+                    yield (*row, partition.path)
+            return
+        with fs.open_input_file(partition.path) as file:
+            at = max(0, partition.start - 1)
+            file.seek(at)
+            lines = _lines(file, at)
+            if partition.start:
+                next(lines, None)  # the line that started before
+            for row in PARSERS[self._kind](STARTS[self._kind](lines, partition.stop)):
+                yield (*row, partition.path)
 
 
 def _place(path: str):
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
-def _lines(stream, size: int = 1 << 20) -> Iterator[str]:
+def _lines(stream, at: int, size: int = 1 << 20) -> Iterator[tuple[int, str]]:
+    """(offset, line) from a stream that stands at offset ``at``."""
     rest = b""
     while block := stream.read(size):
         *whole, rest = (rest + block).split(b"\n")
         for line in whole:
-            yield line.decode("utf-8", "replace").rstrip("\r")
+            yield at, line.decode("utf-8", "replace").rstrip("\r")
+            at += len(line) + 1
     if rest:
-        yield rest.decode("utf-8", "replace")
+        yield at, rest.decode("utf-8", "replace")
+
+
+def _fasta_range(lines: Iterator[tuple[int, str]], stop: int) -> Iterator[str]:
+    inside = False
+    for at, line in lines:
+        if line.startswith(">"):
+            if at >= stop:
+                return
+            inside = True
+        if inside:
+            yield line
+
+
+def _fastq_range(lines: Iterator[tuple[int, str]], stop: int) -> Iterator[str]:
+    """Whole records: the first line that starts with @ and has a line with + two lines on is a header
+    (a quality line may start with @ too, but then a sequence is two lines on)."""
+    held: list[tuple[int, str]] = []
+    for pair in lines:
+        held.append(pair)
+        if len(held) < 4:
+            continue
+        if held[0][1].startswith("@") and held[2][1].startswith("+"):
+            if held[0][0] >= stop:
+                return
+            yield from (line for _, line in held)
+            held = []
+        else:
+            held.pop(0)
 
 
 def fasta(lines: Iterable[str]) -> Iterator[tuple]:
@@ -146,3 +209,4 @@ def _closed(feature: list) -> tuple:
 
 
 PARSERS = {"fasta": fasta, "fastq": fastq, "genbank": genbank}
+STARTS = {"fasta": _fasta_range, "fastq": _fastq_range}

@@ -63,3 +63,40 @@ def undefined_fields(df: DataFrame, key: str) -> DataFrame:
     others = [c for c in df.columns if c != key]
     texts = df.select(key, *[F.col(c).cast("string").alias(c) for c in others])
     return texts.unpivot([key], others, "field", "value").filter("value IS NULL").select(key, "field")
+
+
+def write_arff(rows: DataFrame, columns: list[str], positive: str, relation: str, path: str) -> None:
+    """An ARFF file: numbers and a Positive or Negative tag, under a header that names them."""
+    head = [f"@RELATION {relation}", *[f"@ATTRIBUTE KMP_{i} real" for i in range(len(columns))], "@ATTRIBUTE VALUE { Positive, Negative }", "@DATA"]
+    spark = rows.sparkSession
+    header = spark.createDataFrame([(-1, "\n".join(head))], "at long, value string")
+    tag = F.when(F.col(positive), "Positive").otherwise("Negative")
+    data = F.concat_ws(",", *[F.col(c).cast("string") for c in columns], tag)
+    lines = header.union(rows.select(F.monotonically_increasing_id(), data))
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
+
+
+def sample_sheet(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """(id, sample): the barcode fields joined by a dash, and the name without its last letter."""
+    return rows.select(F.concat_ws("-", *[F.col(c).cast("string") for c in fields]).alias("id"), F.expr(f"left({name}, length({name}) - 1)").alias("sample"))
+
+
+def inserted_rows(new: DataFrame, present: DataFrame, keys: list[str], parents: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to append with their parent's key, rows whose parent is unknown).
+
+    ``parents``: (name, key); rows already present by ``keys`` are ignored. A parent's name with
+    two keys is an error.
+    """
+    from seqloom.operators.reports import resolved
+
+    found, unknown = resolved(new, parents, name, key)
+    return inserted(found, present, keys), unknown
+
+
+def deleted_with_dependants(tables: dict[str, tuple[DataFrame, str]], names: DataFrame, key: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """For each table (frame, column that holds the key): what is left, and the rows taken out, to be exported first."""
+    gone = names.select(F.col(key).alias("__gone"))
+    return {
+        label: (df.join(gone, F.col(column) == F.col("__gone"), "left_anti"), df.join(gone, F.col(column) == F.col("__gone"), "left_semi"))
+        for label, (df, column) in tables.items()
+    }

@@ -29,8 +29,8 @@ def test_query(spark, duck, name):
     want = duck.sql(catalog.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
-    rows = sorted(tuple(map(cell, r)) for r in got.select(columns).collect())
-    assert rows == sorted(tuple(map(cell, r)) for r in want.select(*[f'"{c}"' for c in columns]).fetchall())
+    rows = sorted((tuple(map(cell, r)) for r in got.select([f"`{c}`" for c in columns]).collect()), key=str)
+    assert rows == sorted((tuple(map(cell, r)) for r in want.select(*[f'"{c}"' for c in columns]).fetchall()), key=str)
 
 
 def test_entry(spark):
