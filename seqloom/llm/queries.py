@@ -104,19 +104,25 @@ def op9_image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited copies of every picture whose id is divisible by 20, against all pictures.
 
     The tables have no media column; pictures are rendered from embeddings. Every row of
-    the table is given with its class of equal pictures (null without a picture), those
-    asked for with a row for each class that matches; its members are the rows with that
-    class_id. A picture's own class always matches, with 0 votes if only its bytes say so.
+    the table is given with its class: pictures that are equal, or equal but for noise, by
+    their least id (null without a picture). Rows asked for come with a row for each class
+    that an edited copy of their class's picture matches; its members are the rows with that
+    class_id. A picture's own class always matches, with 0 votes if nothing else says so.
     """
     images = common.stored(image_features.rendered(_table(spark, sf_dir, "embeddings")), "images")
-    member = common.stored(image_features.classes(images), "image-classes")
-    one_each = images.join(member.filter("id = class_id"), "id").select("class_id", "image")
+    equal = common.stored(image_features.classes(images), "image-classes")
+    one_each = images.join(equal.filter("id = class_id"), "id").select("class_id", "image")
+    found = image_features.features(one_each)
+    near = common.stored(image_features.near_classes(found), "image-near")
+    member = equal.join(near, "class_id", "left").select("id", F.coalesce("near_id", "class_id").alias("class_id"))
+    member = common.stored(member, "image-members")
+    index = found.join(near.filter("near_id <> class_id"), "class_id", "left_anti")
     asked = member.filter("id % 20 = 0")
     asked_classes = asked.select("class_id").distinct()
     queries = image_features.edited(one_each.join(asked_classes, "class_id"))
-    found = image_features.search(image_features.features(queries), image_features.features(one_each))
-    equal = asked_classes.select(F.col("class_id").alias("query_class"), "class_id", F.lit(0).cast("long").alias("votes"))
-    pairs = found.unionByName(equal).groupBy("query_class", F.col("class_id").alias("match_class")).agg(F.max("votes").alias("votes"))
+    matches = image_features.search(image_features.features(queries), index)
+    own = asked_classes.select(F.col("class_id").alias("query_class"), "class_id", F.lit(0).cast("long").alias("votes"))
+    pairs = matches.unionByName(own).groupBy("query_class", F.col("class_id").alias("match_class")).agg(F.max("votes").alias("votes"))
     matched = asked.join(pairs, asked["class_id"] == pairs["query_class"]).select(
         F.col("id").alias("vec_id"), "class_id", "match_class", "votes"
     )
