@@ -216,10 +216,15 @@ def near_duplicates(
     )
 
 
-def _texts(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) for the nodes of ``wanted``: one row has to speak for each."""
-    keys = nodes.select("node", "id", "text_hash").join(wanted, "node", "left_semi")
-    return rows.join(keys, ["id", "text_hash"]).groupBy("node").agg(F.min("text").alias("text"))
+def _with_texts(roles: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``roles`` (column node) with the text of their node; one row speaks for each.
+
+    Documents are shuffled once, by the key under which they are then counted once and joined.
+    """
+    key = ["id", "text_hash"]
+    named = nodes.select("node", *key).join(roles, "node")
+    texts = rows.join(named.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
+    return texts.join(named, key).drop(*key)
 
 
 def _sets(width: int):
@@ -246,8 +251,7 @@ def _reachable(mixed: DataFrame, rows: DataFrame, nodes: DataFrame, width: int,
     aren't paired.
     """
     sets = stored(
-        _texts(mixed.select("node"), rows, nodes)
-        .join(mixed, "node")
+        _with_texts(mixed, rows, nodes)
         .select("node", "root", "text")
         .mapInArrow(_sets(width), "node long, root long, shingles array<bigint>"),
         "near-sets",
@@ -297,13 +301,11 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int,
     hot = hot.filter(F.col("pairs") * HOT > total).select("a", "parts")
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
     near = near.join(F.broadcast(hot), "a", "left").select("a", "b", part.alias("part"))
-    texts = stored(
-        _texts(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), rows, nodes), "near-texts"
-    )
-    heads = near.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "part", "text")
-    others = near.join(texts, F.col("b") == F.col("node")).select("a", "b", "part", "text")
+    heads = near.select(F.col("a").alias("node"), "a", F.lit(None).cast("long").alias("b"), "part").distinct()
+    others = near.select(F.col("b").alias("node"), "a", "b", "part")
     return (
-        heads.union(others)
+        _with_texts(heads.union(others), rows, nodes)
+        .select("a", "b", "part", "text")
         .repartition("a", "part")
         .sortWithinPartitions("a", "part", "b")
         .mapInArrow(_confirm(width, num, den), "a long, b long")
