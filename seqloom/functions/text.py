@@ -169,3 +169,13 @@ def path_matches(path: Column, pattern: str) -> Column:
 def log_scaled(x: Column, factor: float = 1000.0) -> Column:
     """log2(factor * x + 1), which spreads small shares."""
     return F.log2(factor * x + 1)
+
+
+#: Reference names of a plant's own sequences (fixed values).
+PLANT = "^(?:1|2|3|4|5|chloroplast|mitochondira|Mt|Pt)$"
+
+
+def genome_of_reference(name: Column) -> Column:
+    """The genome of a reference name such as ``genome_scaffold_3``; plant or unmapped for those, else null."""
+    genome = F.regexp_extract(name, r"^(.*)_(?:scaffold|contig)", 1)
+    return F.when(genome != "", genome).when(name.rlike(PLANT), "plant").when(name.contains("unmapped"), "unmapped")

@@ -164,3 +164,19 @@ def annotation_coverage(coverage: DataFrame, contig: str, depth: str, annotation
     """(annotation, total): coverage summed by annotation (contig, annotation), cut to whole numbers."""
     joined = coverage.join(annotation, contig)
     return joined.groupBy("annotation").agg(F.sum(depth).cast("long").alias("total"))
+
+
+def features_of(records: DataFrame) -> DataFrame:
+    """(locus, organism, type, start, end, strand, locus_tag, product) of annotated records; a qualifier's first value counts."""
+    each = records.select("locus", "organism", F.explode("features").alias("f"))
+    tag = lambda name: F.get(F.try_element_at("f.qualifiers", F.lit(name)), 0).alias(name)
+    return each.select("locus", "organism", "f.type", "f.start", "f.end", "f.strand", tag("locus_tag"), tag("product"))
+
+
+def chosen_features(features: DataFrame, kinds: list[str] | None = None, loci: list[str] | None = None, product: str | None = None) -> DataFrame:
+    """Features of the given types, with one of the locus tags, whose product holds a text."""
+    if kinds is not None:
+        features = features.filter(F.col("type").isin(kinds))
+    if loci is not None:
+        features = features.filter(F.col("locus_tag").isin(loci))
+    return features if product is None else features.filter(F.col("product").contains(product))

@@ -624,3 +624,32 @@ def genome_gene_pairs(t: Tables) -> DataFrame:
     return N.same_strings(t.lineitem.select(key("l_orderkey").alias("k"), _say(key("l_suppkey"), "/", key("l_partkey")).alias("s")), "k", "s").select("group", "n").agg(
         F.count_distinct("group").alias("groups"), F.sum("n").alias("total")
     ).join(t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("k")).agg(F.count("*").alias("n")), F.lit(True)).select("n")
+
+
+@query("""SELECT 'S' || s_suppkey AS locus, n_name AS organism, (s_suppkey % 7)::INT AS start, (s_suppkey % 7 + 10)::INT AS stop, CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE 1 END AS strand, 'T' || s_suppkey AS tag, 12 AS n
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0""")
+def genbank_features(t: Tables) -> DataFrame:
+    """Hypothetical proteins among the features of GenBank records, one for each supplier."""
+    place = _say(key("s_suppkey") % 7 + 1, "..", key("s_suppkey") % 7 + 10)
+    where = F.when(key("s_suppkey") % 2 == 0, _say("complement(", place, ")")).otherwise(place)
+    product = F.when(key("s_suppkey") % 3 == 0, "kinase").otherwise("hypothetical\n                     protein")
+    entry = _say(
+        "LOCUS       S", key("s_suppkey"), " 12 bp\n  ORGANISM  ", key("n_name"), "\n            Bacteria; Some.\nFEATURES             Location/Qualifiers\n",
+        "     source          1..12\n     CDS             ", where, '\n                     /locus_tag="T', key("s_suppkey"), '"\n                     /product="', product,
+        '"\nORIGIN\n        1 acgtacgtac gt\n//',
+    )
+    path = _written(t, t.supplier.join(t.nation, key("s_nationkey") == key("n_nationkey")).select(entry.alias("value")), "genbank")
+    records.register(t.spark)
+    found = t.spark.read.format("records").option("kind", "genbank").load(path)
+    lengths = found.select("locus", F.char_length("seq").alias("n"))
+    kept = R.chosen_features(R.features_of(found), ["CDS"], product="hypothetical protein")
+    return kept.join(lengths, "locus").select("locus", "organism", "start", key("end").alias("stop"), "strand", key("locus_tag").alias("tag"), "n")
+
+
+@query("""SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'g_' || s_nationkey WHEN s_suppkey % 3 = 1 THEN 'plant' ELSE 'unmapped' END AS genome, count(*) AS n FROM supplier WHERE s_suppkey % 3 <> 1 OR s_suppkey % 2 = 0 GROUP BY 1
+UNION ALL SELECT NULL, count(*) FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 2 = 1""")
+def genomes_of_references(t: Tables) -> DataFrame:
+    kind = key("s_suppkey") % 3
+    plant = F.when(key("s_suppkey") % 2 == 0, "Pt").otherwise("45x")
+    name = F.when(kind == 0, _say("g_", key("s_nationkey"), "_scaffold_", key("s_suppkey"))).when(kind == 1, plant).otherwise("unmapped reads")
+    return t.supplier.groupBy(X.genome_of_reference(name).alias("genome")).agg(F.count("*").alias("n"))
