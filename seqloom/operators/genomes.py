@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.sequences import gc_content, hamming
+from seqloom.storage import in_small_groups
 from .joins import divided, point_in_interval, range_join
 
 
@@ -277,16 +278,16 @@ def chosen_placements(placements: DataFrame, by: str) -> DataFrame:
     flanks = reduce(DataFrame.unionByName, [side("low", -1), side("high", 1)]).withColumnRenamed("__p", "piece")
     kind = dict(placements.dtypes)
     schema = f"{by} {kind[by]}, piece {kind['piece']}, contig {kind['contig']}, node {kind['node']}"
-    best = inside.unionByName(flanks).groupBy(by, "run").applyInPandas(lambda rows: _best_chain(rows, by), schema)
+    best = in_small_groups(inside.unionByName(flanks), [by, "run"], _best_chain, schema)
     return single.select(by, "piece", "contig", "node").unionByName(best)
 
 
-def _best_chain(rows: pd.DataFrame, by: str) -> pd.DataFrame:
-    inside = rows[rows["side"] == 0].sort_values(["piece", "contig", "node"])
-    if len(inside) > MOST_PLACEMENTS:
-        raise ValueError(f"a run of {len(inside)} placements")
-    at = list(zip(inside["piece"], inside["contig"], inside["node"], inside["last"]))
-    flank = {r.side: (r.piece, r.contig, r.node, r.last) for r in rows[rows["side"] != 0].itertuples()}
+def _best_chain(rows: list[tuple]) -> list[tuple]:
+    """Of rows (by, run, piece, contig, node, last, side) the chosen (by, piece, contig, node)."""
+    at = sorted(r[2:6] for r in rows if r[6] == 0)
+    if len(at) > MOST_PLACEMENTS:
+        raise ValueError(f"a run of {len(at)} placements")
+    flank = {r[6]: r[2:6] for r in rows if r[6] != 0}
     beside = lambda x, y: x[1] == y[1] and abs(x[2] - y[2]) == 1
     ends = lambda x: x[2] in (0, x[3])
     fit = lambda x, y: 3 if beside(x, y) else 1 if ends(x) and ends(y) else 0
@@ -303,8 +304,7 @@ def _best_chain(rows: pd.DataFrame, by: str) -> pd.DataFrame:
     while now is not None:
         chain.append(now)
         now = longest[now][2]
-    picked = inside.iloc[chain[::-1]]
-    return picked[[by, "piece", "contig", "node"]]
+    return [(rows[0][0], *at[i][:3]) for i in reversed(chain)]
 
 
 def least_unique_regions(msa: DataFrame, by: str, seq: str, margin: int, step: int = 5) -> DataFrame:

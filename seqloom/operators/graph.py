@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqloom.storage import cut
+from seqloom.storage import cut, in_small_groups
 
 
 def closure(nodes: DataFrame, node: str, parent: str, max_depth: int = 40) -> DataFrame:
@@ -117,11 +117,13 @@ def interval_tiers(df: DataFrame, by: str, start: str, end: str, key: str) -> Da
     opens = F.when(before.isNull() | (F.col(start) >= before), 1).otherwise(0)
     islands = df.withColumn("__open", opens).withColumn("__island", F.sum("__open").over(w)).drop("__open")
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.assign(__n=batch[start] - batch[end]).sort_values(["__n", key]).drop(columns="__n")
+    first, last, name = (df.columns.index(c) for c in (start, end, key))
+
+    def run(rows: list[tuple]) -> list[tuple]:
         tiers: list[list[tuple]] = []  # intervals without overlap, in order of their starts
         out = []
-        for s, e in zip(batch[start], batch[end]):
+        for row in sorted(rows, key=lambda r: (r[first] - r[last], r[name])):
+            s, e = row[first], row[last]
             for at, tier in enumerate(tiers):
                 i = bisect.bisect_left(tier, (s, e))
                 if (i == len(tier) or e <= tier[i][0]) and (i == 0 or tier[i - 1][1] <= s):
@@ -130,11 +132,11 @@ def interval_tiers(df: DataFrame, by: str, start: str, end: str, key: str) -> Da
                 at, i = len(tiers), 0
                 tiers.append([])
             tiers[at].insert(i, (s, e))
-            out.append(at)
-        return batch.assign(tier=out).drop(columns="__island")
+            out.append((*row[:-1], at))  # the last column is the island
+        return out
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return islands.groupBy(by, "__island").applyInPandas(run, f"{kinds}, tier int")
+    return in_small_groups(islands, [by, "__island"], run, f"{kinds}, tier int")
 
 
 #: Names of one distance matrix that a task may hold.

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +41,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_small_groups(df: DataFrame, keys: list[str], run: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``run`` over the rows of each group of equal keys (not null), for very many small groups.
+
+    Rows (tuples in the order of ``df``) stream through sorted partitions, so that only a
+    batch and one group are held.
+    """
+    at = [df.columns.index(k) for k in keys]
+    names = [field.split()[0].strip("`") for field in schema.split(", ")]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        made: list[tuple] = []
+        for _, group in groupby(rows, lambda row: [row[i] for i in at]):
+            made += run(list(group))
+            if len(made) >= 10_000:
+                yield pd.DataFrame(made, columns=names)
+                made = []
+        yield pd.DataFrame(made, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
