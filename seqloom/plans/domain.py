@@ -106,10 +106,10 @@ def alignment_clusters(t: Tables) -> DataFrame:
 
 @query("""WITH r AS (SELECT DISTINCT l_suppkey AS m, l_partkey % 300 AS i FROM lineitem), n AS (SELECT m, count(*) AS n FROM r GROUP BY 1),
 k AS (SELECT x.m AS a, y.m AS b, count(*) AS k FROM r x JOIN r y ON x.i = y.i AND x.m < y.m GROUP BY 1, 2)
-SELECT a.m AS a, b.m AS b, a.n + b.n - 2 * coalesce(k, 0) AS differing FROM n a JOIN n b ON a.m < b.m LEFT JOIN k ON k.a = a.m AND k.b = b.m WHERE a.n + b.n - 2 * coalesce(k, 0) <= 40""")
+SELECT a.m AS a, b.m AS b, a.n + b.n - 2 * coalesce(k, 0) AS differing FROM n a JOIN n b ON a.m < b.m LEFT JOIN k ON k.a = a.m AND k.b = b.m WHERE a.n + b.n - 2 * coalesce(k, 0) <= 60""")
 def duplicate_genomes(t: Tables) -> DataFrame:
     rows = t.lineitem.select(F.col("l_suppkey").alias("m"), (F.col("l_partkey") % 300).alias("i"))
-    return G.near_equal_sets(rows, "m", "i", 40)
+    return G.near_equal_sets(rows, "m", "i", 60)
 
 
 @query("""WITH RECURSIVE p AS (SELECT c_nationkey AS q, c_custkey % 25 AS r, avg(c_acctbal) AS v FROM customer GROUP BY 1, 2),
