@@ -72,31 +72,37 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sm
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32) if langs else table
 
 
-def expectation_maximisation(likely: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """(proportions, log-likelihood) of a mixture; likely: trigrams x languages, scaled by row."""
+def expectation_maximisation(likely: np.ndarray, times: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """(proportions, log-likelihood) of a mixture; likely: distinct trigrams x languages, scaled by row; times: how often each comes."""
     share = np.full(likely.shape[1], 1 / likely.shape[1], likely.dtype)
+    total = times.sum()
     for _ in range(rounds):
-        whole = likely @ share
-        new = share * ((1 / whole) @ likely) / len(likely)
+        new = share * ((times / (likely @ share)) @ likely) / total
         done = np.abs(new - share).max() < 1e-3
         share = new
         if done:
             break
-    return share, float(np.log(likely @ share).sum())
+    return share, float(times @ np.log(likely @ share).astype(np.float64))
 
 
 def infer(grams: np.ndarray, table: np.ndarray, penalty: float) -> tuple[list[int], np.ndarray]:
-    """(languages of the selected set, largest share first, and their shares)."""
-    logs = table[grams]
+    """(languages of the selected set, largest share first, and their shares).
+
+    Works on distinct trigrams, DIM at most, however long the text.
+    """
+    distinct, times = np.unique(grams, return_counts=True)
+    times = times.astype(np.float32)
+    logs = table[distinct]
     top = logs.max(axis=1, keepdims=True)
     likely = np.exp(logs - top)
-    single = logs.sum(axis=0, dtype=np.float64)
+    exact = times.astype(np.float64)
+    single = exact @ logs
     chosen = [int(single.argmax())]
-    share, best = np.ones(1, np.float32), float(single[chosen[0]] - top.sum(dtype=np.float64))
+    share, best = np.ones(1, np.float32), float(single[chosen[0]] - exact @ top[:, 0])
     if len(single) > 1:
-        order = [int(i) for i in np.argsort(-expectation_maximisation(likely)[0], kind="stable")]
+        order = [int(i) for i in np.argsort(-expectation_maximisation(likely, times)[0], kind="stable")]
         for lang in (i for i in order if i != chosen[0]):
-            new, score = expectation_maximisation(likely[:, [*chosen, lang]])
+            new, score = expectation_maximisation(likely[:, [*chosen, lang]], times)
             if 2 * (score - best) <= penalty * np.log(len(grams) + 1):
                 break
             chosen, share, best = [*chosen, lang], new, score
