@@ -166,14 +166,18 @@ def near_duplicates(
         ),
         "near-base",
     )
-    # a node for each distinct set; its number is stored with it, so that it never changes
+    # A node for each distinct set; its number is stored with it, so that it never changes. Numbers follow
+    # ids: where the least id of a family is what the others were made from, it is the centre of most stars.
     nodes = stored(
         base.filter("n_shingles > 0 and id is not null")
         .groupBy("fp")
         .agg(
             F.min(F.struct("id", "text_hash")).alias("one"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")
         )
-        .select(F.monotonically_increasing_id().alias("node"), "fp", "one.id", "one.text_hash", "sig", "n"),
+        .select("fp", "one.id", "one.text_hash", "sig", "n")
+        .repartitionByRange("id")
+        .sortWithinPartitions("id")
+        .select(F.monotonically_increasing_id().alias("node"), "fp", "id", "text_hash", "sig", "n"),
         "near-nodes",
     )
     entries = (
