@@ -469,9 +469,12 @@ def test_noisy_scaled_turned_and_cropped_copies_are_found(spark):
     q, i = image_features.features(frame(copies)), image_features.features(frame(pictures))
     rows = lambda df: [(r.class_id, r.corner, np.unpackbits(np.array(r.bits, ">i8").view(np.uint8))) for r in df.collect()]
     a, b = [r for r in rows(q) if r[0] % 100 < 4], rows(i)
-    x, y = (np.array([r[2] for r in side]).reshape(-1, 16, 16).transpose(1, 0, 2) * np.float32(2) - 1 for side in (a, b))
-    bits = (16 - x @ y.transpose(0, 2, 1)) / 2  # by part, corner and corner
-    close = (bits.sum(axis=0) <= 44) & (bits == 0).any(axis=0)
+    x, y = (np.array([r[2] for r in side]) * np.float32(2) - 1 for side in (a, b))
+    shared = np.zeros((len(x), len(y)), bool)
+    for part in range(12):
+        at = 64 * (part // 3) + 64 - 21 * (part % 3 + 1)
+        shared |= x[:, at : at + 21] @ y[:, at : at + 21].T == 21
+    close = (256 - x @ y.T <= 88) & shared
     want = {(a[m][0], b[n][0], a[m][1], b[n][1]) for m, n in zip(*np.nonzero(close))}
     got = image_features.near_corners(q.filter("class_id % 100 < 4"), i, block=1500).collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
