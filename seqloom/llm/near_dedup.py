@@ -74,17 +74,17 @@ def _multipliers(n: int) -> np.ndarray:
 def _describe(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(n)
-        for keys, texts, tokens in blocks(batches, "id", "text", "text_hash"):
+        for keys, places, texts, tokens in blocks(batches, "id", "place", "text", "text_hash"):
             sizes, prints, sigs = [], [], []
             for text in texts:
                 hashes = shingle_set(text, width)
                 sizes.append(len(hashes))
                 prints.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sigs.append(signature(hashes, multipliers).tobytes() if len(hashes) else None)
-            whole = [pa.array(x, pa.int64()) for x in (keys, tokens, sizes)]
+            whole = [pa.array(x, pa.int64()) for x in (keys, places, tokens, sizes)]
             yield pa.record_batch(
                 [*whole, pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
-                ["id", "text_hash", "n_shingles", "fp", "sig"],
+                ["id", "place", "text_hash", "n_shingles", "fp", "sig"],
             )
 
     return run
@@ -134,6 +134,7 @@ def near_duplicates(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order_col: str | None = None,
     width: int = 5,
     num: int = 80,
     den: int = 100,
@@ -151,33 +152,39 @@ def near_duplicates(
     probability (1 - 0.8^6 - 6 * 0.2 * 0.8^5)^10 < 3e-5, at 0.85 below 4e-7; it has
     over 28 differing symbols with probability 7e-7, at 0.85 below 1e-9.
 
+    ``order_col`` (else the id) numbers the sets, which decides nothing but how many
+    pairs are looked at.
+
     Null and empty texts (or texts of white space) have no shingles and link with
     nothing. Rows that repeat an id with another text are documents of their own; rows
     with a null id link with nothing, have no component and keep themselves. Other
     columns are ignored, so their names can't clash; an empty table gives an empty
     result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn(
-        "text_hash", F.xxhash64("text")
-    )
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.col(order_col or id_col).cast("long").alias("place"),
+        F.col(text_col).cast("string").alias("text"),
+    ).withColumn("text_hash", F.xxhash64("text"))
     base = stored(
         rows.mapInArrow(
-            _describe(width, chunks * chunk_len), "id long, text_hash long, n_shingles long, fp binary, sig binary"
+            _describe(width, chunks * chunk_len), "id long, place long, text_hash long, n_shingles long, fp binary, sig binary"
         ),
         "near-base",
     )
     # A node for each distinct set; its number is stored with it, so that it never changes. Numbers follow
-    # ids: where the least id of a family is what the others were made from, it is the centre of most stars.
+    # order_col: where the first of a family is what the others were made from, it is the centre of most stars.
     nodes = stored(
         base.filter("n_shingles > 0 and id is not null")
         .groupBy("fp")
         .agg(
-            F.min(F.struct("id", "text_hash")).alias("one"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")
+            F.min("id").alias("least_id"),
+            F.min(F.struct("place", "id", "text_hash")).alias("one"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")
         )
-        .select("fp", "one.id", "one.text_hash", "sig", "n")
-        .repartitionByRange("id")
-        .sortWithinPartitions("id")
-        .select(F.monotonically_increasing_id().alias("node"), "fp", "id", "text_hash", "sig", "n"),
+        .select("fp", "least_id", "one.place", "one.id", "one.text_hash", "sig", "n")
+        .repartitionByRange("place")
+        .sortWithinPartitions("place")
+        .select(F.monotonically_increasing_id().alias("node"), "fp", "least_id", "id", "text_hash", "sig", "n"),
         "near-nodes",
     )
     entries = (
@@ -205,10 +212,10 @@ def near_duplicates(
     more = cut(_confirmed(far.join(tested, ["a", "b"], "left_anti"), *args))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    rooted = nodes.select("fp", "id", "node").join(found, "node", "left").select(
-        "fp", "id", F.coalesce("root", "node").alias("root")
+    rooted = nodes.select("fp", "least_id", "node").join(found, "node", "left").select(
+        "fp", "least_id", F.coalesce("root", "node").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component"))
     classes = rooted.select("fp", "root").join(least, "root").select("fp", "component")
     result = base.select("id", "n_shingles", "fp").join(classes, "fp", "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))
@@ -227,7 +234,7 @@ def _with_texts(roles: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFram
     """
     key = ["id", "text_hash"]
     named = nodes.select("node", *key).join(roles, "node")
-    texts = rows.join(named.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
+    texts = rows.select(*key, "text").join(named.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
     return texts.join(named, key).drop(*key)
 
 
