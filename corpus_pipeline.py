@@ -60,7 +60,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays only if no row of its group has one. Null and empty texts are nobody's copy.
     """
     rows, key = _numbered(docs)
-    classes = near_dedup.near_duplicates(rows, id_col=key).select(key, "component_id", "n_shingles")
+    classes = near_dedup.near_duplicates(rows, id_col=key, order_col="doc_id").select(key, "component_id", "n_shingles")
     grouped = stored(classes.filter("n_shingles > 0").join(rows.select(key, "doc_id"), key), "pipeline-groups")
     first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first"))
     return _without(rows, key, grouped.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_anti"))
