@@ -17,8 +17,11 @@ from . import (
     near_dedup,
     ordinal_quality,
     poisson_mix,
+    spelling,
     token_frames,
+    toxicity,
     url_cascade,
+    vector_codes,
 )
 
 
@@ -143,6 +146,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(_table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -154,8 +173,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_frames": op8_token_frames,
     "op9_image_features": op9_image_features,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_toxicity": op13_toxicity,
 }
 
+def _codes_sql() -> str:
+    """Lloyd's rounds one after the other; the least of 256 * distance + entry, so that the lower entry wins ties."""
+    rounds = []
+    for i in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""
+a{i} AS (
+  SELECT p.rid, part, p.x,
+         min(256 * list_sum(list_transform(range(1, len(p.x) + 1), lambda k: (p.x[k] - c.x[k]) * (p.x[k] - c.x[k]))) + c.entry) AS best
+  FROM p JOIN c{i} c USING (part) GROUP BY ALL)""")
+        if i < vector_codes.ROUNDS:
+            rounds.append(f"""
+s{i} AS (
+  SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS x FROM (
+    SELECT part, (best % 256)::INT AS entry, k, sum(x[k]) AS s, count(*) AS n
+    FROM a{i}, unnest(range(1, len(x) + 1)) AS u(k) GROUP BY ALL) GROUP BY ALL),
+c{i + 1} AS (SELECT c.part, c.entry, coalesce(s.x, c.x) AS x FROM c{i} c LEFT JOIN s{i} s USING (part, entry))""")
+    return ",".join(rounds)
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": r"""
@@ -248,4 +289,50 @@ r AS (SELECT source, (k + m * weight) / (n + weight) AS host_rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(host_rate <= 0.5, TRUE) AS kept
 FROM f LEFT JOIN r USING (source)""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM range(256) AS r(i)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+b AS (
+  SELECT run, k, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM runs),
+h AS (
+  SELECT run, k, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295) AS h
+  FROM b, t),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM h),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, p, word[1:p - 1] || word[p + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(p)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'less': -n, 'form': other}) AS b FROM near GROUP BY word),
+f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 10 * n THEN b.form END AS form, CASE WHEN -b.less >= 10 * n THEN -b.less END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+r AS (
+  SELECT word, form, word AS root FROM f
+  UNION ALL SELECT r.word, f.form, r.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL""",
+    "op12_vector_codes": r"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT rid, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM v, unnest(range(4)) AS u(part)),
+c0 AS (SELECT part, (rid - 1)::INT AS entry, x FROM p WHERE rid <= 256),"""
+    + _codes_sql()
+    + r""",
+e AS (
+  SELECT rid, string_agg(lower(printf('%02x', (best % 256)::INT)), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error
+  FROM a4 GROUP BY rid),
+g AS (SELECT label, sum(error)::BIGINT AS label_error FROM e JOIN v USING (rid) GROUP BY label)
+SELECT vec_id, code, error, label_error,
+       (SELECT sha256(string_agg(list_aggregate(x, 'string_agg', ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256
+FROM e JOIN v USING (rid) JOIN g ON g.label IS NOT DISTINCT FROM v.label""",
 }
