@@ -93,18 +93,15 @@ def hamming(a: Column, b: Column) -> Column:
 def gapped_distance(a: Column, b: Column, max_gap: int = 3) -> Column:
     """Differing share of two aligned rows; runs of more than ``max_gap`` gaps are left out.
 
-    A place where both have a gap counts as alike.
+    A gap is a place where either row has one; where both have, they are alike. Null if nothing is left.
     """
-    long_gap = lambda s: F.transform(
-        F.regexp_extract_all(s, F.lit("-+|[^-]+"), F.lit(0)),
-        lambda run: F.when(
-            run.startswith("-") & (F.char_length(run) > max_gap), F.regexp_replace(run, "-", ".")
-        ).otherwise(run),
+    place = lambda x, y: (
+        F.when((x == "-") & (y == "-"), "b").when((x == "-") | (y == "-"), "g").when(x == y, "m").otherwise("x")
     )
-    x, y = (F.split(F.array_join(long_gap(s), ""), "") for s in (a, b))
-    pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != ".") & (p["y"] != "."))
-    differing = F.size(F.filter(pairs, lambda p: p["x"] != p["y"]))
-    return F.try_divide(differing.cast("double"), F.size(pairs).cast("double"))
+    places = F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), place), "")
+    left = F.regexp_replace(places, f"[bg]{{{max_gap + 1},}}", "")
+    differing = F.char_length(F.regexp_replace(left, "[bm]", ""))
+    return F.try_divide(differing.cast("double"), F.char_length(left).cast("double"))
 
 
 def cigar_ops(cigar: Column) -> Column:

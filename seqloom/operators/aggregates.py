@@ -20,6 +20,19 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
 
 
+def category_correlations(pairs: DataFrame, members: DataFrame, by: str, category: str, trait: str, x: str, y: str) -> DataFrame:
+    """(by, category, rho): Spearman's correlation of both values over a category's traits, for every ``by`` and category.
+
+    ``pairs``: (by, trait, x, y); ``members``: (category, trait). Null where it isn't above 0, or where
+    a category has no trait, or only equal ones, in common with the pairs.
+    """
+    each = pairs.select(by, trait, x, y).join(members.select(category, trait).distinct(), trait)
+    found = spearman(each, [by, category], x, y).select(by, category, "rho")
+    known = members.agg(F.collect_set(category)).scalar()  # the names of categories
+    every = pairs.select(by).distinct().withColumn(category, F.explode(known))
+    return every.join(found, [by, category], "left").withColumn("rho", F.when(F.col("rho") > 0, F.col("rho")))
+
+
 def entropy(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, entropy in bits) of a value's distribution in each group."""
     counts = df.groupBy(*by, value).count()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -134,50 +133,92 @@ def pieces(df: DataFrame, key: str, seq: str, length: int) -> DataFrame:
     return each.select(key, "piece", start.alias("start"), F.substr(F.col(seq), start + 1, stop - start).alias("seq"))
 
 
-def greedy_cover(df: DataFrame, item: str, member: str, rounds: int | None = None) -> DataFrame:
-    """(place, member, new, total): members by how many uncovered items they add.
+def contained_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(x, y): names x of ``a`` that contain the name y of ``b``, or lie within it, however short.
 
-    Each round takes the member with most new items (ties: the greatest name), until
-    nothing is left or, if given, for ``rounds`` rounds. One round is one aggregation.
+    Names of a length are looked up among the longer names' pieces of that length, by an equi-join;
+    only lengths that occur are cut out. Empty names are left out.
     """
-    left = cut(df.select(item, member).distinct())
-    rows, total = [], 0
-    for place in count(1) if rounds is None else range(1, rounds + 1):
-        best = left.groupBy(member).count().orderBy(F.desc("count"), F.desc(member)).first()
-        if best is None:
-            break
-        total += best["count"]
-        rows.append((place, best[member], best["count"], total))
-        taken = left.filter(F.col(member) == best[member]).select(item)
-        left = cut(left.join(taken, item, "left_anti"))
-    kind = dict(df.dtypes)[member]
-    return df.sparkSession.createDataFrame(rows, f"place int, `{member}` {kind}, new long, total long")
+
+    def within(outer: DataFrame, inner: DataFrame) -> DataFrame:
+        lengths = inner.agg(F.sort_array(F.collect_set(F.char_length("name"))).alias("l")).scalar()  # up to the longest name's
+        name = F.col("name")
+        fitting = outer.select(name.alias("outer"), F.explode(lengths).alias("n")).filter("n <= char_length(outer)")
+        starts = F.sequence(F.lit(1), F.char_length("outer") - F.col("n") + 1)
+        pieces = fitting.select("outer", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("outer", i, F.col("n"))))).alias("inner"))
+        return pieces.join(inner.select(name.alias("inner")), "inner")
+
+    a, b = (df.select("name").filter("name <> ''").distinct() for df in (a, b))
+    held = within(a, b).select(F.col("outer").alias("x"), F.col("inner").alias("y"))
+    return held.union(within(b, a).select(F.col("inner").alias("x"), F.col("outer").alias("y"))).distinct()
 
 
 def similar_names(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
-    """(name, match): each name of ``a`` with the name of ``b`` that shares most k-mers.
+    """(name, match): each name of ``a`` with the name of ``b`` that it is most like.
 
-    A name that contains the other whole wins; names that share none are left out.
+    First a name that it contains whole, or that contains it: the one that has most letters in common
+    with it (ties: the least). Names without one get the name of ``b`` that shares most of
+    their k-mers (ties: the least); those that share none are left out.
     """
+    common = F.least(F.char_length("x"), F.char_length("y"))
+    best = F.min_by("y", F.struct((-common).alias("n"), F.col("y").alias("y")))
+    whole = cut(contained_names(a, b).groupBy(F.col("x").alias("name")).agg(best.alias("match")))
     grams = lambda df, c: df.select(F.col("name").alias(c)).distinct().withColumn("g", F.explode(F.array_distinct(kmers(F.col(c), k))))
-    shared = grams(a, "x").join(grams(b, "y"), "g").groupBy("x", "y").agg(F.count("*").alias("n"))
-    whole = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
-    best = F.min_by("y", F.struct((~whole).alias("w"), (-F.col("n")).alias("n"), F.col("y").alias("y")))
-    return shared.groupBy(F.col("x").alias("name")).agg(best.alias("match"))
-
-
-def two_means(df: DataFrame, columns: list[str], seed: int = 1, k: int = 2) -> DataFrame:
-    """Rows with ``cluster`` by k-means on scaled columns."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    stages = [
-        VectorAssembler(inputCols=columns, outputCol="__v"),
-        StandardScaler(inputCol="__v", outputCol="__s"),
-        KMeans(featuresCol="__s", predictionCol="cluster", k=k, seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(df).transform(df).drop("__v", "__s")
+    rest = a.select("name").distinct().join(whole, "name", "left_anti")
+    shared = grams(rest, "x").join(grams(b, "y"), "g").groupBy("x", "y").agg(F.count("*").alias("n"))
+    most = F.min_by("y", F.struct((-F.col("n")).alias("n"), F.col("y").alias("y")))
+    return whole.unionByName(shared.groupBy(F.col("x").alias("name")).agg(most.alias("match")))
+
+
+def repeated_k_means(df: DataFrame, key: str, columns: list[str], k: int = 2, runs: int = 10, rounds: int = 10, seed: int = 1) -> DataFrame:
+    """(key, clusters): the cluster of each row in each of ``runs`` runs of k-means, an array of 0 to k - 1.
+
+    Columns are divided by their standard deviation (population). A run starts at the k rows of
+    least MD5 of seed, run and key. All runs go through a round together: one pass over the rows
+    compares each with the centres of every run, and only centres (runs * k) pass the
+    driver. In every run clusters are numbered in order of their last centres, so that
+    numbers of different runs can be averaged. Rows with a null are left out; an empty
+    cluster keeps its centre. Fewer than k rows are an error.
+    """
+    rows = cut(df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).dropna())
+    names = [f"v{i}" for i in range(len(columns))]
+    spread = rows.agg(*[F.stddev_pop(c) for c in names]).first()
+    scaled = rows.select("key", F.array(*[F.col(c) / F.lit(s or 1.0) for c, s in zip(names, spread)]).alias("v"))
+    centres = []
+    for run in range(runs):
+        drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(run)), F.col("key").cast("string")))
+        centres.append([list(r.v) for r in scaled.orderBy(drawn, "key").limit(k).collect()])
+    if len(centres[0]) < k:
+        raise ValueError(f"fewer than {k} rows")
+
+    def clusters(now: list) -> Column:
+        far = lambda c: sum((F.get("v", F.lit(i)) - F.lit(x)) ** 2 for i, x in enumerate(c))
+        nearest = lambda run: F.least(*[F.struct(far(c).alias("d"), F.lit(j).alias("c")) for j, c in enumerate(run)])["c"]
+        return F.array(*[nearest(run) for run in now])
+
+    for _ in range(rounds):
+        each = scaled.select("v", F.posexplode(clusters(centres)).alias("run", "cluster"))
+        means = each.groupBy("run", "cluster").agg(*[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(len(columns))])
+        new = {(r.run, r.cluster): [r[f"m{i}"] for i in range(len(columns))] for r in means.collect()}  # runs * k rows at most
+        moved = [[new.get((r, j), c) for j, c in enumerate(run)] for r, run in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    return scaled.select(F.col("key").alias(key), clusters([sorted(run) for run in centres]).alias("clusters"))
+
+
+def mean_cluster(assigned: DataFrame, key: str) -> DataFrame:
+    """(key, mean): the mean number of a row's cluster over all runs."""
+    total = F.aggregate("clusters", F.lit(0), lambda s, c: s + c)
+    return assigned.select(key, (total / F.size("clusters")).alias("mean"))
+
+
+def co_assigned(assigned: DataFrame, pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Pairs of keys with ``share``, that of the runs in which both are in one cluster."""
+    of = lambda side, out: assigned.select(F.col(key).alias(side), F.col("clusters").alias(out))
+    joined = pairs.join(of(a, "__x"), a).join(of(b, "__y"), b)
+    same = F.filter(F.zip_with("__x", "__y", lambda x, y: x == y), lambda s: s)
+    return joined.withColumn("share", F.size(same) / F.size("__x")).drop("__x", "__y")
 
 
 def aligned_columns(df: DataFrame, by: str, seq: str, max_gaps: float, gaps: tuple[str, ...] = ("-", "N")) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.sequences import gc_content, hamming
-from seqloom.storage import in_small_groups
+from seqloom.storage import cut, in_small_groups
+from .graph import components
 from .joins import divided, point_in_interval, range_join
 
 
@@ -116,22 +118,41 @@ def same_strings(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.join(groups, seq).select(key, "group", "n")
 
 
-def least_distance(df: DataFrame, key: str, seq: str, length: int) -> int | None:
-    """The least distance of two rows' strings: 0 if two are equal; None for fewer than two rows.
+def least_distances(df: DataFrame, key: str, seq: str, length: int) -> DataFrame:
+    """(key, distance): how many places set each row apart from the row most like it; null for a single row.
 
-    Asks for pairs within 1, 2, 4, ... places, so that only near ones are compared.
+    Strings have ``length`` letters. Equal strings are 0 apart. The others ask for rows within 1, 3, 7, ...
+    places, which agree in one of the parts that such a string is cut into; only rows that found
+    none ask again. What agrees nowhere with any other row is ``length`` apart.
     """
-    n, distinct = df.agg(F.count("*"), F.count_distinct(seq)).first()
-    if n < 2:
-        return None
-    if distinct < n:
-        return 0
+    groups = cut(df.groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("k"), F.count("*").alias("n")))
+    if groups.limit(2).count() < 2:
+        alone = F.when(F.col("n") > 1, 0).cast("int")
+        return df.join(groups, df[seq] == groups["s"]).select(key, alone.alias("distance"))
+    found = groups.filter("n > 1").select("k", F.lit(0).alias("distance"))
+    open_ = groups.filter("n = 1")
     most = 1
-    while True:
-        found = near_pairs(df, key, seq, length, min(most, length)).agg(F.min("distance")).first()[0]
-        if found is not None:
-            return found
-        most *= 2
+    while most < length:
+        cuts = [length * i // (most + 1) for i in range(most + 2)]
+        parts = F.array(*[F.substring("s", a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
+        side = lambda rows, name: rows.select(F.posexplode(parts).alias("part", "value"), F.struct("k", "s").alias(name))
+        met = side(open_, "x").join(side(groups, "y"), ["part", "value"]).filter(F.col("x.k") != F.col("y.k"))
+        near = met.select(F.col("x.k").alias("k"), hamming(F.col("x.s"), F.col("y.s")).alias("d")).filter(F.col("d") <= most)
+        new = cut(near.groupBy("k").agg(F.min("d").alias("distance")))
+        found = found.unionByName(new)
+        open_ = cut(open_.join(new, "k", "left_anti"))
+        if open_.isEmpty():
+            break
+        most = min(2 * most + 1, length - 1) if most < length - 1 else length
+    found = found.unionByName(open_.select("k", F.lit(length).alias("distance")))
+    return df.join(groups.select(F.col("s").alias(seq), "k").join(found, "k"), seq).select(key, "distance")
+
+
+def near_groups(df: DataFrame, key: str, seq: str, length: int, most: int) -> DataFrame:
+    """(key, group): rows linked by strings at most ``most`` apart, straight or by others; the group's least key."""
+    same = same_strings(df, key, seq)
+    linked = components(near_pairs(df, key, seq, length, most).select("a", "b"))
+    return same.join(linked, same["group"] == linked["node"], "left").select(key, F.coalesce("root", "group").alias("group"))
 
 
 def consensus(cells: DataFrame, by: str, at: str, letter: str) -> DataFrame:
@@ -312,26 +333,82 @@ def least_unique_regions(msa: DataFrame, by: str, seq: str, margin: int, step: i
 
     Halves the distance between the widest region (``margin`` from either end) and the
     middle on both sides for as long as more than ``step`` places are at stake. Nulls where
-    even the widest doesn't tell them apart. One alignment is one group.
-    """
+    even the widest doesn't tell them apart.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seqs = rows[seq].tolist()
-        total = min(map(len, seqs))
-        apart = lambda a, b: len({s[a:b] for s in seqs}) == len(seqs)
-        low, high, left, right = margin, total - margin, total // 2, total // 2
-        if low >= high or not apart(low, high):
-            return pd.DataFrame({by: [rows[by].iloc[0]], "start": [None], "end": [None]})
-        while left - low > step or high - right > step:
-            a, b = (low + left) // 2, (high + right + 1) // 2
-            if apart(a, b):
-                low, high = a, b
-            else:
-                left, right = a, b
-        return pd.DataFrame({by: [rows[by].iloc[0]], "start": [low], "end": [high]})
-
-    kind = dict(msa.dtypes)[by]
-    return msa.select(by, seq).groupBy(by).applyInPandas(run, f"{by} {kind}, start int, end int")
+    All alignments are bisected side by side: a round counts equal parts by (alignment, part), so
+    that neither many alignments nor one of very many rows comes into one task.
+    """
+    rows = cut(msa.select(F.col(by).alias("g"), F.col(seq).alias("s")).filter("s IS NOT NULL"))
+    total = rows.groupBy("g").agg(F.min(F.char_length("s")).alias("t"))
+    middle = F.floor(F.col("t") / 2).cast("int")
+    state = cut(total.select("g", F.lit(margin).alias("low"), (F.col("t") - margin).alias("high"), middle.alias("left"), middle.alias("right")))
+
+    def apart(asked: DataFrame) -> DataFrame:
+        """(g, apart) of regions (g, a, b)."""
+        part = F.substr("s", F.col("a") + 1, F.col("b") - F.col("a"))
+        equal = rows.join(asked, "g").groupBy("g", F.md5(F.encode(part, "UTF-8")).alias("part")).agg(F.count("*").alias("n"))
+        return equal.groupBy("g").agg((F.max("n") == 1).alias("apart"))
+
+    verdict = apart(state.filter("low < high").select("g", F.col("low").alias("a"), F.col("high").alias("b")))
+    state = cut(state.join(verdict.filter("apart").select("g"), "g", "left_semi"))
+    closed = state.limit(0)
+    while True:
+        wide = f"left - low > {step} OR high - right > {step}"
+        closed = cut(closed.unionByName(state.filter(f"NOT ({wide})")))
+        state = state.filter(wide)
+        if state.isEmpty():
+            break
+        asked = state.withColumns({"a": F.floor((F.col("low") + F.col("left")) / 2).cast("int"), "b": F.floor((F.col("high") + F.col("right") + 1) / 2).cast("int")})
+        known = asked.join(apart(asked.select("g", "a", "b")), "g")
+        pick = lambda yes, no: F.when(F.col("apart"), F.col(yes)).otherwise(F.col(no))
+        state = cut(known.select("g", pick("a", "low").alias("low"), pick("b", "high").alias("high"), pick("left", "a").alias("left"), pick("right", "b").alias("right")))
+    return total.join(closed, "g", "left").select(F.col("g").alias(by), F.col("low").alias("start"), F.col("high").alias("end"))
+
+
+def pairwise_gapped_distances(msa: DataFrame, key: str, seq: str, max_gap: int = 3, block: int = 512) -> DataFrame:
+    """(a, b, distance) with a < b of all pairs of alignment rows: the share of places that differ (see gapped_distance()).
+
+    Rows are dealt into blocks of about ``block``; a task compares two blocks, or one with itself, by
+    matrices, so that a row is sent to as many tasks as there are blocks and not once for each
+    other row. Rows have one length; keys are unique. Pairs without a place left have a null.
+    """
+    rows = cut(msa.select(F.col(key).alias("k"), F.col(seq).alias("s")))
+    n = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    with_ = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
+    dealt = rows.select("k", "s", own.alias("own"), F.explode(with_).alias("p")).select("k", "s", "own", "p.i", "p.j")
+    kind = dict(rows.dtypes)["k"]
+    return dealt.groupBy("i", "j").applyInPandas(lambda rows: _block_distances(rows, max_gap), f"a {kind}, b {kind}, distance double")
+
+
+def _block_distances(rows: pd.DataFrame, max_gap: int) -> pd.DataFrame:
+    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    sides = [rows[rows["own"] == n] for n in (i, j)]
+    if not (len(sides[0]) and len(sides[1])):
+        return pd.DataFrame({"a": [], "b": [], "distance": []})
+    if len({len(s) for s in rows["s"]}) > 1:
+        raise ValueError("alignment rows of different lengths")
+    letters = [np.array([np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in side["s"]]) for side in sides]
+    keys = [side["k"].to_numpy() for side in sides]
+    other, gap_other = letters[1], letters[1] == ord("-")
+    out = []
+    for x, name in zip(letters[0], keys[0]):
+        later = keys[1] > name if i == j else np.ones(len(other), bool)
+        y, mine = other[later], x == ord("-")
+        gap = gap_other[later] | mine
+        # places in runs of more than max_gap gaps: a window of that many gaps begins somewhere near
+        longer = np.ones((len(y), max(0, gap.shape[1] - max_gap)), bool)
+        for o in range(max_gap + 1):
+            longer &= gap[:, o : o + longer.shape[1]]
+        dropped = np.zeros_like(gap)
+        for o in range(max_gap + 1):
+            dropped[:, o : o + longer.shape[1]] |= longer
+        n = (~dropped).sum(axis=1)
+        differ = ((y != x) & ~dropped).sum(axis=1)
+        share = np.where(n > 0, differ / np.maximum(n, 1), np.nan)
+        for other_name, d in zip(keys[1][later], share):
+            out.append((min(name, other_name), max(name, other_name), None if np.isnan(d) else float(d)))
+    return pd.DataFrame(out, columns=["a", "b", "distance"])
 
 
 def rows_named(msa: DataFrame, name: str, names: DataFrame) -> DataFrame:

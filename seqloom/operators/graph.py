@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqloom.storage import cut, in_small_groups
-
-
-def closure(nodes: DataFrame, node: str, parent: str, max_depth: int = 40) -> DataFrame:
-    """(node, ancestor, depth) for every node, itself at depth 0; cycles end at max_depth."""
-    edges = nodes.select(F.col(node).alias("__n"), F.col(parent).alias("__p")).filter("__n <> __p")
-    level = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = cut(
-            level.join(edges, level["ancestor"] == edges["__n"])
-            .filter(F.col("__p").isNotNull())
-            .select("node", F.col("__p").alias("ancestor"), F.lit(depth).alias("depth"))
-        )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+from seqloom.storage import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,93 +78,19 @@ def _joined(names: list[str], d: dict, method: str) -> str:
             height = dist(x, y) / 2
             lx, ly = height - heights[x], height - heights[y]
             to = lambda z: (sizes[x] * dist(x, z) + sizes[y] * dist(y, z)) / (sizes[x] + sizes[y])
-        new = f"({x}:{lx:.6g},{y}:{ly:.6g})"
+        new = f"({x}:{lx:.12g},{y}:{ly:.12g})"
         d |= {frozenset((new, z)): to(z) for z in live if z not in (x, y)}
         sizes[new], heights[new] = sizes[x] + sizes[y], height
         live = [z for z in live if z not in (x, y)] + [new]
     if len(live) == 2:
-        return f"({live[0]}:{dist(*live):.6g},{live[1]}:0);"
+        return f"({live[0]}:{dist(*live):.12g},{live[1]}:0);"
     return f"{live[0]};"
 
 
-def interval_tiers(df: DataFrame, by: str, start: str, end: str, key: str) -> DataFrame:
-    """Rows with ``tier``: longest first (ties: the least key), each in the first tier where it overlaps none.
-
-    Only intervals that overlap, straight or by others, decide on each other's tiers. A
-    key's rows are therefore cut where no interval reaches over, and each such island is
-    tiered for itself, so that no key comes whole into a task.
-    """
-    w = Window.partitionBy(by).orderBy(start, end, key)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col(start) >= before), 1).otherwise(0)
-    islands = df.withColumn("__open", opens).withColumn("__island", F.sum("__open").over(w)).drop("__open")
-
-    first, last, name = (df.columns.index(c) for c in (start, end, key))
-
-    def run(rows: list[tuple]) -> list[tuple]:
-        tiers: list[list[tuple]] = []  # intervals without overlap, in order of their starts
-        out = []
-        for row in sorted(rows, key=lambda r: (r[first] - r[last], r[name])):
-            s, e = row[first], row[last]
-            for at, tier in enumerate(tiers):
-                i = bisect.bisect_left(tier, (s, e))
-                if (i == len(tier) or e <= tier[i][0]) and (i == 0 or tier[i - 1][1] <= s):
-                    break
-            else:
-                at, i = len(tiers), 0
-                tiers.append([])
-            tiers[at].insert(i, (s, e))
-            out.append((*row[:-1], at))  # the last column is the island
-        return out
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return in_small_groups(islands, [by, "__island"], run, f"{kinds}, tier int")
-
-
 #: Names of one distance matrix that a task may hold.
 MOST_NAMES = 2000
 
 
-def pruned(nodes: DataFrame, names: DataFrame | None = None, pattern: str | None = None, remove: bool = False) -> DataFrame:
-    """(tree, node, parent, name, length) of trees without the unwanted leaves.
-
-    Leaves in ``names`` (name, maybe new_name) are kept and renamed, or dropped with
-    ``remove``; those whose name matches ``pattern`` from its start are treated alike. Inner
-    nodes left without leaves go; one left with a single child is joined with it,
-    their lengths being summed. The root stays.
-    """
-    key = F.concat(F.col("tree").cast("string"), F.lit(":"))
-    rows = cut(nodes.select("*", F.concat(key, "node").alias("__n"), F.when(F.col("parent").isNotNull(), F.concat(key, "parent")).alias("__p")))
-    inner = rows.filter("__p IS NOT NULL").select(F.col("__p").alias("__n")).distinct()
-    leaves = rows.join(inner, "__n", "left_anti")
-    listed = F.lit(False)
-    if names is not None:
-        renamed = names if "new_name" in names.columns else names.withColumn("new_name", F.lit(None).cast("string"))
-        renamed = renamed.dropDuplicates(["name"]).select("name", "new_name", F.lit(True).alias("__in"))
-        leaves = leaves.join(renamed, "name", "left")
-        listed = F.coalesce("__in", F.lit(False))
-    else:
-        leaves = leaves.withColumn("new_name", F.lit(None).cast("string"))
-    if pattern is not None:
-        listed = listed | F.col("name").rlike(f"^(?:{pattern})")
-    kept = cut(leaves.filter(~listed if remove else listed).select("__n", "new_name"))
-    above = closure(rows.select("__n", "__p"), "__n", "__p")
-    alive = above.join(kept.select(F.col("__n").alias("node")), "node", "left_semi").select(F.col("ancestor").alias("__n")).distinct()
-    alive = alive.union(rows.filter("__p IS NULL").select("__n")).distinct()
-    living = rows.join(alive, "__n", "left_semi")
-    children = living.filter("__p IS NOT NULL").groupBy(F.col("__p").alias("__n")).agg(F.count("*").alias("__c"))
-    stays = living.join(children, "__n", "left").filter("__p IS NULL OR __c IS NULL OR __c > 1")
-    stays = cut(stays.join(kept, "__n", "left").select("__n", "tree", "node", F.coalesce("new_name", "name").alias("name")))
-    # the nearest ancestor that stays is the new parent; lengths on the way to it are summed
-    to = above.filter("depth > 0").join(stays.select(F.col("__n").alias("ancestor"), F.col("node").alias("__parent")), "ancestor")
-    parent = to.groupBy(F.col("node").alias("__n")).agg(F.min("depth").alias("__depth"), F.min_by("__parent", "depth").alias("parent"))
-    way = above.join(parent, (above["node"] == parent["__n"]) & (above["depth"] < parent["__depth"])).select(
-        F.col("__n").alias("__from"), F.col("ancestor").alias("__at")
-    )
-    length = way.join(rows, way["__at"] == rows["__n"]).groupBy(F.col("__from").alias("__n")).agg(F.sum("length").alias("length"))
-    return stays.join(parent, "__n", "left").join(length, "__n", "left").select("tree", "node", "parent", "name", "length")
-
-
 def leaf_orders(distances: DataFrame, by: str, method: str = "average", share: float = 0.7) -> DataFrame:
     """(by, name, place, cluster): leaves of a hierarchical clustering in the order of its drawing.
 

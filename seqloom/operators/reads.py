@@ -160,6 +160,11 @@ def term_counts(rows: DataFrame, terms: str) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("n"))
 
 
+def subjects_of(hits: DataFrame, source: str = "Pfam") -> DataFrame:
+    """(subject, query), each once, of hits (query, source, subject) of one source."""
+    return hits.filter((F.col("source") == source) & F.col("subject").isNotNull()).select("subject", "query").distinct()
+
+
 def annotation_coverage(coverage: DataFrame, contig: str, depth: str, annotation: DataFrame) -> DataFrame:
     """(annotation, total): coverage summed by annotation (contig, annotation), cut to whole numbers."""
     joined = coverage.join(annotation, contig)

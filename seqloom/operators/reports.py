@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .windows import numbered
+
 
 def pivoted(df: DataFrame, row: list[str], column: str, values: list, cell: Column, missing=None) -> DataFrame:
     """A table with a column for each of ``values``; cells that nothing falls into hold ``missing``."""
@@ -122,25 +124,29 @@ def serials(df: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
 
 
 def roll_call(df: DataFrame, category: str, name: str, categories: list[str]) -> DataFrame:
-    """(place, category, n, names) in the given order of categories, ``None`` for an empty one."""
+    """(place, category, n, at, name): a row for each name, numbered within its category, in the given order of categories.
+
+    A category without names has one row, with n 0 and no name. Categories not asked for are left out.
+    """
     spark = df.sparkSession
     order = spark.createDataFrame([(i, c) for i, c in enumerate(categories)], f"place int, {category} string")
-    lists = df.groupBy(category).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
-    return order.join(lists, category, "left").select(
-        "place", category, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("names", F.lit("None")).alias("names")
-    )
+    sizes = df.groupBy(category).agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy(category).orderBy(name)).alias("at")
+    asked = order.join(sizes, category, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return asked.join(df.select(category, name, at), category, "left").select("place", category, "n", "at", name)
 
 
 def files_by_rank(files: DataFrame, name: str, lineage: str, level: int) -> DataFrame:
-    """(taxon, files): sorted file names of each taxon at a level of ``a; b; c`` (0 is the top)."""
-    taxon = F.coalesce(F.get(F.split(lineage, "; *"), F.lit(level)), F.lit("unknown"))
-    return files.groupBy(taxon.alias("taxon")).agg(F.sort_array(F.collect_list(name)).alias("files"))
+    """(taxon, at, name): file names of each taxon at a level of ``a; b; c`` (0 is the top), numbered in their order."""
+    taxon = F.coalesce(F.get(F.split(lineage, "; *"), F.lit(level)), F.lit("unknown")).alias("taxon")
+    own = Window.partitionBy("taxon").orderBy(name)
+    return files.select(taxon, name).select("taxon", F.row_number().over(own).alias("at"), name)
 
 
 def shuffled(df: DataFrame, key: list[str], seed: int) -> DataFrame:
-    """Rows in a random order that only the seed and the keys decide."""
+    """Rows with their ``place`` (from 1) in a random order that only the seed and the keys decide."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    return df.orderBy(order, *key)
+    return numbered(df, [order, *[F.col(k) for k in key]])
 
 
 def sampled(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:

@@ -85,9 +85,8 @@ def of_kingdom(df: DataFrame, taxstring: str, kingdom: str) -> DataFrame:
 
 
 def significant(df: DataFrame, by: str, q: str, lineage: str, most: float = 0.05) -> DataFrame:
-    """(by, lineages): sorted lineages with a q-value below the limit, joined by ``;``."""
-    kept = df.filter(F.col(q) < most)
-    return kept.groupBy(by).agg(F.array_join(F.sort_array(F.collect_set(lineage)), ";").alias("lineages"))
+    """(by, lineage), each once: lineages with a q-value below the limit."""
+    return df.filter(F.col(q) < most).select(by, F.col(lineage).alias("lineage")).distinct()
 
 
 def divergence(a: DataFrame, b: DataFrame, key: str, taxstring: str) -> DataFrame:

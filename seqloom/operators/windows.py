@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seqloom.storage import cut
+
 
 def changes(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from that of the row before (the first row stays)."""
@@ -103,3 +105,23 @@ def core_curve(df: DataFrame, item: str, member: str, replicates: int, seed: int
         .join(prefix.groupBy("replicate", "place").agg(F.count("*").alias("total")), ["replicate", "place"], "left")
         .select("replicate", "place", F.coalesce("total", F.lit(0)).alias("total"))
     )
+
+
+def numbered(df: DataFrame, order: list[Column], total: str | None = None) -> DataFrame:
+    """Rows with ``place`` (from 1) in a total order, and ``total``, the running sum of that column, if named.
+
+    Rows are dealt into ranges of the order; each is numbered for itself and moved on by what
+    the ranges before it hold, so that no task gets more than a range.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    amount = F.col(total) if total else F.lit(0)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"), F.sum(amount).alias("__s"))
+    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s"))
+    own = Window.partitionBy("__range").orderBy(*order)
+    joined = ranged.join(F.broadcast(sizes), "__range")  # a row for each range
+    placed = joined.withColumn("place", (F.row_number().over(own) + F.col("__n")).cast("long"))
+    if total:
+        run = F.sum(total).over(own.rowsBetween(Window.unboundedPreceding, 0))
+        placed = placed.withColumn("total", (run + F.col("__s")).cast("long"))
+    return placed.drop("__range", "__n", "__s")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.operators import domain as D, graph as G
+from seqloom.operators import covers as C, domain as D, graph as G, intervals as I
 
 from .registry import Tables, query
 
@@ -74,10 +74,31 @@ def assignment_agreement(t: Tables) -> DataFrame:
     return D.agreement(a, b, "k", "v")
 
 
-@query(None)
+_CLUSTERS = "s AS (SELECT l_suppkey AS m, list(DISTINCT l_partkey % 500) AS has FROM lineitem WHERE l_quantity < 12 GROUP BY 1)"
+
+
+def _clusters(t: Tables) -> DataFrame:
+    return t.lineitem.filter("l_quantity < 12").select((F.col("l_partkey") % 500).alias("cluster"), "l_suppkey")
+
+
+@query(f"""WITH RECURSIVE {_CLUSTERS},
+r AS (SELECT 0 AS place, NULL::BIGINT AS m, 0::BIGINT AS new, 0::BIGINT AS total, (SELECT list(DISTINCT i) FROM (SELECT unnest(has) AS i FROM s)) AS remaining
+UNION ALL SELECT place + 1, s.m, len(list_intersect(has, remaining))::BIGINT, total + len(list_intersect(has, remaining)), list_filter(remaining, lambda x: NOT list_contains(has, x))
+  FROM r, s WHERE len(list_intersect(has, remaining)) > 0 QUALIFY row_number() OVER (ORDER BY len(list_intersect(has, remaining)) DESC, s.m DESC) = 1)
+SELECT place, m AS l_suppkey, new, total FROM r WHERE place > 0""")
 def greedy_genome_cover(t: Tables) -> DataFrame:
-    clusters = t.lineitem.select((F.col("l_partkey") % 500).alias("cluster"), "l_suppkey")
-    return D.greedy_cover(clusters, "cluster", "l_suppkey")
+    """Suppliers by how many clusters of parts they add."""
+    return C.greedy_cover(_clusters(t), "cluster", "l_suppkey")
+
+
+@query(f"""WITH RECURSIVE {_CLUSTERS},
+r AS (SELECT 0 AS place, NULL::BIGINT AS m, 0::BIGINT AS total, (SELECT list(DISTINCT i) FROM (SELECT unnest(has) AS i FROM s)) AS core, []::BIGINT[] AS used
+UNION ALL SELECT place + 1, s.m, len(list_intersect(has, core))::BIGINT, list_intersect(has, core), list_append(used, s.m)
+  FROM r, s WHERE NOT list_contains(used, s.m) QUALIFY row_number() OVER (ORDER BY len(list_intersect(has, core)) DESC, s.m DESC) = 1)
+SELECT place, m AS l_suppkey, total FROM r WHERE place > 0""")
+def greedy_core_curve(t: Tables) -> DataFrame:
+    """Suppliers in the order that keeps most clusters of parts common to all so far."""
+    return C.greedy_core(_clusters(t), "cluster", "l_suppkey")
 
 
 @query("""WITH a AS (SELECT l_partkey::VARCHAR AS amp, l_returnflag AS g, l_linestatus || CASE WHEN l_quantity > 49 THEN 'N' ELSE '' END AS s FROM lineitem
@@ -138,24 +159,33 @@ def alignment_rows_without_gaps(t: Tables) -> DataFrame:
     return D.gappy_rows(t.documents, "text", 0.16, " ").select("doc_id", F.char_length("text").cast("long").alias("n"))
 
 
-@query(None)
-def nation_tree(t: Tables) -> DataFrame:
-    """A neighbour-joining tree of nations in each region by their mean balances."""
-    means = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.avg("c_acctbal").alias("v"))
-    a, b = means.alias("a"), means.alias("b")
-    pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_name") < F.col("b.n_name")))
-    return G.trees(
-        pairs.select(F.col("a.n_regionkey").alias("region"), F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.abs(F.col("a.v") - F.col("b.v")).alias("distance")),
-        "region",
-    )
+def _tiers_sql(rows: str) -> str:
+    """Tiers of rows (k, s, e, id) island by island, a row of each at a step, the longest first."""
+    tier = "list_filter(range(len(done) + 1), lambda t: len(list_filter(done, lambda a: a.t = t AND a.s < x.e AND x.s < a.e)) = 0)[1]"
+    return f"""WITH RECURSIVE {rows},
+o AS (SELECT *, coalesce(s >= max(e) OVER (PARTITION BY k ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS opens FROM i),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY k ORDER BY s, e, id) AS island FROM o),
+x AS (SELECT *, row_number() OVER (PARTITION BY k, island ORDER BY s - e, id) AS step FROM g),
+r AS (SELECT k, island, 0 AS step, NULL::BIGINT AS id, 0 AS tier, []::STRUCT(s BIGINT, e BIGINT, t INT)[] AS done FROM (SELECT DISTINCT k, island FROM g)
+  UNION ALL SELECT r.k, r.island, x.step, x.id, {tier}, list_append(done, {{'s': x.s, 'e': x.e, 't': {tier}}})
+  FROM r JOIN x ON x.k = r.k AND x.island = r.island AND x.step = r.step + 1)
+SELECT i.*, r.tier::INT AS tier FROM i JOIN r USING (id)"""
 
 
-@query(None)
+@query(_tiers_sql("i AS (SELECT o_custkey AS k, epoch(o_orderdate::TIMESTAMP)::BIGINT // 86400 AS s, epoch(o_orderdate::TIMESTAMP)::BIGINT // 86400 + o_orderkey % 30 + 1 AS e, o_orderkey AS id FROM orders)"))
 def order_tiers(t: Tables) -> DataFrame:
     """Each customer's orders as intervals without overlap in a tier."""
     day = F.floor(F.unix_millis(F.col("o_orderdate").cast("timestamp")) / 86_400_000)
     rows = t.orders.select(F.col("o_custkey").alias("k"), day.alias("s"), (day + F.col("o_orderkey") % 30 + 1).alias("e"), F.col("o_orderkey").alias("id"))
-    return G.interval_tiers(rows, "k", "s", "e", "id")
+    return I.interval_tiers(rows, "k", "s", "e", "id")
+
+
+@query(_tiers_sql("i AS (SELECT 1 AS k, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + (event_id % 7 + 1) * 60000 AS e, event_id AS id FROM events)"))
+def event_tiers(t: Tables) -> DataFrame:
+    """All events as intervals of one key."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = t.events.select(F.lit(1).alias("k"), at.alias("s"), (at + (F.col("event_id") % 7 + 1) * 60_000).alias("e"), F.col("event_id").alias("id"))
+    return I.interval_tiers(rows, "k", "s", "e", "id")
 
 
 @query("""SELECT k, arg_max(v, place) AS v FROM (

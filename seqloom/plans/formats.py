@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions import text as X
-from seqloom.operators import domain as D, genomes as N, graph as G, reads as R, reports as P, taxonomy as T
+from seqloom.operators import domain as D, genomes as N, graph as G, hierarchy as H, reads as R, reports as P, taxonomy as T
 from seqloom.sources import records, sinks, tables as S
 from seqloom.storage import checkpoint_dir
 
@@ -41,7 +41,7 @@ key = F.col
 
 _SAM = """s AS (SELECT 'r' || l_orderkey AS qname, CASE WHEN l_suppkey % 10 = 0 THEN 77 WHEN l_linenumber % 4 = 0 THEN 83 WHEN l_linenumber % 4 = 1 THEN 99
   WHEN l_linenumber % 4 = 2 THEN 147 ELSE 163 END AS flag, CASE WHEN l_suppkey % 10 <> 0 THEN 'c' || l_suppkey END AS rname,
-  l_partkey * 10 + l_linenumber AS pos, l_quantity::INT AS mapq, 100 + l_linenumber * 10 AS n, CASE WHEN l_tax > 0 THEN l_linenumber % 3 END AS nm FROM lineitem)"""
+  l_partkey * 10 + l_linenumber AS pos, l_quantity::INT AS mapq, 100 + l_linenumber * 12 AS n, CASE WHEN l_tax > 0 THEN (l_orderkey + l_linenumber) % 3 END AS nm FROM lineitem)"""
 
 
 def _sam(t: Tables) -> DataFrame:
@@ -50,12 +50,12 @@ def _sam(t: Tables) -> DataFrame:
     flag = (
         F.when(key("l_suppkey") % 10 == 0, 77).when(line % 4 == 0, 83).when(line % 4 == 1, 99).when(line % 4 == 2, 147).otherwise(163)
     )
-    seq = F.repeat(F.lit("A"), 100 + line * 10)
+    seq = F.repeat(F.lit("A"), 100 + line * 12)
     rname = F.when(key("l_suppkey") % 10 == 0, "*").otherwise(_say("c", key("l_suppkey")))
     lines = t.lineitem.select(
         _tabbed(
             _say("r", key("l_orderkey")), flag, rname, key("l_partkey") * 10 + line, key("l_quantity").cast("int"), F.lit("100M"),
-            F.lit("*"), F.lit(0), F.lit(0), seq, F.lit("*"), F.when(key("l_tax") > 0, _say("NM:i:", line % 3)),
+            F.lit("*"), F.lit(0), F.lit(0), seq, F.lit("*"), F.when(key("l_tax") > 0, _say("NM:i:", (key("l_orderkey") + line) % 3)),
         )
     )
     header = t.supplier.select(_say("@SQ\tSN:c", key("s_suppkey"), "\tLN:", key("s_suppkey") * 100).alias("value"))
@@ -178,7 +178,7 @@ _CLADES = _KRAKEN + """, s AS (SELECT name, sum(b + CASE WHEN n_regionkey = r TH
 
 @query(f"WITH {_CLADES} SELECT name, in_clade, total, in_clade / total AS confidence FROM s")
 def kraken_confidence(t: Tables) -> DataFrame:
-    return D.clade_confidence(_kraken(t), G.closure(_places(t), "node", "parent"))
+    return D.clade_confidence(_kraken(t), H.closure(_places(t), "node", "parent"))
 
 
 @query(f"""WITH {_CLADES} SELECT name, CASE WHEN r < 4 THEN 'k__' || r ELSE 'unclassified' END AS lineage,
@@ -186,7 +186,7 @@ def kraken_confidence(t: Tables) -> DataFrame:
 def kraken_confidence_table(t: Tables) -> DataFrame:
     reads = _kraken(t)
     lineage = t.region.filter("r_regionkey < 4").select(_say("r", key("r_regionkey")).alias("taxid"), _say("k__", key("r_regionkey")).alias("lineage"))
-    return T.confidence_table(reads.select("name", "taxid"), D.clade_confidence(reads, G.closure(_places(t), "node", "parent")), lineage)
+    return T.confidence_table(reads.select("name", "taxid"), D.clade_confidence(reads, H.closure(_places(t), "node", "parent")), lineage)
 
 
 @query(f"""WITH {_KRAKEN} SELECT CASE WHEN classified THEN 'r' || r ELSE 'unclassified' END AS taxid, count(*) AS n, avg(length) AS mean_length FROM k GROUP BY 1""")
@@ -458,7 +458,7 @@ def pruned_tree(t: Tables) -> DataFrame:
     names = t.nation.filter("n_nationkey % 6 <> 0 AND n_nationkey > 4").select(
         key("n_name").alias("name"), F.when(key("n_nationkey") == 7, "seven").alias("new_name")
     )
-    left = G.pruned(G.newick_nodes(_newick(t)), names)
+    left = H.pruned(G.newick_nodes(_newick(t)), names)
     parents = left.select(key("node").alias("parent"), key("name").alias("parent_name"))
     return left.join(parents, "parent", "left").select("name", "length", key("parent_name").alias("parent"))
 
@@ -550,13 +550,12 @@ def records_by_list(t: Tables) -> DataFrame:
     return found.join(checked, F.lit(True)).select("c_custkey", "c_name", key("id").alias("alias"))
 
 
-@query("""SELECT b.bin, count(*) AS n FROM (SELECT 'b' || l_suppkey % 5 AS bin FROM lineitem) b GROUP BY 1""")
+@query("""SELECT 'b' || l_suppkey % 5 AS bin, '>x' || l_orderkey AS value, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'b' || l_suppkey % 5, 'ACGT', count(*) FROM lineitem GROUP BY ALL""")
 def records_by_group(t: Tables) -> DataFrame:
     path = _path(t, "groups")
     rows = t.lineitem.withColumn("bin", _say("b", key("l_suppkey") % 5))
     sinks.write_records(rows, sinks.fasta_record(_say("x", key("l_orderkey")), F.lit("ACGT")), path, by="bin")
-    lines = t.spark.read.text(path).filter(key("value").startswith(">"))
-    return lines.groupBy("bin").agg(F.count("*").alias("n"))
+    return t.spark.read.text(path).groupBy("bin", "value").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT c_custkey AS id, n_nationkey AS nation, 'new' AS kind FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0
@@ -572,17 +571,14 @@ def inserted_with_parents(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT 'customer' AS name, count(*) FILTER (c_nationkey >= 3) AS n_left, count(*) FILTER (c_nationkey < 3) AS taken FROM customer UNION ALL
-SELECT 'supplier', count(*) FILTER (s_nationkey >= 3), count(*) FILTER (s_nationkey < 3) FROM supplier""")
+@query("""SELECT 'customer' AS name, c_custkey AS id, c_nationkey < 3 AS taken FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_nationkey < 3 FROM supplier""")
 def deleted_with_dependants(t: Tables) -> DataFrame:
     gone = t.nation.filter("n_nationkey < 3")
     parts = sinks.deleted_with_dependants({"customer": (t.customer, "c_nationkey"), "supplier": (t.supplier, "s_nationkey")}, gone, "n_nationkey")
-    count = lambda df, out: df.agg(F.count("*").alias(out))
-    rows = [
-        count(left, "n_left").join(count(taken, "taken"), F.lit(True)).select(F.lit(name).alias("name"), "n_left", "taken")
-        for name, (left, taken) in parts.items()
-    ]
-    return rows[0].union(rows[1])
+    rows = lambda df, name, id_, taken: df.select(F.lit(name).alias("name"), key(id_).alias("id"), F.lit(taken).alias("taken"))
+    ids = {"customer": "c_custkey", "supplier": "s_suppkey"}
+    sides = [rows(df, name, ids[name], taken) for name, (left, gone_) in parts.items() for df, taken in ((left, False), (gone_, True))]
+    return sides[0].union(sides[1]).union(sides[2]).union(sides[3])
 
 
 @query("""SELECT c_custkey, 'c_acctbal' AS field FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'c_name' FROM customer WHERE c_custkey % 7 = 0""")
@@ -608,7 +604,7 @@ def sample_sheet(t: Tables) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT l_suppkey AS genome, l_partkey % 7 AS contig, l_orderkey * 10 + l_linenumber AS gene, l_partkey AS s FROM lineitem)
-SELECT genome, contig, max(len) AS longest FROM (SELECT genome, contig, 800 + s % 100 AS len FROM g) GROUP BY 1, 2""")
+SELECT genome, contig, max(len) AS longest, arg_max(gene, {'n': len, 'g': -gene}) AS gene FROM (SELECT genome, contig, gene, 800 + s % 100 AS len FROM g) GROUP BY 1, 2""")
 def longest_feature(t: Tables) -> DataFrame:
     from seqloom.operators import domain as D
 
@@ -616,14 +612,15 @@ def longest_feature(t: Tables) -> DataFrame:
         key("l_suppkey").alias("genome"), (key("l_partkey") % 7).alias("contig"), (key("l_orderkey") * 10 + key("l_linenumber")).alias("gene"), (800 + key("l_partkey") % 100).alias("longest")
     )
     both = rows.withColumn("k", F.struct("genome", "contig"))
-    return D.best_hits(both, "k", [F.desc("longest"), key("gene")]).select("genome", "contig", "longest")
+    return D.best_hits(both, "k", [F.desc("longest"), key("gene")]).select("genome", "contig", "longest", "gene")
 
 
-@query("""WITH p AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS n FROM lineitem GROUP BY 1, 2) SELECT count(*) AS n FROM p""")
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_suppkey || '/' || l_partkey AS s FROM lineitem)
+SELECT k, min(k) OVER (PARTITION BY s) AS "group", count(*) OVER (PARTITION BY s) AS n FROM r""")
 def genome_gene_pairs(t: Tables) -> DataFrame:
-    return N.same_strings(t.lineitem.select(key("l_orderkey").alias("k"), _say(key("l_suppkey"), "/", key("l_partkey")).alias("s")), "k", "s").select("group", "n").agg(
-        F.count_distinct("group").alias("groups"), F.sum("n").alias("total")
-    ).join(t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("k")).agg(F.count("*").alias("n")), F.lit(True)).select("n")
+    """Lines with the first one of the same genome and gene, and how many there are."""
+    rows = t.lineitem.select((key("l_orderkey") * 10 + key("l_linenumber")).alias("k"), _say(key("l_suppkey"), "/", key("l_partkey")).alias("s"))
+    return N.same_strings(rows, "k", "s")
 
 
 @query("""SELECT 'S' || s_suppkey AS locus, n_name AS organism, (s_suppkey % 7)::INT AS start, (s_suppkey % 7 + 10)::INT AS stop, CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE 1 END AS strand, 'T' || s_suppkey AS tag, 12 AS n

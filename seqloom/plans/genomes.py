@@ -197,25 +197,28 @@ def pieces_found_and_ordered(t: Tables) -> DataFrame:
     return N.found_and_ordered(_pieces(t), "k", 0.95)
 
 
-@query(f"WITH {_PIECES} SELECT k, count(*) AS n FROM y WHERE contig IS NOT NULL GROUP BY 1")
+@query(f"""WITH {_PIECES}, f AS (SELECT k, piece, contig, node, last FROM y WHERE contig IS NOT NULL),
+c AS (SELECT * FROM f UNION SELECT k, piece, contig, last - node, last FROM f WHERE contig = 0 AND last > 0 AND piece % 3 = 0
+  AND NOT EXISTS (SELECT 1 FROM f x WHERE x.k = f.k AND x.piece = f.piece AND x.contig = f.contig AND x.node = f.last - f.node)),
+n AS (SELECT *, count(*) OVER (PARTITION BY k, piece) AS n FROM c),
+s AS (SELECT n.k, n.piece, n.contig, n.node, coalesce(sum(CASE WHEN o.contig = n.contig AND abs(o.node - n.node) = 1 THEN 3 WHEN o.node IN (0, o.last) AND n.node IN (0, n.last) THEN 1 ELSE 0 END), 0) AS score
+  FROM n LEFT JOIN n o ON o.k = n.k AND o.n = 1 AND abs(o.piece - n.piece) = 1 GROUP BY ALL)
+SELECT k, piece, contig, node FROM s QUALIFY row_number() OVER (PARTITION BY k, piece ORDER BY score DESC, contig, node) = 1""")
 def chosen_placements(t: Tables) -> DataFrame:
-    """Pieces with a placement, where those on contig 0 have another at the contig's other end: one is chosen."""
+    """Pieces with a placement, every third of those on contig 0 with another at the contig's other end: one is chosen."""
     found = _pieces(t).filter("contig IS NOT NULL").select("k", "piece", "contig", "node", "last")
-    more = found.filter("contig = 0 AND last > 0").withColumn("node", key("last") - key("node")).join(
+    more = found.filter("contig = 0 AND last > 0 AND piece % 3 = 0").withColumn("node", key("last") - key("node")).join(
         found.select("k", "piece", "contig", "node"), ["k", "piece", "contig", "node"], "left_anti"
     )
-    chosen = N.chosen_placements(found.unionByName(more.select(*found.columns)), "k")
-    most = found.groupBy("k").agg(F.count("*").alias("n"))
-    at_most_one = chosen.groupBy("k", "piece").agg(F.count("*").alias("c")).filter("c > 1").groupBy("k").agg(F.count("*").alias("wrong"))
-    return most.join(at_most_one, "k", "left").filter("wrong IS NULL").select("k", "n")
+    return N.chosen_placements(found.unionByName(more.select(*found.columns)), "k")
 
 
 @query("""WITH s AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 'A' ELSE 'T' END), '') AS s FROM embeddings),
 u AS (SELECT s, min(vec_id) AS k FROM s GROUP BY 1),
-d AS (SELECT a.k AS a, b.k AS b, hamming(a.s, b.s)::INT AS distance FROM u a JOIN u b ON a.k < b.k) SELECT a, b, distance FROM d WHERE distance <= 6""")
+d AS (SELECT a.k AS a, b.k AS b, hamming(a.s, b.s)::INT AS distance FROM u a JOIN u b ON a.k < b.k) SELECT a, b, distance FROM d WHERE distance <= 18""")
 def hamming_pairs(t: Tables) -> DataFrame:
-    """Pairs of different sign patterns that differ in at most six of all dimensions, by their least rows."""
-    return N.near_pairs(_signs(t), "vec_id", "s", 64, 6)
+    """Pairs of different sign patterns that differ in at most 18 of all dimensions, by their least rows."""
+    return N.near_pairs(_signs(t), "vec_id", "s", 64, 18)
 
 
 def _signs(t: Tables) -> DataFrame:

@@ -90,9 +90,10 @@ def interval_slice_mean_median(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 5 = 0 WHERE o_orderkey IS NULL")
 def anti_join_unprocessed(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    processed = t.orders.filter("o_orderkey % 5 = 0")
+    return t.customer.join(processed, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""SELECT DISTINCT user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)""")

@@ -87,7 +87,7 @@ def checked_list_sides(t: Tables) -> DataFrame:
     return P.list_sides(t.customer.select(key("c_custkey").alias("k")), t.orders.select(key("o_custkey").alias("k")).distinct(), "k")
 
 
-@query("""WITH m AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+@query("""WITH m AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <= c_nationkey),
 n AS (SELECT a AS name FROM m UNION SELECT b FROM m), x AS (SELECT a AS name, count(*) AS as_row FROM m GROUP BY 1), y AS (SELECT b AS name, count(*) AS as_column FROM m GROUP BY 1)
 SELECT name, coalesce(as_row, 0) AS as_row, coalesce(as_column, 0) AS as_column, (SELECT count(*) FROM n) AS wanted FROM n LEFT JOIN x USING (name) LEFT JOIN y USING (name)
 WHERE coalesce(as_row, 0) < (SELECT count(*) FROM n) OR coalesce(as_column, 0) < (SELECT count(*) FROM n)""")
@@ -96,6 +96,7 @@ def incomplete_matrix_names(t: Tables) -> DataFrame:
         t.lineitem.join(t.supplier, key("l_suppkey") == key("s_suppkey"))
         .join(t.orders, key("l_orderkey") == key("o_orderkey"))
         .join(t.customer, key("o_custkey") == key("c_custkey"))
+        .filter("s_nationkey <= c_nationkey")
         .select(key("s_nationkey").alias("a"), key("c_nationkey").alias("b"))
     )
     return P.matrix_faults(cells, "a", "b")
@@ -126,30 +127,21 @@ def serial_by_type(t: Tables) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT * FROM (VALUES (0, 'AUTOMOBILE'), (1, 'NOTHING'), (2, 'BUILDING')) c(place, c_mktsegment))
-SELECT place, c.c_mktsegment, count(c_name) AS n, coalesce(string_agg(c_name, ', ' ORDER BY c_name), 'None') AS names FROM c LEFT JOIN customer k ON k.c_mktsegment = c.c_mktsegment GROUP BY 1, 2""")
+SELECT place, c.c_mktsegment, count(c_name) OVER (PARTITION BY place) AS n, CASE WHEN c_name IS NOT NULL THEN row_number() OVER (PARTITION BY place ORDER BY c_name)::INT END AS at, c_name FROM c LEFT JOIN customer k ON k.c_mktsegment = c.c_mktsegment""")
 def fixed_roll_call(t: Tables) -> DataFrame:
     return P.roll_call(t.customer, "c_mktsegment", "c_name", ["AUTOMOBILE", "NOTHING", "BUILDING"])
 
 
-@query("""SELECT CASE WHEN c_nationkey < 20 THEN n_name ELSE 'unknown' END AS taxon, string_agg(c_name, ',' ORDER BY c_name) AS files FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("""SELECT CASE WHEN c_nationkey < 20 THEN n_name ELSE 'unknown' END AS taxon, row_number() OVER (PARTITION BY CASE WHEN c_nationkey < 20 THEN n_name ELSE 'unknown' END ORDER BY c_name)::INT AS at, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def files_by_rank(t: Tables) -> DataFrame:
     joined = t.customer.join(t.nation, key("c_nationkey") == key("n_nationkey"))
     lineage = F.when(key("c_nationkey") < 20, _say("all; ", key("n_name"), "; x")).otherwise("all")
-    found = P.files_by_rank(joined.withColumn("lineage", lineage), "c_name", "lineage", 1)
-    return found.select("taxon", F.array_join("files", ",").alias("files"))
+    return P.files_by_rank(joined.withColumn("lineage", lineage), "c_name", "lineage", 1)
 
 
 @query("""SELECT event_id, row_number() OVER (ORDER BY md5('7:' || event_id), event_id) AS place FROM events""")
 def shuffled_events(t: Tables) -> DataFrame:
-    """Places in the shuffled order: written, so that partitions stand in it, and numbered by what lies before."""
-    from pyspark.sql import Window
-
-    placed = P.shuffled(t.events, ["event_id"], 7).select("event_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = placed.groupBy("p").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    start = counts.select("p", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("p").orderBy("m"))
-    return placed.withColumn("own", own).join(F.broadcast(start), "p").select("event_id", (key("own") + key("before")).alias("place"))
+    return P.shuffled(t.events.select("event_id"), ["event_id"], 7)
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, l_orderkey || '_' || l_linenumber AS k FROM lineitem) WHERE ('0x' || md5('11:' || k)[1:8])::BIGINT < floor(4294967296 / 45)""")
@@ -295,7 +287,7 @@ def of_one_kingdom(t: Tables) -> DataFrame:
     return T.of_kingdom(rows, "line", "1").select("c_custkey", X.lowest_rank(ranks).alias("lowest"), X.tax_at(ranks, "p").alias("phylum"))
 
 
-@query("""SELECT l_suppkey, string_agg(DISTINCT 'p' || l_partkey % 50, ';' ORDER BY 'p' || l_partkey % 50) AS lineages FROM lineitem WHERE l_discount < 0.05 GROUP BY 1""")
+@query("""SELECT DISTINCT l_suppkey, 'p' || l_partkey % 50 AS lineage FROM lineitem WHERE l_discount < 0.05""")
 def significant_lineages(t: Tables) -> DataFrame:
     rows = t.lineitem.withColumn("p", _say("p", key("l_partkey") % 50))
     return T.significant(rows, "l_suppkey", "l_discount", "p")
@@ -327,13 +319,21 @@ def curve_bands(t: Tables) -> DataFrame:
     return P.curve_bands(W.curve(t.lineitem, "l_partkey", "l_suppkey", 10, 3))
 
 
-@query("""WITH d AS (SELECT p_brand AS region, p_partkey AS name, p_retailprice AS v FROM part) SELECT region, count(*) AS n, count(DISTINCT name) AS names FROM d GROUP BY 1""")
+@query("""WITH RECURSIVE p AS (SELECT p_brand AS region, p_partkey AS name, ('0x' || md5(p_partkey::VARCHAR)[1:10])::BIGINT AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS no, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
+r AS (SELECT region, size, 0 AS step, list({'low': v, 'high': v, 'no': no, 'leaves': [name]} ORDER BY v) AS c FROM p GROUP BY region, size
+UNION ALL SELECT region, size, step + 1, c[1:i - 1] || [{'low': c[i].low, 'high': c[i + 1].high, 'no': size + step, 'leaves': CASE WHEN c[i].no < c[i + 1].no THEN c[i].leaves || c[i + 1].leaves ELSE c[i + 1].leaves || c[i].leaves END}] || c[i + 2:]
+  FROM (SELECT *, list_position(gaps, list_min(gaps)) AS i FROM (SELECT *, list_transform(range(1, len(c)), lambda j: c[j + 1].low - c[j].high) AS gaps FROM r WHERE len(c) > 1))),
+o AS (SELECT region, unnest(c[1].leaves) AS name, unnest(range(size)) AS place FROM r WHERE len(c) = 1),
+g AS (SELECT region, name, v - lag(v) OVER (PARTITION BY region ORDER BY v) AS gap, v FROM p),
+h AS (SELECT *, sum(CASE WHEN gap > 0.7::DOUBLE * most THEN 1 ELSE 0 END) OVER (PARTITION BY region ORDER BY v) AS part FROM (SELECT *, max(gap) OVER (PARTITION BY region) AS most FROM g)),
+f AS (SELECT region, name, place, min(place) OVER (PARTITION BY region, part) AS first FROM o JOIN h USING (region, name))
+SELECT region, name, place::INT AS place, dense_rank() OVER (PARTITION BY region ORDER BY first)::INT AS cluster FROM f""")
 def leaf_order_counts(t: Tables) -> DataFrame:
-    """Parts of each brand in the order of a clustering by price: every part once."""
-    parts = t.part.select(key("p_brand").alias("region"), key("p_partkey").alias("name"), key("p_retailprice").alias("v"))
+    """Parts of each brand in the order of a single-linkage clustering of hashed places on a line, with their clusters."""
+    place = F.conv(F.substring(F.md5(key("p_partkey").cast("string")), 1, 10), 16, 10).cast("long")
+    parts = t.part.select(key("p_brand").alias("region"), key("p_partkey").alias("name"), place.alias("v"))
     a, b = parts.alias("a"), parts.alias("b")
     pairs = a.join(b, (key("a.region") == key("b.region")) & (key("a.name") < key("b.name"))).select(
         key("a.region").alias("region"), key("a.name").alias("a"), key("b.name").alias("b"), F.abs(key("a.v") - key("b.v")).alias("distance")
     )
-    ordered = G.leaf_orders(pairs, "region")
-    return ordered.groupBy("region").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
+    return G.leaf_orders(pairs, "region", method="single")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions import sequences as S, text as X
-from seqloom.operators import aggregates as A, domain as D, graph as G, windows as W
+from seqloom.operators import aggregates as A, domain as D, graph as G, hierarchy as H, windows as W
 
 from .registry import Tables, query
 
@@ -169,7 +169,7 @@ c AS (SELECT node, node AS ancestor, 0 AS depth FROM n UNION ALL
       SELECT c.node, n.parent, c.depth + 1 FROM c JOIN n ON c.ancestor = n.node WHERE n.parent IS NOT NULL)
 SELECT node, ancestor, depth FROM c""")
 def recursive_lineage(t: Tables) -> DataFrame:
-    return G.closure(_tree(t), "node", "parent")
+    return H.closure(_tree(t), "node", "parent")
 
 
 def _tree(t: Tables) -> DataFrame:
@@ -186,7 +186,7 @@ def lowest_common_ancestor(t: Tables) -> DataFrame:
     nation = t.nation
     pairs = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("n"), F.col("n_nationkey") + 1).alias("b"))
     known = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("b"))
-    return G.common_ancestors(pairs.join(known, "b", "left_semi"), G.closure(_tree(t), "node", "parent"))
+    return G.common_ancestors(pairs.join(known, "b", "left_semi"), H.closure(_tree(t), "node", "parent"))
 
 
 @query(f"""WITH {_TAX} SELECT c_custkey, 'k__' || r_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '; p__' || n_name END

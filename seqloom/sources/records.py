@@ -1,9 +1,9 @@
 """Readers of record files (FASTA, FASTQ, GenBank) as a Python data source.
 
 ``register(spark)`` makes the format ``records`` known:
-``spark.read.format("records").option("kind", "fasta").load(path)``. FASTA and FASTQ
-files are cut into ranges of ``split_bytes`` (128 MB), each a partition that reads the
-records that start in it; compressed files and GenBank are a partition each. Files are
+``spark.read.format("records").option("kind", "fasta").load(path)``. Files
+are cut into ranges of ``split_bytes`` (128 MB), each a partition that reads the
+records that start in it; compressed files are a partition each. Files are
 read line by line, so that their size doesn't matter. The option ``extensions`` (``fa,fasta``)
 leaves other files out.
 """
@@ -107,15 +107,20 @@ def _lines(stream, at: int, size: int = 1 << 20) -> Iterator[tuple[int, str]]:
         yield at, rest.decode("utf-8", "replace")
 
 
-def _fasta_range(lines: Iterator[tuple[int, str]], stop: int) -> Iterator[str]:
-    inside = False
-    for at, line in lines:
-        if line.startswith(">"):
-            if at >= stop:
-                return
-            inside = True
-        if inside:
-            yield line
+def _headed_range(head: str):
+    """Ranges of records that each begin with a line that starts with ``head``."""
+
+    def lines_of(lines: Iterator[tuple[int, str]], stop: int) -> Iterator[str]:
+        inside = False
+        for at, line in lines:
+            if line.startswith(head):
+                if at >= stop:
+                    return
+                inside = True
+            if inside:
+                yield line
+
+    return lines_of
 
 
 def _fastq_range(lines: Iterator[tuple[int, str]], stop: int) -> Iterator[str]:
@@ -209,4 +214,4 @@ def _closed(feature: list) -> tuple:
 
 
 PARSERS = {"fasta": fasta, "fastq": fastq, "genbank": genbank}
-STARTS = {"fasta": _fasta_range, "fastq": _fastq_range}
+STARTS = {"fasta": _headed_range(">"), "fastq": _fastq_range, "genbank": _headed_range("LOCUS")}

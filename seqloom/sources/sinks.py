@@ -43,6 +43,12 @@ def region_sequences(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     return joined.withColumn("seq", F.when(F.col("strand") < 0, reverse_complement(part)).otherwise(part))
 
 
+def sequences_and_missing(regions: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(regions with their sequences; regions whose contig isn't there)."""
+    missing = regions.join(contigs.select(F.col("id").alias("contig")), "contig", "left_anti")
+    return region_sequences(regions, contigs), missing
+
+
 def inserted(new: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Rows to append: one of each key that isn't present yet."""
     return new.dropDuplicates(keys).join(present.select(*keys), keys, "left_anti")

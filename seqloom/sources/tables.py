@@ -120,11 +120,15 @@ def depth(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, _DEPTH)
 
 
+#: Dictionaries in either quotes, with an apostrophe in double quotes or behind a backslash.
+_LITERAL = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+
+
 def checkm(spark: SparkSession, path: str) -> DataFrame:
     """(name, values map<string,string>) of lines ``name<TAB>{'k': v}``."""
     f = F.split(F.col("value"), "\t", 2)
     return spark.read.text(path).filter(F.size(f) == 2).select(
-        F.get(f, 0).alias("name"), F.from_json(F.replace(F.get(f, 1), F.lit("'"), F.lit('"')), "map<string,string>").alias("values")
+        F.get(f, 0).alias("name"), F.from_json(F.get(f, 1), "map<string,string>", _LITERAL).alias("values")
     )
 
 
@@ -190,10 +194,13 @@ def interpro(spark: SparkSession, path: str) -> DataFrame:
     """(query, length, source, subject, start, end, score, terms) of each scored hit before a ``##FASTA`` line.
 
     A polypeptide row gives its query's length; a hit of a query without such a row is left out.
+    Files are read in ranges of bytes: a line's place is its range and its number therein.
     """
-    whole = spark.read.text(path, wholetext=True)
-    table = F.split(F.element_at(F.split(F.col("value"), "(?m)^##FASTA"), 1), "\n")
-    lines = whole.select(F.explode(table).alias("line")).filter(~F.col("line").startswith("#") & (F.col("line") != ""))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), F.col("value").alias("line"))
+    ends = text.filter(F.col("line").startswith("##FASTA")).groupBy(F.col("file").alias("in")).agg(F.min("at").alias("end"))
+    lines = text.filter(~F.col("line").startswith("#") & (F.col("line") != "")).join(ends, F.col("file") == F.col("in"), "left")
+    lines = lines.filter(F.col("end").isNull() | (F.col("at") < F.col("end")))
     f = F.split("line", "\t")
     at = lambda i, kind="string": F.get(f, i).try_cast(kind)
     rows = lines.select(
@@ -272,6 +279,21 @@ def hmm_hits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get(f, 0).alias("name"), F.get(f, 2).alias("query"))
 
 
+def tree_places(spark: SparkSession, path: str) -> DataFrame:
+    """(name, markers, duplicated, taxonomy) of a table of a tree's genomes with a header."""
+    return _tsv(spark, path, "name string, markers int, duplicated int, taxonomy string", header=True)
+
+
+def reference_places(spark: SparkSession, path: str) -> DataFrame:
+    """(name, taxonomy) of a tree's reference genomes."""
+    return _tsv(spark, path, "name string, taxonomy string")
+
+
+def cluster_list(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster) of a list of clusters, a line each; empty lines are left out."""
+    return spark.read.text(path).filter("value <> ''").select(F.col("value").alias("cluster"))
+
+
 def contig_bins(spark: SparkSession, path: str) -> DataFrame:
     """(contig, bin) of a comma-separated clustering."""
     return spark.read.csv(path, schema="contig string, bin string")

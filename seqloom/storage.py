@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where none is named (tests on one machine) a local one is made and set.
+    Where none is named, a local folder is made and set if all runs on one machine (tests);
+    on a cluster each executor would write to its own disk: an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "seqloom.scratch.dir", None
     )
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("seqloom.scratch.dir", named)
     if not spark.sparkContext.getCheckpointDir():

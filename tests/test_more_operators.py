@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as Q, text as X
-from seqloom.operators import aggregates as A, domain as D, genomes as N, graph as G, joins as J, reports as P, taxonomy as T, windows as W
+from seqloom.operators import aggregates as A, covers as C, domain as D, genomes as N, graph as G, hierarchy as H, intervals as I, joins as J, reports as P, taxonomy as T, windows as W
 from seqloom.sources import records, tables as S
 
 
@@ -35,7 +35,7 @@ def test_fuzzy_and_mismatch_kmers(spark):
 def test_interval_tiers_are_those_of_the_greedy_rule(spark):
     draw = np.random.default_rng(2)
     spans = [(k, int(s), int(s + draw.integers(1, 30)), i) for i, (k, s) in enumerate(zip(draw.integers(0, 3, 300), draw.integers(0, 400, 300).astype(int)))]
-    got = {r.id: r.tier for r in G.interval_tiers(spark.createDataFrame([(int(k), s, e, i) for k, s, e, i in spans], "k int, s int, e int, id int"), "k", "s", "e", "id").collect()}
+    got = {r.id: r.tier for r in I.interval_tiers(spark.createDataFrame([(int(k), s, e, i) for k, s, e, i in spans], "k int, s int, e int, id int"), "k", "s", "e", "id").collect()}
     for key in range(3):
         tiers: list[list] = []
         for _, s, e, i in sorted((x for x in spans if x[0] == key), key=lambda x: (x[1] - x[2], x[3])):
@@ -55,10 +55,10 @@ def test_pruned_trees(spark):
         name = {(r.tree, r.node): r.name for r in df.collect()}
         return sorted((r.tree, r.name, r.length, name.get((r.tree, r.parent))) for r in df.collect() if r.parent is not None)
 
-    assert named(G.pruned(nodes, drop, remove=True)) == [
+    assert named(H.pruned(nodes, drop, remove=True)) == [
         (1, "a", 4.0, "r"), (1, "c", 4.0, "y"), (1, "d", 5.0, "y"), (1, "e", 7.0, "r"), (1, "y", 6.0, "r"), (2, "a", 2.0, ""), (2, "w", 2.0, "")
     ]
-    assert named(G.pruned(nodes, pattern="[ab]$|e")) == [(1, "a", 1.0, "x"), (1, "b", 2.0, "x"), (1, "e", 7.0, "r"), (1, "x", 3.0, "r"), (2, "a", 2.0, "")]
+    assert named(H.pruned(nodes, pattern="[ab]$|e")) == [(1, "a", 1.0, "x"), (1, "b", 2.0, "x"), (1, "e", 7.0, "r"), (1, "x", 3.0, "r"), (2, "a", 2.0, "")]
 
 
 def test_leaf_orders_and_cut(spark):
@@ -85,7 +85,7 @@ def test_near_equal_sets_even_without_a_shared_item(spark):
 def test_greedy_cover_and_curves(spark):
     genomes = {"g1": "abc", "g2": "cd", "g3": "a"}
     df = spark.createDataFrame([(i, g) for g, s in genomes.items() for i in s], "item string, genome string")
-    assert rows(D.greedy_cover(df, "item", "genome"), "place", "genome", "new", "total") == [(1, "g1", 3, 3), (2, "g2", 1, 4)]
+    assert rows(C.greedy_cover(df, "item", "genome"), "place", "genome", "new", "total") == [(1, "g1", 3, 3), (2, "g2", 1, 4)]
     bands = P.curve_bands(W.curve(df, "item", "genome", 50, 1))
     assert rows(bands.filter("place = 3"), "mean", "sd") == [(4.0, 0.0)]
     core = W.core_curve(df, "item", "genome", 20, 1).filter("place = 3")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import aggregates as A, graph as G, joins as J, windows as W
+from seqloom.operators import aggregates as A, graph as G, hierarchy as H, intervals as I, joins as J, windows as W
 
 
 def rows(df, *columns):
@@ -76,7 +76,7 @@ def test_windows(spark):
 
 def test_graphs(spark):
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a")], "n string, p string")
-    closure = G.closure(nodes, "n", "p")
+    closure = H.closure(nodes, "n", "p")
     assert rows(closure.filter("node = 'c'"), "ancestor", "depth") == [("a", 2), ("b", 1), ("c", 0)]
     pair = spark.createDataFrame([("c", "d")], "a string, b string")
     assert G.common_ancestors(pair, closure).first().lca == "a"
@@ -88,4 +88,4 @@ def test_graphs(spark):
     names = {r.name: r.length for r in G.newick_nodes(tree).collect()}
     assert {"a", "b", "c"} <= set(names)
     i = spark.createDataFrame([("k", 0, 10, 1), ("k", 5, 8, 2), ("k", 10, 12, 3)], "k string, s int, e int, id int")
-    assert {r.id: r.tier for r in G.interval_tiers(i, "k", "s", "e", "id").collect()} == {1: 0, 2: 1, 3: 0}
+    assert {r.id: r.tier for r in I.interval_tiers(i, "k", "s", "e", "id").collect()} == {1: 0, 2: 1, 3: 0}
