@@ -89,7 +89,7 @@ def shard(
 
     size is the text's UTF-8 bytes plus 1 (1 for a null text); slot numbers a shard's
     rows from 0 without gaps. Equal texts (and all null texts) share a shard, unless
-    together they are larger than a shard. text_crc32 of a null text is that of the
+    together they are larger than a shard: then rows are dealt out one by one. text_crc32 of a null text is that of the
     empty one. Rows that repeat an id are rows like others; other columns are
     ignored, so their names can't clash; an empty table gives an empty result.
     """
@@ -101,7 +101,8 @@ def shard(
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("crc"),
             F.when(F.col(text_col).isNotNull(), F.unhex(F.md5(text))).otherwise(F.lit(b"")).alias("text_key"),
-            F.pmod(F.xxhash64(id_col, text), F.lit(1 << 20)).cast("int").alias("spread"),
+            # rows that repeat an id and a text are spread too: each has a number, stored with it
+            F.pmod(F.xxhash64(F.monotonically_increasing_id(), id_col, text), F.lit(1 << 20)).cast("int").alias("spread"),
         ),
         "shard-rows",
     )

@@ -78,7 +78,8 @@ MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.host_rules(_table(spark, sf_dir, "documents")).drop("host_rate")
+    rules = host_rules.host_rules(_table(spark, sf_dir, "documents"))
+    return rules.withColumn("host_rate", F.round("host_rate", 9))
 
 
 def op7_bin_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +288,7 @@ q AS (
   SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS weight FROM p),
 r AS (SELECT source, (k + m * weight) / (n + weight) AS host_rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(host_rate <= 0.5, TRUE) AS kept
+       NOT base_failed AND coalesce(host_rate <= 0.5, TRUE) AS kept, round(host_rate, 9) AS host_rate
 FROM f LEFT JOIN r USING (source)""",
     "op11_spelling_variants": r"""
 WITH RECURSIVE t AS (
