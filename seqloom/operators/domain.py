@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.sequences import kmers
-from seqloom.storage import cut
+from seqloom.storage import cut, stored
 
 #: Comparators by their signs (fixed values).
 COMPARATORS = {
@@ -207,6 +207,13 @@ def repeated_k_means(df: DataFrame, key: str, columns: list[str], k: int = 2, ru
     return scaled.select(F.col("key").alias(key), clusters([sorted(run) for run in centres]).alias("clusters"))
 
 
+def two_means(df: DataFrame, columns: list[str], seed: int = 1, k: int = 2) -> DataFrame:
+    """Rows with ``cluster`` by one run of k-means on scaled columns; null for rows with a null."""
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "k-means-rows")
+    found = repeated_k_means(rows, "__row", columns, k, runs=1, rounds=20, seed=seed)
+    return rows.join(found, "__row", "left").withColumn("cluster", F.get("clusters", 0)).drop("__row", "clusters")
+
+
 def mean_cluster(assigned: DataFrame, key: str) -> DataFrame:
     """(key, mean): the mean number of a row's cluster over all runs."""
     total = F.aggregate("clusters", F.lit(0), lambda s, c: s + c)
@@ -218,7 +225,7 @@ def co_assigned(assigned: DataFrame, pairs: DataFrame, key: str, a: str, b: str)
     of = lambda side, out: assigned.select(F.col(key).alias(side), F.col("clusters").alias(out))
     joined = pairs.join(of(a, "__x"), a).join(of(b, "__y"), b)
     same = F.filter(F.zip_with("__x", "__y", lambda x, y: x == y), lambda s: s)
-    return joined.withColumn("share", F.size(same) / F.size("__x")).drop("__x", "__y")
+    return joined.select(*pairs.columns, (F.size(same) / F.size("__x")).alias("share"))
 
 
 def aligned_columns(df: DataFrame, by: str, seq: str, max_gaps: float, gaps: tuple[str, ...] = ("-", "N")) -> DataFrame:

@@ -125,27 +125,32 @@ def least_distances(df: DataFrame, key: str, seq: str, length: int) -> DataFrame
     places, which agree in one of the parts that such a string is cut into; only rows that found
     none ask again. What agrees nowhere with any other row is ``length`` apart.
     """
-    groups = cut(df.groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("k"), F.count("*").alias("n")))
+    groups = cut(df.groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("__k"), F.count("*").alias("__n")))
     if groups.limit(2).count() < 2:
-        alone = F.when(F.col("n") > 1, 0).cast("int")
-        return df.join(groups, df[seq] == groups["s"]).select(key, alone.alias("distance"))
-    found = groups.filter("n > 1").select("k", F.lit(0).alias("distance"))
-    open_ = groups.filter("n = 1")
+        alone = F.when(F.col("__n") > 1, 0).cast("int")
+        return df.join(groups.withColumnRenamed("s", "__s"), F.col(seq) == F.col("__s")).select(key, alone.alias("distance"))
+    found = groups.filter("__n > 1").select("__k", F.lit(0).alias("distance"))
+    open_ = groups.filter("__n = 1")
     most = 1
     while most < length:
         cuts = [length * i // (most + 1) for i in range(most + 2)]
         parts = F.array(*[F.substring("s", a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
-        side = lambda rows, name: rows.select(F.posexplode(parts).alias("part", "value"), F.struct("k", "s").alias(name))
-        met = side(open_, "x").join(side(groups, "y"), ["part", "value"]).filter(F.col("x.k") != F.col("y.k"))
-        near = met.select(F.col("x.k").alias("k"), hamming(F.col("x.s"), F.col("y.s")).alias("d")).filter(F.col("d") <= most)
-        new = cut(near.groupBy("k").agg(F.min("d").alias("distance")))
+        side = lambda rows, name: rows.select(F.posexplode(parts).alias("part", "value"), F.struct("__k", "s").alias(name))
+        met = side(open_, "x").join(side(groups, "y"), ["part", "value"]).filter(F.col("x.__k") != F.col("y.__k"))
+        near = met.select(F.col("x.__k").alias("__k"), hamming(F.col("x.s"), F.col("y.s")).alias("d")).filter(F.col("d") <= most)
+        new = cut(near.groupBy("__k").agg(F.min("d").alias("distance")))
         found = found.unionByName(new)
-        open_ = cut(open_.join(new, "k", "left_anti"))
+        open_ = cut(open_.join(new, "__k", "left_anti"))
         if open_.isEmpty():
             break
         most = min(2 * most + 1, length - 1) if most < length - 1 else length
-    found = found.unionByName(open_.select("k", F.lit(length).alias("distance")))
-    return df.join(groups.select(F.col("s").alias(seq), "k").join(found, "k"), seq).select(key, "distance")
+    found = found.unionByName(open_.select("__k", F.lit(length).alias("distance")))
+    return df.join(groups.select(F.col("s").alias(seq), "__k").join(found, "__k"), seq).select(key, "distance")
+
+
+def least_distance(df: DataFrame, key: str, seq: str, length: int) -> int | None:
+    """The least distance of two rows' strings; None for fewer than two rows."""
+    return least_distances(df, key, seq, length).agg(F.min("distance")).first()[0]
 
 
 def near_groups(df: DataFrame, key: str, seq: str, length: int, most: int) -> DataFrame:
