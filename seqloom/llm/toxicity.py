@@ -32,6 +32,8 @@ DIM = 4
 #: Lengths of n-grams.
 SHORTEST, LONGEST = 3, 6
 PAD = 20.0
+#: What the empty text of a step counts.
+EMPTY = 0.2
 #: Words whose scores a task keeps.
 CACHED = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,8 +132,8 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"df": [df.astype("<i4").tobytes()]})
 
 
-def _trained(part, model: Model, used: np.ndarray, rate: float, seed: int, positive: float, passes: int = 3, size: int = 32):
-    """The model after some passes over a part, and which buckets they changed."""
+def _trained(part, model: Model, used: np.ndarray, rate: float, seed: int, positive: float, steps: int, size: int = 32):
+    """The model after some steps over a part's rows, in ever new orders, and which buckets they changed."""
     labels, sizes = np.frombuffer(part.labels, "<i4"), np.frombuffer(part.sizes, "<i4")
     buckets, shares = np.frombuffer(part.buckets, "<i4"), np.frombuffer(part.shares, "<f4")
     stops = np.cumsum(sizes)
@@ -140,19 +142,21 @@ def _trained(part, model: Model, used: np.ndarray, rate: float, seed: int, posit
     seen, seen_w, seen_b = np.full(BUCKETS, 1e-8), np.full(weights.shape, 1e-8), np.full(2, 1e-8)
     changed = np.zeros(BUCKETS, bool)
     draw = np.random.default_rng(seed)
-    orders = [draw.permutation(len(labels)) for _ in range(passes)]
-    for rows in [order[i : i + size] for order in orders for i in range(0, len(order), size)]:
+    order = np.concatenate([draw.permutation(len(labels)) for _ in range(-(-steps * size // len(labels)))])
+    for rows in [order[i * size : (i + 1) * size] for i in range(steps)]:
         at = np.concatenate([buckets[starts[r] : stops[r]] for r in rows])
         share = np.concatenate([shares[starts[r] : stops[r]] for r in rows])
         owner = np.repeat(np.arange(len(rows)), sizes[rows])
         held = used[at]
         at, share, owner = at[held], share[held], owner[held]
-        mean = np.stack([np.bincount(owner, table[at, k] * share, len(rows)) for k in range(DIM)], 1)
+        label = np.append(labels[rows], 0)  # a text without words, last, is of label 0
+        mean = np.stack([np.bincount(owner, table[at, k] * share, len(label)) for k in range(DIM)], 1)
         z = mean @ weights + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(rows)), labels[rows]] -= 1
-        p *= np.where(labels[rows] == 1, positive, 1.0)[:, None] / len(rows)
+        p[np.arange(len(label)), label] -= 1
+        p *= np.where(label == 1, positive, 1.0)[:, None] / len(rows)
+        p[-1] *= EMPTY
         back = p @ weights.T
         some, place = np.unique(at, return_inverse=True)
         slope = np.stack([np.bincount(place, back[owner, k] * share, len(some)) for k in range(DIM)], 1)
@@ -167,11 +171,11 @@ def _trained(part, model: Model, used: np.ndarray, rate: float, seed: int, posit
     return Model(table, weights, bias), changed
 
 
-def _round(shared, used, rate: float, seed: int, positive: float):
+def _round(shared, used, rate: float, seed: int, positive: float, steps: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in batch.itertuples():
-                new, changed = _trained(part, shared.value, used.value, rate, seed + int(part.part), positive)
+                new, changed = _trained(part, shared.value, used.value, rate, seed + int(part.part), positive, steps)
                 yield pd.DataFrame(
                     {
                         "at": [np.flatnonzero(changed).astype("<i4").tobytes()],
@@ -193,8 +197,9 @@ def train(
     max_rows: int = 8_000,
     parts: int = 8,
     min_df: int = 20,
-    rounds: int = 4,
-    rate: float = 0.3,
+    rounds: int = 12,
+    steps: int = 30,
+    rate: float = 1.0,
     positive: float = 2.5,
     seed: int = 7,
 ) -> Model:
@@ -203,7 +208,8 @@ def train(
     Of each label the rows with the least hash of their id are taken. Held-out ids, null
     ids and labels other than 0 and 1 are left out; an id labelled twice has its
     greater label, one with several texts is learned from the least of them. Buckets found in fewer
-    than ``min_df`` sample texts stay 0. Rows of label 1 count ``positive`` times. Without any
+    than ``min_df`` sample texts stay 0. In each round a part takes ``steps`` steps of 32 rows and
+    an empty text of label 0. Rows of label 1 count ``positive`` times. Without any
     labelled text every score is 0.5.
     """
     session = docs.sparkSession
@@ -230,7 +236,7 @@ def train(
     for number in range(rounds):
         shared = session.sparkContext.broadcast(model)
         found = data.mapInPandas(
-            _round(shared, used, rate, seed + 1000 * number, positive), "at binary, rows binary, softmax binary"
+            _round(shared, used, rate, seed + 1000 * number, positive, steps), "at binary, rows binary, softmax binary"
         )
         model = _averaged(model, found.collect())
         shared.destroy()
