@@ -194,16 +194,17 @@ def copies_of_own_genomes(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT l_orderkey AS gene, min(l_suppkey) AS contig, min(l_linenumber) AS s FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey AS gene, o_orderpriority AS term FROM orders)
-SELECT 'found' AS kind, count(*) AS n FROM a JOIN f USING (gene) WHERE contig % 2 = 0 UNION ALL SELECT 'no feature', count(*) FROM a WHERE gene NOT IN (SELECT gene FROM f)
-UNION ALL SELECT 'no contig', count(*) FROM a JOIN f USING (gene) WHERE contig % 2 <> 0""")
+SELECT 'found' AS kind, gene, contig, reverse(translate(substr('ACGTACGTACGTACGT', s + 1, 3), 'ACGT', 'TGCA')) AS seq FROM a JOIN f USING (gene) WHERE contig % 2 = 0 UNION ALL SELECT 'no feature', gene, NULL, NULL FROM a WHERE gene NOT IN (SELECT gene FROM f)
+UNION ALL SELECT 'no contig', gene, contig, NULL FROM a JOIN f USING (gene) WHERE contig % 2 <> 0""")
 def chained_region_report(t: Tables) -> DataFrame:
     features = t.lineitem.groupBy(key("l_orderkey").alias("gene")).agg(
         F.min("l_suppkey").alias("contig"), F.min("l_linenumber").alias("start"), (F.min("l_linenumber") + 3).alias("end"), F.lit(-1).alias("strand")
     )
     contigs = t.supplier.filter("s_suppkey % 2 = 0").select(key("s_suppkey").alias("contig"), F.lit("ACGTACGTACGTACGT").alias("seq"))
     parts = P.chained_regions(t.orders.select(key("o_orderkey").alias("gene"), key("o_orderpriority").alias("term")), features, contigs)
-    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count(parts[0].filter("length(seq) = 3"), "found").union(count(parts[1], "no feature")).union(count(parts[2], "no contig"))
+    kinds = zip(("found", "no feature", "no contig"), parts)
+    found, no_feature, no_contig = [df.withColumn("kind", F.lit(kind)).drop("term") for kind, df in kinds]
+    return found.unionByName(no_feature, allowMissingColumns=True).unionByName(no_contig, allowMissingColumns=True)
 
 
 @query("""SELECT l_suppkey AS contig, c_nationkey AS taxid, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20 GROUP BY 1, 2""")

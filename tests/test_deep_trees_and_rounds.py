@@ -212,3 +212,15 @@ def test_interpro_files_cut_at_every_size(spark, tmp_path):
 def test_apostrophes_in_values(spark, tmp_path):
     (tmp_path / "c").write_text("g1\t{'a': 'x', 'b': \"it's\", 'n': 3}\n")
     assert Counter(S.checkm(spark, str(tmp_path / "c")).first()["values"]) == {"a": "x", "b": "it's", "n": "3"}
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    from types import SimpleNamespace as Made
+
+    from seqloom.storage import checkpoint_dir
+
+    unset = Made(get=lambda *_: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        session = Made(conf=unset, sparkContext=Made(getConf=lambda: unset, master=master))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(session)
