@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def in_file_order(df: DataFrame, out: str) -> DataFrame:
+    """A table read from files with ``out``: each row's place in them, which settles what an order leaves open."""
+    return df.withColumn(out, F.struct("_metadata.file_path", "_metadata.row_index"))
+
+
+def ordered_mean(order: Column, value: Column) -> Column:
+    """A group's mean, its doubles summed in the order of ``order``; nulls don't count.
+
+    Sums of doubles depend on their order in the last digit, which decides at a limit.
+    """
+    held = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.cast("double").alias("x")))))
+    return F.try_divide(F.aggregate(held, F.lit(0.0), lambda total, r: total + r["x"]), F.size(held))
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Ranks with ties averaged, as doubles."""
     w = Window.partitionBy(*by)

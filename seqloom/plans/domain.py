@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.operators import covers as C, domain as D, graph as G, intervals as I
+from seqloom.operators import aggregates as A, covers as C, domain as D, graph as G, intervals as I
 
 from .registry import Tables, query
 
@@ -110,8 +110,8 @@ u AS (SELECT amp, count(*) FILTER (k = 1) AS n_unique, sum(CASE WHEN k > 1 THEN
 SELECT amp, n_unique, n_duplicated, n_ambiguous FROM v JOIN u USING (amp)""")
 def amplicon_statistics(t: Tables) -> DataFrame:
     seq = F.concat("l_linestatus", F.when(F.col("l_quantity") > 49, "N").otherwise(""))
-    one = t.lineitem.groupBy(F.col("l_partkey").cast("string").alias("amp"), F.col("l_returnflag").alias("g")).agg(
-        F.min_by(seq, F.struct("l_orderkey", "l_linenumber")).alias("s")
+    one = A.in_file_order(t.lineitem, "at").groupBy(F.col("l_partkey").cast("string").alias("amp"), F.col("l_returnflag").alias("g")).agg(
+        F.min_by(seq, F.struct("l_orderkey", "l_linenumber", "at")).alias("s")
     )
     return D.valid_amplicons(one, "amp", "g", "s", one)
 
