@@ -19,8 +19,9 @@ def comparator_thresholds(t: Tables) -> DataFrame:
 k AS (SELECT CASE WHEN c < 30 THEN 'junk' WHEN c >= 80 THEN CASE WHEN x / c <= 0.15 THEN 'quality' WHEN x / c >= 0.75 THEN 'sibling' ELSE 'contaminated' END
   WHEN x / c <= 0.15 THEN 'incomplete' ELSE 'junk' END AS class FROM r) SELECT class, count(*) AS n FROM k GROUP BY 1""")
 def bin_class_counts(t: Tables) -> DataFrame:
-    joined = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    rows = joined.groupBy("o_orderkey").agg((100 * F.avg(F.col("l_tax") * 12)).alias("c"), (100 * F.avg(F.col("l_discount") * 4)).alias("x"))
+    joined = t.orders.join(A.in_file_order(t.lineitem, "at"), F.col("o_orderkey") == F.col("l_orderkey"))
+    mean = lambda x: 100 * A.ordered_mean(F.col("at"), x)
+    rows = joined.groupBy("o_orderkey").agg(mean(F.col("l_tax") * 12).alias("c"), mean(F.col("l_discount") * 4).alias("x"))
     return rows.groupBy(D.bin_class(F.col("c"), F.col("x")).alias("class")).agg(F.count("*").alias("n"))
 
 
