@@ -254,8 +254,9 @@ def json_params_extract(t: Tables) -> DataFrame:
 SELECT o_orderkey, CASE WHEN complete < 30 THEN 'junk' WHEN complete >= 80 THEN CASE WHEN contam / complete <= 0.15 THEN 'quality' WHEN contam / complete >= 0.75 THEN 'sibling' ELSE 'contaminated' END
   ELSE CASE WHEN contam / complete <= 0.15 THEN 'incomplete' ELSE 'junk' END END AS class FROM r""")
 def case_quality_class(t: Tables) -> DataFrame:
-    joined = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    r = joined.groupBy("o_orderkey").agg((100 * F.avg(F.col("l_tax") * 12)).alias("complete"), (100 * F.avg(F.col("l_discount") * 4)).alias("contam"))
+    joined = t.orders.join(A.in_file_order(t.lineitem, "at"), F.col("o_orderkey") == F.col("l_orderkey"))
+    mean = lambda x: 100 * A.ordered_mean(F.col("at"), x)
+    r = joined.groupBy("o_orderkey").agg(mean(F.col("l_tax") * 12).alias("complete"), mean(F.col("l_discount") * 4).alias("contam"))
     return r.select("o_orderkey", D.bin_class(F.col("complete"), F.col("contam")).alias("class"))
 
 
