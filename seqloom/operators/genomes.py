@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqloom.functions.sequences import gc_content, hamming
+from seqloom.functions.sequences import gc_content
 from seqloom.storage import cut, in_small_groups
+from .blocks import block_pairs, number_of_blocks, of_block
 from .graph import components
 from .joins import divided, point_in_interval, range_join
 
@@ -96,20 +98,69 @@ def ambiguous_runs(df: DataFrame, by: str, at: str, letter: str, min_length: int
     return found.select(by, F.col(at).alias("first"), last.alias("last")).filter(F.col("last") - F.col("first") + 1 >= min_length)
 
 
+def _planes(strings: pd.Series) -> Callable[[pd.Series], np.ndarray]:
+    """A function that packs strings of the letters in ``strings``: rows x bits of a letter x longs."""
+    letters = sorted(set().union(*strings))
+    code = {c: i for i, c in enumerate(letters)}
+    bits = max(1, (len(letters) - 1).bit_length())
+    table = {ord(c): chr(i) for c, i in code.items()}
+
+    def pack(some: pd.Series) -> np.ndarray:
+        text = [s.translate(table) for s in some]
+        codes = np.array([np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in text], np.uint32)
+        codes = np.pad(codes, [(0, 0), (0, -codes.shape[1] % 64)])
+        planes = [np.packbits((codes >> b & 1).astype(np.uint8), axis=1).view(np.uint64) for b in range(bits)]
+        return np.stack(planes, axis=1)
+
+    return pack
+
+
+def _differing(rows: pd.DataFrame, width: int = 128):
+    """(keys of a strip of block i, keys of block j, matrix of how many places differ, places of a string)."""
+    x, y = of_block(rows, "i"), of_block(rows, "j")
+    if not (len(x) and len(y)):
+        return
+    pack = _planes(rows["s"])
+    px, py = pack(x["s"]), pack(y["s"])
+    kx, ky = x["k"].to_numpy(), y["k"].to_numpy()
+    for at in range(0, len(kx), width):
+        some = px[at : at + width]
+        d = np.zeros((len(some), len(py)), np.uint16)
+        for word in range(py.shape[2]):
+            apart = some[:, None, 0, word] ^ py[None, :, 0, word]
+            for b in range(1, py.shape[1]):
+                apart |= some[:, None, b, word] ^ py[None, :, b, word]
+            d += np.bitwise_count(apart)
+        yield kx[at : at + width], ky, d
+
+
+def _dealt(one: DataFrame) -> tuple[int, Column]:
+    n = number_of_blocks(one.count())
+    return n, F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+
+
 def near_pairs(df: DataFrame, key: str, seq: str, length: int, most: int) -> DataFrame:
     """(a, b, distance): pairs of distinct strings of ``length`` letters that differ in at most ``most`` places.
 
     a and b are the least keys of equal strings (see same_strings() for the others).
-    Two strings within ``most`` agree in one of most + 1 parts; they meet on it.
+    All strings are compared, block by block, as packed bits: parts that near strings
+    agree in are too short here to set many apart.
     """
-    one = df.groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("k"))
-    cuts = [length * i // (most + 1) for i in range(most + 2)]
-    parts = F.array(*[F.substring("s", a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
-    keyed = one.select("k", "s", F.posexplode(parts).alias("part", "value"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.k") < F.col("y.k")))
-    pairs = met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), hamming(F.col("x.s"), F.col("y.s")).alias("distance"))
-    return pairs.filter(F.col("distance") <= most).distinct()
+    one = cut(df.groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("k")).filter("s IS NOT NULL"))
+    kind = dict(one.dtypes)["k"]
+
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        for kx, ky, d in _differing(rows):
+            p, q = np.nonzero(d <= most)
+            if same:
+                later = kx[p] < ky[q]
+                p, q = p[later], q[later]
+            a, b = kx[p], ky[q]
+            swap = a > b
+            yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "distance": d[p, q].astype(int)})
+
+    return block_pairs(one, *_dealt(one), run, f"a {kind}, b {kind}, distance int")
 
 
 def same_strings(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -121,31 +172,29 @@ def same_strings(df: DataFrame, key: str, seq: str) -> DataFrame:
 def least_distances(df: DataFrame, key: str, seq: str, length: int) -> DataFrame:
     """(key, distance): how many places set each row apart from the row most like it; null for a single row.
 
-    Strings have ``length`` letters. Equal strings are 0 apart. The others ask for rows within 1, 3, 7, ...
-    places, which agree in one of the parts that such a string is cut into; only rows that found
-    none ask again. What agrees nowhere with any other row is ``length`` apart.
+    Strings have ``length`` letters. Equal strings are 0 apart; all others are compared, block by
+    block, and each block names a row's least distance in it.
     """
-    groups = cut(df.groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("__k"), F.count("*").alias("__n")))
-    if groups.limit(2).count() < 2:
-        alone = F.when(F.col("__n") > 1, 0).cast("int")
-        return df.join(groups.withColumnRenamed("s", "__s"), F.col(seq) == F.col("__s")).select(key, alone.alias("distance"))
-    found = groups.filter("__n > 1").select("__k", F.lit(0).alias("distance"))
-    open_ = groups.filter("__n = 1")
-    most = 1
-    while most < length:
-        cuts = [length * i // (most + 1) for i in range(most + 2)]
-        parts = F.array(*[F.substring("s", a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
-        side = lambda rows, name: rows.select(F.posexplode(parts).alias("part", "value"), F.struct("__k", "s").alias(name))
-        met = side(open_, "x").join(side(groups, "y"), ["part", "value"]).filter(F.col("x.__k") != F.col("y.__k"))
-        near = met.select(F.col("x.__k").alias("__k"), hamming(F.col("x.s"), F.col("y.s")).alias("d")).filter(F.col("d") <= most)
-        new = cut(near.groupBy("__k").agg(F.min("d").alias("distance")))
-        found = found.unionByName(new)
-        open_ = cut(open_.join(new, "__k", "left_anti"))
-        if open_.isEmpty():
-            break
-        most = min(2 * most + 1, length - 1) if most < length - 1 else length
-    found = found.unionByName(open_.select("__k", F.lit(length).alias("distance")))
-    return df.join(groups.select(F.col("s").alias(seq), "__k").join(found, "__k"), seq).select(key, "distance")
+    groups = cut(df.groupBy(F.col(seq).alias("s")).agg(F.min(key).alias("k"), F.count("*").alias("n")).filter("s IS NOT NULL"))
+    kind = dict(groups.dtypes)["k"]
+
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        none = np.iinfo(np.uint16).max
+        below, other = None, None
+        for kx, ky, d in _differing(rows):
+            if same:
+                d[kx[:, None] == ky[None, :]] = none
+            yield pd.DataFrame({"k": kx, "distance": d.min(axis=1).astype(int)})
+            other = ky
+            below = d.min(axis=0) if below is None else np.minimum(below, d.min(axis=0))
+        if other is not None and not same:
+            yield pd.DataFrame({"k": other, "distance": below.astype(int)})
+
+    met = block_pairs(groups.select("k", "s"), *_dealt(groups), run, f"k {kind}, distance int")
+    each = met.filter(F.col("distance") < int(np.iinfo(np.uint16).max)).groupBy("k").agg(F.min("distance").alias("d"))
+    known = groups.join(each, "k", "left").select(F.col("s").alias("__s"), F.when(F.col("n") > 1, 0).otherwise(F.col("d")).cast("int").alias("distance"))
+    return df.join(known, F.col(seq) == F.col("__s")).select(key, "distance")
 
 
 def least_distance(df: DataFrame, key: str, seq: str, length: int) -> int | None:
