@@ -138,15 +138,10 @@ def blast_xml_hits(t: Tables) -> DataFrame:
         tag("Hsp_midline", _say(F.repeat(F.lit("|"), line), "..")), "</Hsp>",
     )
     hit = _say("<Hit>", tag("Hit_def", _say("s", key("l_partkey"))), tag("Hit_len", F.lit(100)), "<Hit_hsps>", pair, "</Hit_hsps></Hit>")
-    rows = t.lineitem.select(
-        key("l_orderkey"),
-        _say("<Iteration>", tag("Iteration_query-def", _say("q", key("l_orderkey"))), tag("Iteration_query-len", F.lit(50)), "<Iteration_hits>", hit, "</Iteration_hits></Iteration>").alias("value")
-    )
-    # a file has one root
-    reports = rows.groupBy(key("l_orderkey") % 8).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
-    lines = reports.select(_say("<BlastOutput>\n", key("value"), "\n</BlastOutput>").alias("value"))
+    iteration = _say("<Iteration>", tag("Iteration_query-def", _say("q", key("l_orderkey"))), tag("Iteration_query-len", F.lit(50)), "<Iteration_hits>", hit, "</Iteration_hits></Iteration>")
     path = _path(t, "blast-xml")
-    lines.write.option("maxRecordsPerFile", 1).text(path)
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    sinks.write_rooted(rows, iteration, "BlastOutput", path)
     hits = S.blast_xml(t.spark, path)
     kept = D.filtered_hits(hits, 0.05, 3, 1e-3, 0.5)
     return kept.select("query", "subject", "bitscore", "start", "end", "strand", "identity")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions.sequences import reverse_complement
@@ -27,6 +30,27 @@ def write_records(df: DataFrame, record: Column, path: str, by: str | None = Non
     writer.text(path)
 
 
+#: Records of an XML file, which is read by one task.
+MOST_RECORDS = 200_000
+
+
+def write_rooted(rows: DataFrame, record: Column, root: str, path: str) -> None:
+    """XML files of records, each with one root element; no more than a line is held.
+
+    Rows are dealt out to as many files as keep each small.
+    """
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda text: pa.record_batch([pa.array([text], pa.string())], ["value"])
+        yield line(f"<{root}>")
+        for batch in batches:
+            yield pa.record_batch([batch.column(0)], ["value"])
+        yield line(f"</{root}>")
+
+    dealt = rows.repartition(max(8, -(-rows.count() // MOST_RECORDS)))
+    dealt.select(record.alias("value")).mapInArrow(rooted, "value string").write.text(path)
+
+
 def selected_records(sequences: DataFrame, names: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(records named in ``names``, renamed by its column new_name if it has one; names not found)."""
     wanted = names.dropDuplicates([key])
