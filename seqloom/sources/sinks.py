@@ -61,15 +61,18 @@ def selected_records(sequences: DataFrame, names: DataFrame, key: str = "id") ->
 
 
 def region_sequences(regions: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Regions (contig, start, end: 0-based half-open, strand) with their sequences."""
-    joined = regions.join(contigs.select(F.col("id").alias("contig"), "seq"), "contig")
+    """Regions (contig, start, end: 0-based half-open, strand) with their sequences.
+
+    Sorted and merged: a table of few rows may hold long sequences, which a broadcast would bring to the driver.
+    """
+    joined = regions.join(contigs.select(F.col("id").alias("contig"), "seq").hint("merge"), "contig")
     part = F.substr(F.col("seq"), F.col("start") + 1, F.col("end") - F.col("start"))
     return joined.withColumn("seq", F.when(F.col("strand") < 0, reverse_complement(part)).otherwise(part))
 
 
 def sequences_and_missing(regions: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(regions with their sequences; regions whose contig isn't there)."""
-    missing = regions.join(contigs.select(F.col("id").alias("contig")), "contig", "left_anti")
+    missing = regions.join(contigs.select(F.col("id").alias("contig")).hint("merge"), "contig", "left_anti")
     return region_sequences(regions, contigs), missing
 
 
