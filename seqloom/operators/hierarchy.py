@@ -1,4 +1,8 @@
-"""Trees of any depth: every walk doubles its reach each round."""
+"""Trees of any depth: every walk doubles its reach each round.
+
+Joins with a round's table are sorted and merged by a hint: its files are small for their rows, so that
+Spark would take it for a table to broadcast and bring it to the driver.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +32,7 @@ def jumps(edges: DataFrame) -> list[DataFrame]:
         if 2 ** (len(steps) - 1) > most:
             raise ValueError("parents go in a circle")
         on = steps[-1].select(F.col("node").alias("__via"), F.col("to").alias("__to"))
-        steps.append(written(steps[-1].join(on, F.col("to") == F.col("__via")).select("node", F.col("__to").alias("to"))))
+        steps.append(written(steps[-1].join(on.hint("merge"), F.col("to") == F.col("__via")).select("node", F.col("__to").alias("to"))))
     return steps[:-1]
 
 
@@ -44,9 +48,9 @@ def closure(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     found = every.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     for k, step in enumerate(jumps(edges)):
         on = found.select(F.col("node").alias("__n"), "ancestor", "depth")
-        further = step.join(on, F.col("to") == F.col("__n")).select("node", "ancestor", (F.col("depth") + 2**k).alias("depth"))
+        further = step.join(on.hint("merge"), F.col("to") == F.col("__n")).select("node", "ancestor", (F.col("depth") + 2**k).alias("depth"))
         found = written(found.unionByName(further))
-    return own.join(found, "node").select("node", "ancestor", "depth")
+    return own.join(found.hint("merge"), "node").select("node", "ancestor", "depth")
 
 
 def _plus(a: str | Column, b: str | Column) -> Column:
@@ -57,7 +61,7 @@ def _plus(a: str | Column, b: str | Column) -> Column:
 def _taken_over(links: DataFrame) -> DataFrame:
     """Links that aren't done, moved on by what the link at their end has reached."""
     on = links.select(*[F.col(c).alias(f"__{c}") for c in links.columns])
-    moved = links.filter("NOT done").join(on, F.col("to") == F.col("__node")).select(
+    moved = links.filter("NOT done").join(on.hint("merge"), F.col("to") == F.col("__node")).select(
         "node", F.col("__to").alias("to"), F.col("__done").alias("done"),
         (F.col("steps") + F.col("__steps")).alias("steps"), _plus("length", "__length").alias("length"),
     )
@@ -88,11 +92,11 @@ def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """
     edges = _edges(nodes, node, parent)
     on = edges.select(F.col("node").alias("to"), F.lit(True).alias("__on")).distinct()
-    links = edges.join(on, "to", "left").select(
+    links = edges.join(on.hint("merge"), "to", "left").select(
         "node", "to", F.col("__on").isNull().alias("done"), F.lit(1).cast("long").alias("steps"), F.lit(0.0).alias("length")
     )
     below = ended(links).select("node", F.col("to").alias("root"), F.col("steps").alias("depth"))
-    tops = nodes.select(F.col(node).alias("node")).distinct().join(below.select("node"), "node", "left_anti")
+    tops = nodes.select(F.col(node).alias("node")).distinct().join(below.select("node").hint("merge"), "node", "left_anti")
     return below.unionByName(tops.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")))
 
 
@@ -119,7 +123,7 @@ def pruned(nodes: DataFrame, names: DataFrame | None = None, pattern: str | None
     key = F.concat(F.col("tree").cast("string"), F.lit(":"))
     rows = written(nodes.select("*", F.concat(key, "node").alias("__n"), F.when(F.col("parent").isNotNull(), F.concat(key, "parent")).alias("__p")))
     inner = rows.filter("__p IS NOT NULL").select(F.col("__p").alias("__n")).distinct()
-    leaves = rows.join(inner, "__n", "left_anti")
+    leaves = rows.join(inner.hint("merge"), "__n", "left_anti")
     listed = F.lit(False)
     if names is not None:
         renamed = names if "new_name" in names.columns else names.withColumn("new_name", F.lit(None).cast("string"))
@@ -134,22 +138,22 @@ def pruned(nodes: DataFrame, names: DataFrame | None = None, pattern: str | None
     # what lies above a kept leaf lives: marks rise by 1, 2, 4, ... edges
     alive = kept.select("__n")
     for step in jumps(_edges(rows, "__n", "__p")):
-        risen = step.join(alive, F.col("node") == F.col("__n")).select(F.col("to").alias("__n"))
+        risen = step.join(alive.hint("merge"), F.col("node") == F.col("__n")).select(F.col("to").alias("__n"))
         alive = written(alive.union(risen).distinct())
     alive = alive.union(rows.filter("__p IS NULL").select("__n")).distinct()
-    living = written(rows.join(alive, "__n", "left_semi"))
+    living = written(rows.join(alive.hint("merge"), "__n", "left_semi"))
     children = living.filter("__p IS NOT NULL").groupBy(F.col("__p").alias("__n")).agg(F.count("*").alias("__c"))
-    stays = living.join(children, "__n", "left").filter("__p IS NULL OR __c IS NULL OR __c > 1")
-    stays = written(stays.join(kept, "__n", "left").select("__n", "tree", "node", F.coalesce("new_name", "name").alias("name")))
+    stays = living.join(children.hint("merge"), "__n", "left").filter("__p IS NULL OR __c IS NULL OR __c > 1")
+    stays = written(stays.join(kept.hint("merge"), "__n", "left").select("__n", "tree", "node", F.coalesce("new_name", "name").alias("name")))
     # the first node above that stays is the new parent; lengths on the way to it are summed
     ends = stays.select(F.col("__n").alias("__p"), F.lit(True).alias("__end"))
-    links = living.filter("__p IS NOT NULL").join(ends, "__p", "left").select(
+    links = living.filter("__p IS NOT NULL").join(ends.hint("merge"), "__p", "left").select(
         F.col("__n").alias("node"), F.col("__p").alias("to"), F.col("__end").isNotNull().alias("done"),
         F.lit(1).cast("long").alias("steps"), F.col("length"),
     )
     found = ended(links).select(F.col("node").alias("__n"), F.col("to").alias("__to"), "length")
     above = stays.select(F.col("__n").alias("__to"), F.col("node").alias("parent"))
-    return stays.join(found, "__n", "left").join(above, "__to", "left").select("tree", "node", "parent", "name", "length")
+    return stays.join(found.hint("merge"), "__n", "left").join(above.hint("merge"), "__to", "left").select("tree", "node", "parent", "name", "length")
 
 
 def newick(nodes: DataFrame) -> DataFrame:
@@ -175,7 +179,7 @@ def newick(nodes: DataFrame) -> DataFrame:
     if more is not None or rows.select("tree").distinct().join(tops, "tree", "left_anti").head(1):
         raise ValueError("a tree without one root")
     child = rows.filter("first AND parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.col("node").alias("child"))
-    rows = written(rows.join(child, ["tree", "node"], "left"))
+    rows = written(rows.join(child.hint("merge"), ["tree", "node"], "left"))
     event = lambda side, node: F.concat_ws(":", F.col("tree").cast("string"), F.col(node).cast("string"), F.lit(side))
     inner, top = F.col("child").isNotNull(), F.col("parent").isNull()
     comma = F.when(top | F.col("first"), "").otherwise(",")
@@ -189,10 +193,10 @@ def newick(nodes: DataFrame) -> DataFrame:
     )
     events = written(enter.unionByName(leave))
     last = events.filter("to IS NULL").select(F.col("node").alias("to"), F.lit(True).alias("__end"))
-    links = events.filter("to IS NOT NULL").join(last, "to", "left").select(
+    links = events.filter("to IS NOT NULL").join(last.hint("merge"), "to", "left").select(
         "node", "to", F.col("__end").isNotNull().alias("done"), F.lit(1).cast("long").alias("steps"), F.lit(0.0).alias("length")
     )
-    placed = events.join(ended(links).select("node", "steps"), "node", "left").select("tree", "text", F.coalesce(-F.col("steps"), F.lit(0)).alias("at"))
+    placed = events.join(ended(links).select("node", "steps").hint("merge"), "node", "left").select("tree", "text", F.coalesce(-F.col("steps"), F.lit(0)).alias("at"))
     return placed.groupBy("tree").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda e: e["text"]), "").alias("newick")
     )
