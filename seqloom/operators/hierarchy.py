@@ -1,4 +1,4 @@
-"""Trees of any depth: every walk doubles its reach each round.
+"""Trees of any depth: walks go as far as they can in a task, then from block to block or by doubling their reach.
 
 Joins with a round's table are sorted and merged by a hint: its files are small for their rows, so that
 Spark would take it for a table to broadcast and bring it to the driver.
@@ -6,10 +6,19 @@ Spark would take it for a table to broadcast and bring it to the driver.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.storage import stored
 
+#: Links that one task follows at a time.
+BLOCK = 300_000
+
 
 def written(df: DataFrame) -> DataFrame:
     """Written once: a checkpoint would compute each round twice."""
@@ -68,14 +77,74 @@ def _taken_over(links: DataFrame) -> DataFrame:
     return links.filter("done").unionByName(moved)
 
 
+def _local(node: pd.Series, to: pd.Series, open_: np.ndarray) -> np.ndarray:
+    """The place, among these, of the link at the end of each open one; -1 where there is none or more than one."""
+    lone = np.flatnonzero(~node.duplicated(keep=False).to_numpy())
+    at = pd.Index(node.iloc[lone]).get_indexer(to)
+    return np.where(open_ & (at >= 0), lone[at] if len(lone) else -1, -1)
+
+
+def _in_blocks(links: DataFrame, n: int) -> DataFrame:
+    """Links followed, in memory, as long as they stay in a block of neighbouring nodes; with ``first`` and ``block``.
+
+    Where parents have names near those of their children few links leave their block. A circle is left as it is.
+    """
+    links = links.select("node", "to", "done", "steps", "length", F.col("to").alias("first"))
+    ranged = links.repartitionByRange(max(math.ceil(n / BLOCK), 1), "node").withColumn("block", F.spark_partition_id())
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not found:
+            return
+        rows = pa.Table.from_batches(found)
+        done = rows["done"].to_numpy()
+        steps, sums = rows["steps"].to_numpy().copy(), rows["length"].fill_null(0).to_numpy().copy()
+        none = rows["length"].is_null().to_numpy().copy()
+        at = _local(rows["node"].to_pandas(), rows["to"].to_pandas(), ~done)
+        end, rounds = np.arange(len(at)), 0
+        while len(i := np.flatnonzero(at >= 0)):
+            if 2**rounds > len(at):
+                yield from found
+                return
+            j, rounds = at[i], rounds + 1
+            for held in (steps, sums):
+                held[i] += held[j]
+            none[i] &= none[j]
+            end[i], at[i] = end[j], at[j]
+        made = {"to": rows["to"].take(end), "done": pa.array(done[end]), "steps": pa.array(steps), "length": pa.array(sums, mask=none)}
+        for name, column in made.items():
+            rows = rows.set_column(rows.column_names.index(name), rows.schema.field(name), column)
+        yield from rows.combine_chunks().to_batches(20_000)
+
+    return written(ranged.mapInArrow(follow, ranged.schema))
+
+
 def ended(links: DataFrame) -> DataFrame:
     """(node, to, steps, length): links followed until one that is done, steps and lengths added up.
 
     ``links``: (node, to, done, steps, length); where a link isn't done, ``to`` has one itself.
-    A link takes over what the one at its end has reached, twice a round, so that rounds grow with the
-    logarithm of the way; links in a circle are an error.
+    Links are followed within blocks; what leaves them leads to few others, which are followed by
+    themselves, and all take over what these have reached. Links in a circle are an error.
+    """
+    most = (links := written(links.select("node", "to", "done", "steps", "length"))).count()
+    met = _in_blocks(links, most)
+    away = met.filter("NOT done")
+    if away.isEmpty():
+        return met.select("node", "to", "steps", "length")
+    onward = written(met.drop("first", "block").join(away.select(F.col("to").alias("node")).distinct().hint("merge"), "node", "left_semi"))
+    found = ended(onward) if onward.count() <= most // 2 else _doubled(onward)
+    on = found.select(*[F.col(c).alias(f"__{c}") for c in found.columns])
+    moved = away.join(on.hint("merge"), F.col("to") == F.col("__node")).select(
+        "node", F.col("__to").alias("to"), (F.col("steps") + F.col("__steps")).alias("steps"), _plus("length", "__length").alias("length")
+    )
+    return met.filter("done").select("node", "to", "steps", "length").unionByName(moved)
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """``ended`` where names say nothing of what is near: a link takes over what the one at its end has reached, twice a round.
+
+    Rounds grow with the logarithm of the way.
     """
-    links = written(links.select("node", "to", "done", "steps", "length"))
     most, reach = links.count(), 1
     while not links.filter("NOT done").isEmpty():
         if reach > most:
@@ -85,6 +154,37 @@ def ended(links: DataFrame) -> DataFrame:
     return links.drop("done")
 
 
+def at_or_above(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node): those of ``marked`` (node) and all that lie above them by the edges (node, to).
+
+    Within blocks marks rise in memory; between them by way of the few nodes that edges of another block lead to.
+    """
+    most = (edges := written(edges.select("node", "to"))).count()
+    met = _in_blocks(edges.select("node", "to", F.lit(False).alias("done"), F.lit(1).cast("long").alias("steps"), F.lit(0).alias("length")), most)
+    entered = met.select(F.col("to").alias("node")).distinct()
+    onward = written(met.join(entered.hint("merge"), "node", "left_semi").select("node", "to"))
+    marked = written(marked.select("node").distinct())
+    if onward.count() > most // 2:  # names say nothing of what is near: marks rise by 1, 2, 4, ... edges
+        for step in jumps(edges):
+            risen = step.join(marked.hint("merge"), "node").select(F.col("to").alias("node"))
+            marked = written(marked.union(risen).distinct())
+        return marked
+    out = met.join(marked.hint("merge"), "node", "left_semi").select(F.col("to").alias("node")).distinct()
+    marked = written(marked.union(out if onward.isEmpty() else at_or_above(onward, out)).distinct())
+
+    def rise(group: pd.DataFrame) -> pd.DataFrame:
+        at, on = _local(group["node"], group["to"], np.ones(len(group), bool)), group["on"].to_numpy().copy()
+        while (at >= 0).any():
+            on[at[on & (at >= 0)]] = True
+            at = np.where(at >= 0, at[at], -1)
+        return group.loc[on, ["node"]]
+
+    flagged = met.select("node", F.col("first").alias("to"), "block").join(marked.withColumn("__on", F.lit(True)).hint("merge"), "node", "left")
+    flagged = flagged.select("node", "to", "block", F.coalesce("__on", F.lit(False)).alias("on"))
+    risen = flagged.groupBy("block").applyInPandas(rise, flagged.select("node").schema)
+    return marked.union(risen).distinct()
+
+
 def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, depth) of every node: the top of its tree and how far below it lies.
 
@@ -100,6 +200,22 @@ def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return below.unionByName(tops.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")))
 
 
+def lineage_sums(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, n, ancestors, depth): how many nodes (whole numbers) its lineage has, itself included, their sum and the depth.
+
+    The same as over ``closure``, but no row for each pair of node and ancestor is made.
+    """
+    edges = _edges(nodes, node, parent)
+    on = edges.select(F.col("node").alias("to"), F.lit(True).alias("__on")).distinct()
+    links = edges.join(on.hint("merge"), "to", "left").select(
+        "node", "to", F.col("__on").isNull().alias("done"), F.lit(1).cast("long").alias("steps"), F.col("to").cast("long").alias("length")
+    )
+    own = nodes.select(F.col(node).alias("node"))
+    above = own.join(ended(links).select("node", "steps", "length").hint("merge"), "node", "left")
+    depth = F.coalesce("steps", F.lit(0).cast("long"))
+    return above.select("node", (depth + 1).alias("n"), (F.col("node") + F.coalesce("length", F.lit(0))).alias("ancestors"), depth.cast("int").alias("depth"))
+
+
 def taxonomy(nodes: DataFrame, root: str) -> DataFrame:
     """(taxid, parent, rank, name, depth) of the nodes (taxid, parent, rank, name) at or below ``root``.
 
@@ -135,11 +251,8 @@ def pruned(nodes: DataFrame, names: DataFrame | None = None, pattern: str | None
     if pattern is not None:
         listed = listed | F.col("name").rlike(f"^(?:{pattern})")
     kept = written(leaves.filter(~listed if remove else listed).select("__n", "new_name"))
-    # what lies above a kept leaf lives: marks rise by 1, 2, 4, ... edges
-    alive = kept.select("__n")
-    for step in jumps(_edges(rows, "__n", "__p")):
-        risen = step.join(alive.hint("merge"), F.col("node") == F.col("__n")).select(F.col("to").alias("__n"))
-        alive = written(alive.union(risen).distinct())
+    # what lies above a kept leaf lives
+    alive = at_or_above(_edges(rows, "__n", "__p"), kept.select(F.col("__n").alias("node"))).withColumnRenamed("node", "__n")
     alive = alive.union(rows.filter("__p IS NULL").select("__n")).distinct()
     living = written(rows.join(alive.hint("merge"), "__n", "left_semi"))
     children = living.filter("__p IS NOT NULL").groupBy(F.col("__p").alias("__n")).agg(F.count("*").alias("__c"))
