@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.sequences import gc_content
-from seqloom.storage import cut, in_small_groups
+from seqloom.storage import cut, dealt, in_small_groups
 from .blocks import block_pairs, number_of_blocks, of_block
 from .graph import components
 from .joins import divided, point_in_interval, range_join
@@ -282,11 +282,16 @@ def painted(alignments: DataFrame, by: str, start: str, end: str, key: str, widt
     Ends are inclusive. Places between two neighbouring ends of alignments belong
     together, so that only these segments are looked up; ``width`` is about the length of an alignment.
     """
-    ends = alignments.select(by, F.col(start).alias("at")).union(alignments.select(by, F.col(end) + 1)).distinct()
+    most = 2 * alignments.count()
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    ends = alignments.select(by, F.explode(F.array(F.col(start), F.col(end) + 1)).alias("at"))
     w = Window.partitionBy(by).orderBy("at")
-    segments = ends.withColumn("__to", F.lead("at").over(w) - 1).filter("__to IS NOT NULL")
-    held = point_in_interval(segments, alignments.select(by, start, end, key), [by], "at", start, end, width, how="inner")
-    best = held.groupBy(by, "at", "__to").agg(F.min_by(key, F.struct((F.col(start) - F.col(end)).alias("n"), key)).alias(key))
+    segments = dealt(ends, [by], most).distinct().withColumn("__to", F.lead("at").over(w) - 1).filter("__to IS NOT NULL")
+    cells = alignments.select(by, start, end, key, F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))).alias("__bucket"))
+    p = dealt(segments.withColumn("__bucket", bucket(F.col("at"))), [by, "__bucket"], most)
+    held = p.join(dealt(cells, [by, "__bucket"], most), [by, "__bucket"]).filter(F.col("at").between(F.col(start), F.col(end)))
+    best = held.groupBy(by, "__bucket", "at", "__to").agg(F.min_by(key, F.struct((F.col(start) - F.col(end)).alias("n"), key)).alias(key))
+    best = dealt(best.drop("__bucket"), [by], most)
     # neighbouring segments of one alignment are one stretch
     before = F.lag(F.struct(key, "__to")).over(w)
     opens = before.isNull() | (before[key] != F.col(key)) | (before["__to"] + 1 != F.col("at"))
