@@ -73,15 +73,16 @@ def curve(df: DataFrame, item: str, member: str, replicates: int, seed: int) ->
     """(replicate, place, total): distinct items seen after the first ``place`` members.
 
     Members come in a seeded random order for each replicate. An item is new at the
-    first of its members, so that one pass counts all replicates.
+    first of its members. A row meets its member's places in all orders at once, as columns, so
+    that no row is repeated for each replicate.
     """
-    pairs = df.select(item, member).distinct().withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    )
-    members = pairs.select("replicate", member).distinct()
+    members = df.select(member).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     order = Window.partitionBy("replicate").orderBy(_drawn(seed, "replicate", member), member)
     ranked = members.withColumn("place", F.row_number().over(order))
-    new = pairs.join(ranked, ["replicate", member]).groupBy("replicate", item).agg(F.min("place").alias("place"))
+    names = [f"__{r}" for r in range(replicates)]
+    places = ranked.groupBy(member).agg(*[F.max(F.when(F.col("replicate") == r, F.col("place"))).alias(c) for r, c in enumerate(names)])
+    first = df.select(item, member).join(places, member).groupBy(item).agg(*[F.min(c).alias(c) for c in names])
+    new = first.select(F.posexplode(F.array(*names)).alias("replicate", "place"))
     counts = new.groupBy("replicate", "place").agg(F.count("*").alias("new"))
     every = ranked.select("replicate", "place").join(counts, ["replicate", "place"], "left")
     run = Window.partitionBy("replicate").orderBy("place")
