@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from seqloom.functions.sequences import gc_content
 from seqloom.storage import cut, dealt, in_small_groups
@@ -310,8 +310,11 @@ def pieces_in_order(pieces: DataFrame, by: str) -> DataFrame:
     is its place on the contig and last the contig's last. Two pieces that both end a
     contig fit too: the assembly may break there. Missing pieces are skipped.
     """
-    w = Window.partitionBy(by).orderBy("piece")
-    found = pieces.filter("contig IS NOT NULL")
+    return pieces.filter("contig IS NOT NULL").withColumn("ordered", _in_order(Window.partitionBy(by).orderBy("piece")))
+
+
+def _in_order(w: WindowSpec) -> Column:
+    """Whether the pieces before and after, of found ones only, lie beside this one."""
     end = (F.col("node") == 0) | (F.col("node") == F.col("last"))
     me = F.struct("contig", "node", end.alias("end"))
 
@@ -319,13 +322,15 @@ def pieces_in_order(pieces: DataFrame, by: str) -> DataFrame:
         beside = _beside(other["contig"], other["node"], F.col("contig"), F.col("node"))
         return other.isNull() | beside | (other["end"] & end)
 
-    return found.withColumn("ordered", fits(F.lag(me).over(w)) & fits(F.lead(me).over(w)))
+    return fits(F.lag(me).over(w)) & fits(F.lead(me).over(w))
 
 
 def found_and_ordered(pieces: DataFrame, by: str, min_identity: float) -> DataFrame:
     """(by, found, ordered): shares of all pieces that are found with enough identity, and that lie in order."""
-    marked = pieces.join(pieces_in_order(pieces, by).select(by, "piece", "ordered"), [by, "piece"], "left")
-    good = F.col("contig").isNotNull() & (F.col("identity") >= min_identity)
+    there = F.col("contig").isNotNull()
+    # missing pieces are a window of their own, so that found ones are neighbours without a join
+    marked = pieces.withColumn("ordered", there & _in_order(Window.partitionBy(by, there).orderBy("piece")))
+    good = there & (F.col("identity") >= min_identity)
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
     return marked.groupBy(by).agg(share(good).alias("found"), share(F.col("ordered")).alias("ordered"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions import sequences as Q
 from seqloom.operators import genomes as N
+from seqloom.storage import dealt
 
 from .registry import Tables, query
 
@@ -183,7 +184,9 @@ def _pieces(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    x = t.lineitem.withColumn("k", key("l_suppkey")).withColumn("piece", F.row_number().over(w)).withColumn("contig", F.when(key("l_tax") > 0.01, key("l_partkey") % 4))
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax"]
+    rows = dealt(t.lineitem.select(key("l_suppkey").alias("k"), *columns), ["k"], t.lineitem.count())
+    x = rows.withColumn("piece", F.row_number().over(w)).withColumn("contig", F.when(key("l_tax") > 0.01, key("l_partkey") % 4))
     own = Window.partitionBy("k", "contig")
     order = own.orderBy(F.floor(key("l_orderkey") / 40), "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
     return x.select("k", "piece", "contig", (F.row_number().over(order) - 1).alias("node"), (F.count("*").over(own) - 1).alias("last"), (1 - key("l_discount")).alias("identity"))
