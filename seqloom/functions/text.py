@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Ranks from the top, with the letters that tag them in taxonomy strings (fixed values).
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 TAGS = ["k", "p", "c", "o", "f", "g", "s"]
@@ -30,8 +38,12 @@ def tax_map(taxstring: Column) -> Column:
 
 def first_entries(entries: Column) -> Column:
     """A map of array<struct<key, value>> in which a key's first value counts."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), 0)))
+
+    def firsts(each: Column) -> Column:
+        keys = F.array_distinct(F.transform(each, lambda e: e["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.get(F.filter(each, lambda e: e["key"] == k), 0)))
+
+    return let(entries, firsts)
 
 
 def tax_at(ranks: Column, letter: str, default: str | None = None) -> Column:
@@ -41,8 +53,8 @@ def tax_at(ranks: Column, letter: str, default: str | None = None) -> Column:
 
 def lowest_rank(ranks: Column) -> Column:
     """The letter of the deepest named rank; null if none is."""
-    named = F.filter(F.array(*map(F.lit, TAGS)), lambda r: F.try_element_at(ranks, r).isNotNull())
-    return F.get(named, F.size(named) - 1)
+    named = let(ranks, lambda m: F.filter(F.array(*map(F.lit, TAGS)), lambda r: F.try_element_at(m, r).isNotNull()))
+    return F.try_element_at(named, F.lit(-1))
 
 
 def cut_at_rank(ranks: Column, letter: str, default: str = "unassigned") -> Column:
@@ -68,10 +80,10 @@ def tax_string(ranks: Column, trim_to: str | None = None, stop_at_gap: bool = Tr
     """The string of a rank map: down to ``trim_to``, stopping at the first missing rank,
     skipping missing ranks, or (keep_empty) naming them."""
     letters = TAGS[: TAGS.index(trim_to) + 1] if trim_to else TAGS
-    each = F.transform(
+    each = let(ranks, lambda m: F.transform(
         F.array(*map(F.lit, letters)),
-        lambda r: F.struct(r.alias("r"), F.try_element_at(ranks, r).alias("v")),
-    )
+        lambda r: F.struct(r.alias("r"), F.try_element_at(m, r).alias("v")),
+    ))
     if keep_empty:
         named = F.transform(each, lambda e: F.concat(e["r"], F.lit("__"), F.coalesce(e["v"], F.lit(""))))
         return F.array_join(named, "; ")
@@ -89,9 +101,9 @@ def tax_string(ranks: Column, trim_to: str | None = None, stop_at_gap: bool = Tr
 
 def lineage_divides_at(a: Column, b: Column) -> Column:
     """The first rank letter at which two rank maps differ; null if none."""
-    other = F.filter(
-        F.array(*map(F.lit, TAGS)), lambda r: ~F.try_element_at(a, r).eqNullSafe(F.try_element_at(b, r))
-    )
+    other = let(a, lambda x: let(b, lambda y: F.filter(
+        F.array(*map(F.lit, TAGS)), lambda r: ~F.try_element_at(x, r).eqNullSafe(F.try_element_at(y, r))
+    )))
     return F.get(other, 0)
 
 

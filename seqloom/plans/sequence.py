@@ -195,8 +195,8 @@ def lowest_common_ancestor(t: Tables) -> DataFrame:
 def taxonomy_strings(t: Tables) -> DataFrame:
     gap = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("p__"), "n_name"))
     text = F.concat(F.lit("k__"), "r_name", F.lit("; "), gap, F.lit("; c__"), "c_mktsegment")
-    ranks = X.tax_map(text)
-    return _taxonomy(t).select(
+    ranks = F.col("ranks")
+    return _taxonomy(t).withColumn("ranks", X.tax_map(text)).select(
         "c_custkey", X.tax_string(ranks).alias("stopping"), X.tax_string(ranks, stop_at_gap=False).alias("skipping")
     )
 
