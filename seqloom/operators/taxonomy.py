@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.functions import text as X
+from seqloom.storage import cut
 
 
 def found_taxa(names: DataFrame, taxa: DataFrame, name: str = "name", rank: str | None = None) -> DataFrame:
@@ -25,11 +26,14 @@ def found_lineages(strings: DataFrame, taxa: DataFrame, text: str) -> DataFrame:
 
     ``taxa``: (taxid, lineage), lineage being a taxonomy string of the same kind. Null if
     no part is known; a lineage that several taxa have is an error.
+
+    Strings are parsed once each: the distinct ones are computed first, or Spark would test
+    each row's string before it takes them together.
     """
-    prefixes = F.transform(
-        F.array(*map(F.lit, X.TAGS)), lambda r: F.struct(r.alias("r"), F.try_element_at(F.col("__map"), r).alias("v"))
-    )
-    tagged = lambda df, c: df.withColumn("__map", X.tax_map(F.col(c))).withColumn("__parts", F.filter(prefixes, lambda e: e["v"].isNotNull()))
+    prefixes = lambda ranks: X.let(ranks, lambda m: F.transform(
+        F.array(*map(F.lit, X.TAGS)), lambda r: F.struct(r.alias("r"), F.try_element_at(m, r).alias("v"))
+    ))
+    tagged = lambda df, c: df.withColumn("__parts", F.filter(prefixes(X.tax_map(F.col(c))), lambda e: e["v"].isNotNull()))
     whole = F.array_join(F.transform("__parts", lambda e: F.concat(e["r"], F.lit("__"), e["v"])), "; ")
     known = tagged(taxa, "lineage").select(whole.alias("__key"), "taxid")
     known = known.groupBy("__key").agg(F.count_distinct("taxid").alias("__n"), F.min("taxid").alias("taxid"))
@@ -40,7 +44,7 @@ def found_lineages(strings: DataFrame, taxa: DataFrame, text: str) -> DataFrame:
             F.array_join(F.transform(F.slice("__parts", F.lit(1), n), lambda e: F.concat(e["r"], F.lit("__"), e["v"])), "; ").alias("key"),
         ),
     )
-    wanted = tagged(strings.select(text).distinct(), text).filter(F.size("__parts") > 0).select(text, F.explode(cuts).alias("c"))
+    wanted = tagged(cut(strings.select(text).distinct()), text).filter(F.size("__parts") > 0).select(text, F.explode(cuts).alias("c"))
     met = wanted.join(known, wanted["c"]["key"] == known["__key"])
     best = met.groupBy(text).agg(F.max_by(F.struct("__n", "taxid", F.col("c.key").alias("key")), "c.depth").alias("b"))
     wrong = F.raise_error(F.concat(F.lit("more than one taxon has the lineage "), F.col("b.key")))
