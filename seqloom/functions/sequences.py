@@ -7,6 +7,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .text import let
+
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
@@ -110,55 +112,57 @@ def cigar_ops(cigar: Column) -> Column:
     return F.transform(
         found,
         lambda o: F.struct(
-            F.regexp_extract(o, "^[0-9]+", 0).cast("int").alias("n"), F.right(o, F.lit(1)).alias("op")
+            F.substr(o, F.lit(1), F.char_length(o) - 1).cast("int").alias("n"), F.substring(o, -1, 1).alias("op")
         ),
     )
 
 
 def cigar_count(cigar: Column, ops: str) -> Column:
     """Summed lengths of the operations named in ``ops``."""
-    wanted = F.filter(cigar_ops(cigar), lambda o: o["op"].isin(*ops))
-    return F.aggregate(wanted, F.lit(0), lambda s, o: s + o["n"])
+    return _summed(cigar_ops(cigar), ops)
+
+
+def _summed(found: Column, ops: str) -> Column:
+    return F.aggregate(found, F.lit(0), lambda s, o: F.when(o["op"].isin(*ops), s + o["n"]).otherwise(s))
 
 
 def alignment_stats(cigar: Column, mismatches: Column) -> Column:
     """struct<length, matches, mismatches, soft, identity, local_identity>.
 
     With = and X operations counts are exact; with M the mismatches come from NM.
+    Operations are read once.
     """
-    length, soft, plain = cigar_count(cigar, "MIS=X"), cigar_count(cigar, "S"), cigar_count(cigar, "M")
-    exact = cigar.rlike("[=X]")
-    wrong = F.when(exact, cigar_count(cigar, "X")).otherwise(
-        F.greatest(mismatches - cigar_count(cigar, "ID"), F.lit(0))
-    )
-    right = F.when(exact, cigar_count(cigar, "=")).otherwise(plain - wrong)
-    share = lambda n: F.try_divide(right.cast("double"), n.cast("double"))
-    return F.struct(
-        length.alias("length"),
-        right.alias("matches"),
-        wrong.alias("mismatches"),
-        soft.alias("soft"),
-        share(length).alias("identity"),
-        share(length - soft).alias("local_identity"),
+    sums = {"length": "MIS=X", "soft": "S", "plain": "M", "gaps": "ID", "unlike": "X", "alike": "="}
+    counts = let(
+        cigar_ops(cigar), lambda found: F.struct(cigar.rlike("[=X]").alias("exact"), *[_summed(found, ops).alias(c) for c, ops in sums.items()])
     )
 
+    def stats(n: Column) -> Column:
+        wrong = F.when(n["exact"], n["unlike"]).otherwise(F.greatest(mismatches - n["gaps"], F.lit(0)))
+        right = F.when(n["exact"], n["alike"]).otherwise(n["plain"] - wrong)
+        share = lambda of: F.try_divide(right.cast("double"), of.cast("double"))
+        return F.struct(
+            n["length"].alias("length"),
+            right.alias("matches"),
+            wrong.alias("mismatches"),
+            n["soft"].alias("soft"),
+            share(n["length"]).alias("identity"),
+            share(n["length"] - n["soft"]).alias("local_identity"),
+        )
 
-def cigar_x_to_m(cigar: Column) -> Column:
-    """= and X operations as M, equal neighbours merged."""
-    merged = F.aggregate(
-        cigar_ops(cigar),
-        F.array().cast("array<struct<n:int,op:string>>"),
-        lambda done, o: _appended(done, o),
-    )
-    return F.array_join(F.transform(merged, lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
+    return let(counts, stats)
 
 
-def _appended(done: Column, o: Column) -> Column:
-    op = F.when(o["op"].isin("=", "X"), "M").otherwise(o["op"])
-    last = F.get(done, F.size(done) - 1)
-    one = lambda n: F.array(F.struct(n.alias("n"), op.alias("op")))
-    return F.when(last["op"] == op, F.concat(F.slice(done, 1, F.size(done) - 1), one(last["n"] + o["n"]))).otherwise(
-        F.concat(done, one(o["n"]))
+def cigar_x_to_m(cigar: Column) -> Column:
+    """= and X operations as M, equal neighbours merged."""
+    state = lambda text, n, op: F.struct(text.alias("text"), n.alias("n"), op.alias("op"))
+    # the text before the last operation, and that operation; none at first
+    text = lambda s: F.when(s["op"] == "", s["text"]).otherwise(F.concat(s["text"], s["n"].cast("string"), s["op"]))
+    return F.aggregate(
+        cigar_ops(F.translate(cigar, "=X", "MM")),
+        state(F.lit(""), F.lit(0), F.lit("")),
+        lambda s, o: F.when(s["op"] == o["op"], state(s["text"], s["n"] + o["n"], s["op"])).otherwise(state(text(s), o["n"], o["op"])),
+        text,
     )
 
 
