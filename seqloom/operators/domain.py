@@ -75,16 +75,16 @@ def best_hits(hits: DataFrame, query: str, order: list[Column]) -> DataFrame:
 def clade_confidence(reads: DataFrame, lineage: DataFrame) -> DataFrame:
     """(name, in_clade, total, confidence) of reads (name, taxid, hits): the share of a read's
     k-mers whose taxon lies at or below the assigned one; ambiguous ones (A) don't count."""
-    each = reads.select("name", "taxid", F.explode("hits").alias("h")).filter("h.taxid <> 'A'")
+    each = reads.select("name", "taxid", F.explode_outer("hits").alias("h"))  # a read without hits has its row too
     below = lineage.select(F.col("node").alias("__hit"), F.col("ancestor").alias("__clade"))
     joined = each.join(
         below, (each["h"]["taxid"] == below["__hit"]) & (each["taxid"] == below["__clade"]), "left"
     )
-    n = F.col("h.n")
+    n = F.when(F.col("h.taxid") != "A", F.col("h.n"))
     sums = joined.groupBy("name").agg(
         F.sum(F.when(F.col("__hit").isNotNull(), n).otherwise(0)).alias("in_clade"), F.sum(n).alias("total")
     )
-    return reads.select("name").distinct().join(sums, "name", "left").select(
+    return sums.select(
         "name",
         F.coalesce("in_clade", F.lit(0)).alias("in_clade"),
         F.coalesce("total", F.lit(0)).alias("total"),

@@ -94,7 +94,9 @@ def kraken(spark: SparkSession, path: str) -> DataFrame:
     six = F.size(f) >= 6
     hits = F.transform(
         F.filter(F.split(F.get(f, F.when(six, 5).otherwise(4)), " "), lambda h: h.contains(":")),
-        lambda h: F.struct(F.split(h, ":")[0].alias("taxid"), F.split(h, ":")[1].cast("int").alias("n")),
+        lambda h: F.struct(
+            F.substring_index(h, ":", 1).alias("taxid"), F.substring_index(F.substring_index(h, ":", 2), ":", -1).cast("int").alias("n")
+        ),
     )
     return spark.read.text(path).filter(F.size(f) >= 5).select(
         (F.get(f, 0) == "C").alias("classified"),
