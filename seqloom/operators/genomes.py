@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from seqloom.functions.sequences import gc_content
-from seqloom.storage import cut, dealt, in_small_groups
+from seqloom.functions.sequences import gc_content, kmer_of
+from seqloom.storage import cut, dealt, in_small_groups, stored
 from .blocks import block_pairs, number_of_blocks, of_block
 from .graph import components
 from .joins import divided, point_in_interval, range_join
@@ -262,6 +263,54 @@ def conserved_in_groups(kmers: DataFrame, groups: DataFrame, share: float) -> Da
     return counts.filter(F.col("n_genomes") >= F.ceil(share * F.col("size"))).select(label.alias("label"), "kmer", "n_genomes")
 
 
+def kmer_codes(df: DataFrame, seq: str, k: int, distinct: bool = True) -> DataFrame:
+    """Rows with ``kmers`` (array<int>): the k-mers of their As, Cs, Gs and Ts alone, as numbers of base 4 (see kmer_of()).
+
+    All other letters are left out first, so that k-mers may bridge them. k is at most 15. A few rows
+    at a time are taken through as one array of letters. ``distinct``: each k-mer of a row once, in order.
+    """
+    keys = [c for c in df.columns if c != seq]
+    code = np.full(256, 4, np.uint8)
+    code[list(b"ACGT")] = range(4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [s or b"" for s in part.column(seq).cast(pa.binary()).to_pylist()]
+                letters = code[np.frombuffer(b"".join(texts), np.uint8)]
+                row = np.repeat(np.arange(len(texts)), [len(s) for s in texts])[letters < 4]
+                letters = letters[letters < 4]
+                n = max(0, len(letters) - k + 1)
+                value = np.zeros(n, np.int64)
+                for i in range(k):
+                    value = value << 2 | letters[i : n + i]
+                whole = row[:n] == row[len(row) - n :]
+                found = row[:n][whole] << 2 * k | value[whole]
+                found = np.unique(found) if distinct else found
+                ends = np.searchsorted(found >> 2 * k, np.arange(len(texts) + 1))
+                kmers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((found & (1 << 2 * k) - 1), pa.int32()))
+                yield pa.record_batch([*[part.column(c) for c in keys], kmers], [*keys, "kmers"])
+
+    kinds = dict(df.dtypes)
+    return df.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "kmers array<int>"]))
+
+
+def conserved_of_sets(sets: DataFrame, k: int, share: float) -> DataFrame:
+    """conserved_in_groups() of sets (genome, taxon, kmers), kmers being kmer_codes().
+
+    Only sets are shuffled; k-mers are counted where they lie first. Several rows of a genome are one.
+    """
+    lists = sets.filter(F.size("kmers") > 0).groupBy("genome", "taxon").agg(F.collect_list("kmers").alias("l"))
+    whole = F.when(F.size("l") == 1, F.get("l", F.lit(0))).otherwise(F.array_distinct(F.flatten("l")))
+    one = stored(lists.select("genome", "taxon", whole.alias("kmers")), "kmer-sets")
+    sizes = one.groupBy("taxon").agg(F.count("genome").alias("size")).filter("size > 1")
+    counts = one.select("taxon", F.explode("kmers").alias("code")).groupBy("taxon", "code").agg(F.count("*").alias("n_genomes")).join(sizes, "taxon")
+    label = F.concat("taxon", F.lit("(n="), F.col("size").cast("string"), F.lit(")"))
+    kept = counts.filter(F.col("n_genomes") >= F.ceil(share * F.col("size")))
+    return kept.select(label.alias("label"), kmer_of(F.col("code"), k).alias("kmer"), "n_genomes")
+
+
 def signature_differences(counts: DataFrame, k: int) -> DataFrame:
     """(a, b, difference) of all pairs of profiles (name, kmer, value): mean absolute difference over all 4^k k-mers.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions import sequences as Q
 from seqloom.operators import genomes as N
-from seqloom.storage import dealt
+from seqloom.storage import cut, dealt
 
 from .registry import Tables, query
 
@@ -121,10 +121,16 @@ _KM = """dna AS (SELECT doc_id, lang, regexp_replace(upper(text), '[^ACGT]', '',
 km AS (SELECT DISTINCT doc_id, lang, seq[i:i + 6] AS kmer FROM (SELECT doc_id, lang, seq, unnest(range(1, greatest(length(seq) - 5, 1))) AS i FROM dna) WHERE length(seq[i:i + 6]) = 7)"""
 
 
-def _kmers(t: Tables, k: int = 7) -> DataFrame:
-    dna = t.documents.select("doc_id", "lang", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
-    pieces = dna.select("doc_id", "lang", F.explode(Q.pieces_for_kmers(key("seq"), k)).alias("p"))
-    return pieces.select("doc_id", "lang", F.explode(Q.kmers_of_piece(key("p"), k)).alias("kmer"))
+def _kmers(t: Tables, k: int = 7, distinct: bool = True) -> DataFrame:
+    """(genome, taxon, kmers): k-mers of documents by their numbers."""
+    dna = t.documents.select(key("doc_id").alias("genome"), key("lang").alias("taxon"), F.upper("text").alias("seq"))
+    return N.kmer_codes(dna, "seq", k, distinct)
+
+
+def _kmer_counts(t: Tables, by: list[str], k: int) -> DataFrame:
+    """(by, kmer, n): how often k-mers occur."""
+    counts = _kmers(t, k, distinct=False).select(*by, F.explode("kmers").alias("code")).groupBy(*by, "code").agg(F.count("*").alias("n"))
+    return counts.select(*by, Q.kmer_of(key("code"), k).alias("kmer"), "n")
 
 
 @query(f"""WITH {_KM}, u AS (SELECT DISTINCT kmer, lang FROM km), p AS (SELECT i, j FROM range(2, 7) a(i), range(2, 7) b(j) WHERE i < j),
@@ -133,7 +139,8 @@ d AS (SELECT fuzzy FROM l GROUP BY 1 HAVING count(DISTINCT lang) = (SELECT count
 SELECT DISTINCT fuzzy, kmer FROM l WHERE fuzzy IN (SELECT fuzzy FROM d)""")
 def fuzzy_kmers_in_every_group(t: Tables) -> DataFrame:
     """Seven-letter k-mers with two Ns off the ends that every language has in some spelling."""
-    held = _kmers(t).select("kmer", key("lang").alias("genome")).distinct()
+    codes = _kmers(t).select(key("taxon").alias("genome"), F.explode("kmers").alias("code")).distinct()
+    held = cut(codes.select(Q.kmer_of(key("code"), 7).alias("kmer"), "genome"))  # read several times
     links = held.select("kmer").distinct().select("kmer", F.explode(Q.fuzzy_kmers(key("kmer"), 7, 1, 2)).alias("fuzzy"))
     return N.fuzzy_division(held, links, held.select("genome"))
 
@@ -142,7 +149,7 @@ def fuzzy_kmers_in_every_group(t: Tables) -> DataFrame:
 m AS (SELECT DISTINCT kmer, n, kmer[1:i - 1] || x || kmer[i + 1:4] AS near FROM k, range(1, 5) a(i), (VALUES ('A'), ('C'), ('G'), ('T')) v(x))
 SELECT near AS kmer, sum(n)::BIGINT AS n FROM m GROUP BY 1""")
 def mismatch_kmer_counts(t: Tables) -> DataFrame:
-    counts = _kmers(t, 4).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = _kmer_counts(t, [], 4)
     near = counts.select(F.explode(Q.mismatch_kmers(key("kmer"), 4)).alias("kmer"), "n").groupBy("kmer").agg(F.sum("n").alias("n"))
     return Q.all_kmers(t.spark, 4).join(near, "kmer")
 
@@ -150,18 +157,16 @@ def mismatch_kmer_counts(t: Tables) -> DataFrame:
 @query(f"""WITH {_KM}, g AS (SELECT lang, count(DISTINCT doc_id) AS size FROM km GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)
 SELECT lang || '(n=' || size || ')' AS label, kmer, count(*) AS n_genomes FROM km JOIN g USING (lang) GROUP BY lang, size, kmer HAVING count(*) >= ceil(0.6 * size)""")
 def conserved_kmers_of_groups(t: Tables) -> DataFrame:
-    rows = _kmers(t)
-    groups = rows.select(key("doc_id").alias("genome"), key("lang").alias("taxon")).distinct()
-    return N.conserved_in_groups(rows.select(key("doc_id").alias("genome"), "kmer"), groups, 0.6)
+    return N.conserved_of_sets(_kmers(t), 7, 0.6)
 
 
 @query(f"""WITH {_KM.replace('SELECT DISTINCT doc_id, lang, seq', 'SELECT doc_id, lang, seq')}, c AS (SELECT lang, kmer, count(*) AS n FROM km GROUP BY 1, 2), p AS (SELECT lang, kmer, n / sum(n) OVER (PARTITION BY lang) AS v FROM c)
 SELECT a.l AS a, b.l AS b, (SELECT sum(abs(coalesce(x.v, 0) - coalesce(y.v, 0))) FROM (SELECT * FROM p WHERE lang = a.l) x FULL JOIN (SELECT * FROM p WHERE lang = b.l) y ON x.kmer = y.kmer) / 16384 AS difference
 FROM (SELECT DISTINCT lang AS l FROM p) a JOIN (SELECT DISTINCT lang AS l FROM p) b ON a.l < b.l""")
 def signature_differences(t: Tables) -> DataFrame:
-    counts = _kmers(t).groupBy("lang", "kmer").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    profile = counts.join(totals, "lang").select(key("lang").alias("name"), "kmer", (key("n") / key("total")).alias("value"))
+    counts = cut(_kmer_counts(t, ["taxon"], 7))
+    totals = counts.groupBy("taxon").agg(F.sum("n").alias("total"))
+    profile = counts.join(totals, "taxon").select(key("taxon").alias("name"), "kmer", (key("n") / key("total")).alias("value"))
     return N.signature_differences(profile, 7)
 
 
