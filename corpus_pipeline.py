@@ -39,8 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     grades = ordinal_quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = ordinal_quality.train(docs, grades)
-    rows, key = _numbered(docs)
-    return _without(rows, key, ordinal_quality.score(rows, model, id_col=key).filter("not kept"))
+    return ordinal_quality.keep(docs, model)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +48,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have too few words and go; a null source is no host, so that
     such rows are judged by themselves.
     """
-    rows, key = _numbered(docs)
-    return _without(rows, key, host_rules.host_rules(rows, id_col=key).filter("not kept"))
+    rows = docs.select(F.struct("*").alias("row"), "text", "source")  # whole rows stand for their ids: none is joined back
+    return host_rules.host_rules(rows, id_col="row").filter("kept").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

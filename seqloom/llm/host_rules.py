@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, cut
+from .common import WORD, stored
 
 #: Words in a window that may not come twice.
 WINDOW = 8
@@ -92,7 +92,8 @@ def host_rules(
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
-    measured = cut(_with_measures(rows).withColumn("base_failed", failed))
+    # compressed, as the id may be a struct of all columns of a row
+    measured = stored(_with_measures(rows).withColumn("base_failed", failed), "rules-measured")
     hosts = (
         measured.filter("host is not null")
         .groupBy("host")

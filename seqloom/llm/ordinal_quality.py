@@ -215,6 +215,25 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return found.select(F.col("id").alias(id_col), "expected_grade", "top_tail", (F.col("top_tail") >= min_tail).alias("kept"))
 
 
+def _filtered(model, text_col: str, min_tail: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted: Model = model.value
+        for batch in batches:
+            at = 0
+            for (texts,) in blocks([batch], text_col):
+                kept = [bool(fitted.tails(features(t))[-1] >= min_tail) for t in texts]
+                yield batch.slice(at, len(texts)).filter(pa.array(kept, pa.bool_()))
+                at += len(texts)
+
+    return run
+
+
+def keep(docs: DataFrame, model: Model, *, text_col: str = "text", min_tail: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) that score() keeps, in one pass: no row is numbered, stored or joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_filtered(shared, text_col, min_tail), docs.schema)
+
+
 def grades_of(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Graded ratings: 0 toxic, 1 poor, 2 good; null if the labels don't tell."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
