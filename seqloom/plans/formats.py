@@ -141,7 +141,7 @@ def blast_xml_hits(t: Tables) -> DataFrame:
     iteration = _say("<Iteration>", tag("Iteration_query-def", _say("q", key("l_orderkey"))), tag("Iteration_query-len", F.lit(50)), "<Iteration_hits>", hit, "</Iteration_hits></Iteration>")
     path = _path(t, "blast-xml")
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    sinks.write_rooted(rows, iteration, "BlastOutput", path)
+    sinks.write_rooted(rows, iteration, "BlastOutput", path, "gzip")
     hits = S.blast_xml(t.spark, path)
     kept = D.filtered_hits(hits, 0.05, 3, 1e-3, 0.5)
     return kept.select("query", "subject", "bitscore", "start", "end", "strand", "identity")

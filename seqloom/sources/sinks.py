@@ -34,10 +34,11 @@ def write_records(df: DataFrame, record: Column, path: str, by: str | None = Non
 MOST_RECORDS = 200_000
 
 
-def write_rooted(rows: DataFrame, record: Column, root: str, path: str) -> None:
+def write_rooted(rows: DataFrame, record: Column, root: str, path: str, compression: str = "none") -> None:
     """XML files of records, each with one root element; no more than a line is held.
 
-    Rows are dealt out to as many files as keep each small.
+    Rows are dealt out to as many files as keep each small. Tags repeat, so that files packed by
+    ``compression`` (gzip, say) take a small part of the disk; Spark's reader unpacks them.
     """
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,7 @@ def write_rooted(rows: DataFrame, record: Column, root: str, path: str) -> None:
         yield line(f"</{root}>")
 
     dealt = rows.repartition(max(8, -(-rows.count() // MOST_RECORDS)))
-    dealt.select(record.alias("value")).mapInArrow(rooted, "value string").write.text(path)
+    dealt.select(record.alias("value")).mapInArrow(rooted, "value string").write.text(path, compression=compression)
 
 
 def selected_records(sequences: DataFrame, names: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
